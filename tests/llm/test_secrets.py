@@ -1,0 +1,57 @@
+import base64
+import hashlib
+import random
+import re
+
+from vistaframe.llm import secrets
+
+
+def brute(text):
+    text, out = text or "", []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        if len(m[2]) >= 12:
+            out.append((m.start(), 0, f"assign:{m.start()}:{m.end()}"))
+    out += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return [s for *_, s in sorted(out)]
+
+
+def check(rows, got):
+    assert len(rows) == len(got)
+    for r in got:
+        want = brute(rows[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [s for s in r.spans.split(",") if s and not s.startswith("random")] == want
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s.startswith(k) for s in want) for k in ("assign", "access", "hex"))
+
+
+def test_query_against_plain_patterns(spark, sf_dir):
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = secrets.op2_secrets(spark, sf_dir).collect()
+    check(rows, got)
+    assert sum(r.n_assign + r.n_access + r.n_hex for r in got) > 0
+
+
+def test_random_tokens_and_edges(spark, tmp_path):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("etaoinshrdlu") for _ in range(n))
+    keys = {i: base64.b64encode(rng.randbytes(30)).decode() for i in range(100)}
+    rows = {i: f"{word(6)} {keys[i]} {word(30)} é {word(24).title()}" for i in keys}
+    rows |= {1000: None, 1001: "", 1002: "secret=token:abcdefghijklmnop", 1003: "ToKen : 'abcdefghijkl' AKIA" + "B" * 13, 1004: "API_KEY=\"" + "a" * 5000,
+             1005: "é password=hunter2hunter2 AKIAABCDEFGHIJKLMN 0123456789abcdef", 1006: "ſecret=abcdefghijklmnop toKen=abcdefghijklm"}
+    spark.createDataFrame(list(rows.items()), "doc_id long, text string").selectExpr("*", "1 as spans", "2 as s").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in secrets.op2_secrets(spark, str(tmp_path)).collect()}
+    check(rows, list(got.values()))
+    hits = false = 0
+    for i, key in keys.items():
+        at = rows[i].index(key)
+        for s in got[i].spans.split(","):
+            if s.startswith("random"):
+                a, b = map(int, s.split(":")[1:])
+                hits += a <= at + 2 and b >= at + len(key) - 2
+                false += not (a < at + len(key) and at < b)
+    assert hits >= 75 and false <= 5
+
+
+def test_empty_table(spark):
+    assert secrets.find_secrets(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from . import (
     fingerprint,
+    bpe,
     mixing,
+    secrets,
 )
 
-_MODULES = (mixing, fingerprint)
+_MODULES = (secrets, mixing, bpe, fingerprint)
 
 
 def queries() -> dict:
