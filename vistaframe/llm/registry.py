@@ -7,9 +7,10 @@ from . import (
     bpe,
     mixing,
     secrets,
+    toxicity,
 )
 
-_MODULES = (secrets, mixing, bpe, fingerprint)
+_MODULES = (secrets, toxicity, mixing, bpe, fingerprint)
 
 
 def queries() -> dict:
