@@ -7,10 +7,11 @@ from . import (
     bpe,
     mixing,
     secrets,
+    topk,
     toxicity,
 )
 
-_MODULES = (secrets, toxicity, mixing, bpe, fingerprint)
+_MODULES = (secrets, topk, toxicity, mixing, bpe, fingerprint)
 
 
 def queries() -> dict:
