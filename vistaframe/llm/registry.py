@@ -6,12 +6,13 @@ from . import (
     fingerprint,
     bpe,
     mixing,
+    pii,
     secrets,
     topk,
     toxicity,
 )
 
-_MODULES = (secrets, topk, toxicity, mixing, bpe, fingerprint)
+_MODULES = (secrets, topk, toxicity, mixing, bpe, pii, fingerprint)
 
 
 def queries() -> dict:
