@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import (
     fingerprint,
     bpe,
+    minhash,
     mixing,
     pii,
     secrets,
@@ -12,7 +13,7 @@ from . import (
     toxicity,
 )
 
-_MODULES = (secrets, topk, toxicity, mixing, bpe, pii, fingerprint)
+_MODULES = (minhash, secrets, topk, toxicity, mixing, bpe, pii, fingerprint)
 
 
 def queries() -> dict:
