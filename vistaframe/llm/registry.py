@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import (
     fingerprint,
     bpe,
@@ -17,8 +19,9 @@ _MODULES = (minhash, secrets, topk, toxicity, mixing, bpe, pii, fingerprint)
 
 
 def queries() -> dict:
-    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
+    found = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
