@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators.overview import overview
+from . import catalog_files, catalog_tables
+
+_MODULES = (catalog_tables, catalog_files)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
 
 
-def entry(spark):
-    return spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+def entry(spark: SparkSession) -> DataFrame:
+    """The overview of the smallest orders table."""
+    return overview(spark, "/root/testdata/sf0.001/orders.parquet")
