@@ -12,10 +12,11 @@ from . import (
     pii,
     secrets,
     topk,
+    tokencount,
     toxicity,
 )
 
-_MODULES = (minhash, secrets, topk, toxicity, mixing, bpe, pii, fingerprint)
+_MODULES = (minhash, secrets, topk, toxicity, mixing, tokencount, bpe, pii, fingerprint)
 
 
 def queries() -> dict:
