@@ -7,6 +7,7 @@ import corpus_pipeline
 from . import (
     fingerprint,
     bpe,
+    langid,
     minhash,
     mixing,
     pii,
@@ -16,7 +17,7 @@ from . import (
     toxicity,
 )
 
-_MODULES = (minhash, secrets, topk, toxicity, mixing, tokencount, bpe, pii, fingerprint)
+_MODULES = (minhash, secrets, topk, toxicity, mixing, tokencount, bpe, pii, langid, fingerprint)
 
 
 def queries() -> dict:
