@@ -65,7 +65,7 @@ def _log(spark: SparkSession, path: str, version: int | None) -> DataFrame:
     actions = spark.read.schema(_LOG).option("pathGlobFilter", "*.json").json(log).select("*", number.alias("v")).where(F.col("v") <= most)
     start = None
     if exists(spark, f"{log}/_last_checkpoint"):
-        start = spark.read.json(f"{log}/_last_checkpoint").first()["version"]
+        start = json.loads(head(spark, f"{log}/_last_checkpoint", 1 << 16))["version"]  # Spark skips names that start with _
     if start is not None and (version is None or start <= version):
         old = spark.read.option("pathGlobFilter", f"{start:020d}.checkpoint*.parquet").parquet(log)
         wanted = T.StructType.fromDDL(_LOG)

@@ -99,7 +99,10 @@ def _options(d: Dialect, **more) -> dict:
 
 
 def header_names(spark: SparkSession, path: str | list[str], d: Dialect, width: int | None = None) -> list[str]:
-    first = lines(spark, path).where(F.col("line_no") == d.skip).first()
+    kept = lines(spark, path).where(F.col("line_no") >= d.skip)
+    if d.comment:
+        kept = kept.where(~F.col("value").startswith(d.comment))
+    first = kept.limit(1).first()
     fields = _split(first.value, d) if first else []
     names = [n if n else f"column{i}" for i, n in enumerate(fields)] if d.header else [f"column{i}" for i in range(len(fields))]
     seen: dict[str, int] = {}
