@@ -34,7 +34,7 @@ def top_values(df: DataFrame, col: str, limit: int = 200, spec: QuerySpec = Quer
     if search:
         rows = rows.where(contains(as_text(column(rows, col)), search))
     counts = rows.groupBy(column(rows, col).alias("value")).agg(F.count("*").alias("n"))
-    total = rows.agg(F.count("*").alias("total"))  # one number; a window over all values would sort them in one task
+    total = counts.agg(F.sum("n").alias("total"))  # one number from the same shuffle; a window would take all values to one task
     v = F.col("value")
     present = [x for x in chosen if x is not None]
     flag = v.isin(present) if present else F.lit(False)
