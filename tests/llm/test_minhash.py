@@ -59,6 +59,7 @@ def test_chains_and_near_misses(spark, monkeypatch):
     """Groups whose ends are not alike, and copies just below and above the limit, in small blocks and portions."""
     monkeypatch.setattr(minhash, "BLOCK", 8)
     monkeypatch.setattr(minhash, "PORTION", 4)
+    monkeypatch.setattr(minhash, "PIECE", 500)
     rng, rows = random.Random(7), []
     for g in range(6):
         words = [f"w{rng.randint(0, 10**6)}" for _ in range(60)]

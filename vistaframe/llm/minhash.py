@@ -8,8 +8,10 @@ Texts with equal sets are one class from the start, and only its smallest id goe
 paired with the bucket's smallest id alone; pairs whose signatures agree too little are left out (at 0.8 that is a
 deviation of five standard errors), and the others are confirmed on the full sets of their texts, best first, and only
 while their ends lie in different groups. Buckets that then still hold members of several groups, beside the smallest
-id, are compared in blocks, group against group, and what agrees enough there is confirmed in the same way. So no group
-is ever written out as pairs, and no link that would join two groups is left out.
+id, are compared in blocks by signature. A block gives back a forest that connects the groups which agree enough, and the
+members that agree with a member of another group. Those of connected groups meet once more, in pieces of bounded size
+with their full sets, where all pairs of different groups are compared exactly and a forest of links is given back. So no
+group is ever written out as pairs, and no link that would join two groups is left out.
 
 Confirming sends each text to its partner's place, in portions of PORTION members, so a text with a third of all rows as
 its copies is spread over many tasks. Groups grow together by alternating large-star and small-star steps on the
@@ -41,7 +43,9 @@ WORDS, PERCENT = 5, 80
 #: Signatures may agree this much less than the similarity asked for.
 SLACK = 0.15
 PORTION = 200
-BLOCK = 256
+BLOCK = 1024
+#: Shingles of a piece of connected groups.
+PIECE = 500_000
 #: Pairs up to this number (16 bytes each) are broadcast to the texts; more are joined by shuffling.
 BROADCAST_PAIRS = 200_000
 
@@ -90,7 +94,7 @@ def _sign(words: int):
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([None if s is None else bands(s) for s in signs], pa.list_(pa.int64())),
-                pa.array([None if s is None else s.astype(np.uint16).tobytes() for s in signs], pa.binary()),
+                pa.array([None if s is None else s.astype(np.uint8).tobytes() for s in signs], pa.binary()),
             ], ["doc_id", "set_key", "n_shingles", "bands", "sig"])
 
     return of
@@ -98,8 +102,8 @@ def _sign(words: int):
 
 @F.pandas_udf(T.DoubleType())
 def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of coordinates on which two signatures agree (by their low 16 bits)."""
-    x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(-1, K) for s in (a, b))
+    """Share of coordinates on which two signatures agree (by their low 8 bits)."""
+    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, K) for s in (a, b))
     return pd.Series((x == y).mean(1) if len(x) else [], dtype=float)
 
 
@@ -155,38 +159,96 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return texts.groupBy("a", "portion").applyInArrow(_confirm(words, percent), "a long, b long")
 
 
+def _forest(roots: np.ndarray, rows: np.ndarray, alike) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A forest over groups that `alike` connects, as pairs of places, and the places that are alike across groups.
+
+    alike(x) tells for a place which places are alike to it.
+    """
+    label, active, edges = roots.copy(), np.zeros(len(roots), bool), []
+    for x in rows:
+        across = alike(x) & (roots != roots[x])
+        if across.any():
+            active |= across
+            active[x] = True
+            while len(left := np.flatnonzero(across & (label != label[x]))):
+                edges.append((x, left[0]))
+                label[label == label[left[0]]] = label[x]
+    return edges, active
+
+
 def _blocks(least: float):
+    """Per block: (a, b, false) for groups a and b that a forest connects, (node, group, true) for nodes alike across groups."""
     def of(table: pa.Table) -> pa.Table:
-        node, group, i, j = (table.column(c).to_numpy() for c in ("node", "root", "mine", "i"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, K)
-        other = table.column("j").to_numpy()[0]
-        left, right = np.flatnonzero(i == j[0]), np.flatnonzero(i == other)
-        found = {"a": [], "b": [], "est": []}
-        for x in left:
-            y = right[group[right] != group[x]]
-            est = (sig[y] == sig[x]).mean(1)
-            y, est = y[est >= least], est[est >= least]
-            found["a"].append(np.minimum(node[x], node[y]))
-            found["b"].append(np.maximum(node[x], node[y]))
-            found["est"].append(est)
-        join = lambda k, t: pa.array(np.concatenate(found[k]) if found[k] else [], t)
-        return pa.table({"a": join("a", pa.int64()), "b": join("b", pa.int64()), "est": join("est", pa.float64())})
+        node, root, mine = (table.column(c).to_numpy() for c in ("node", "root", "mine"))
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, K)
+        i, j = (table.column(c)[0].as_py() for c in ("i", "j"))
+        right = mine == j
+        edges, active = _forest(root, np.flatnonzero(mine == i), lambda x: right & ((sig == sig[x]).sum(1) >= least * K))
+        a = np.concatenate([root[[x for x, _ in edges]], node[active]]) if edges else node[active]
+        b = np.concatenate([root[[y for _, y in edges]], root[active]]) if edges else root[active]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "active": np.arange(len(a)) >= len(edges)})
 
     return of
 
 
-def _across(buckets: DataFrame, roots: DataFrame, unique: DataFrame, least: float) -> DataFrame:
-    """a, b, est: pairs of different groups that share a bucket, neither being its smallest id, and agree enough."""
+def _pieces(words: int, percent: int):
+    """Links (a, b) that connect different groups, from the full sets of two pieces of members."""
+    def of(table: pa.Table) -> pa.Table:
+        node, root, mine = (table.column(c).to_numpy() for c in ("node", "root", "mine"))
+        i, j = (table.column(c)[0].as_py() for c in ("i", "j"))
+        sets = shingles(table.column("text").to_pylist(), words)
+        size = np.array([len(x) for x in sets])
+        _, at, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner, shared = np.repeat(np.arange(len(sets)), size), seen[at] > 1
+        place = np.cumsum(seen > 1) - 1  # shingles of one member alone need no column
+        owner, column = owner[shared], place[at[shared]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+        both = np.zeros((len(left), len(right)), np.float32)  # sizes of intersections; exact below 2**24
+        for c in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+            lo, hi = np.searchsorted(column, [c, c + 2048])
+            x = np.zeros((len(sets), 2048), np.float32)
+            x[owner[lo:hi], column[lo:hi] - c] = 1
+            both += x[left] @ x[right].T
+        row = {x: n for n, x in enumerate(left)}
+
+        def alike(x: int) -> np.ndarray:
+            out = np.zeros(len(sets), bool)
+            n = both[row[x]].astype(np.int64)
+            out[right] = (n > 0) & (100 * n >= percent * (size[x] + size[right] - n))
+            return out
+
+        edges, _ = _forest(root, left, alike)
+        return pa.table({k: pa.array([node[e[n]] for e in edges], pa.int64()) for n, k in enumerate("ab")})
+
+    return of
+
+
+def _dealt(members: DataFrame, pieces) -> DataFrame:
+    """members with mine, i, j: dealt into pieces, and sent wherever their piece meets another one (or itself)."""
+    out = members.withColumn("mine", F.pmod(F.xxhash64("node"), pieces).cast("int"))
+    out = out.withColumn("_o", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    return out.withColumns({"i": F.least("mine", "_o"), "j": F.greatest("mine", "_o")}).drop("_o")
+
+
+def across(buckets: DataFrame, roots: DataFrame, unique: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between groups whose members share a bucket, neither being its smallest id."""
     members = buckets.where("node <> leader").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     mixed = members.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    pieces = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    dealt = members.join(mixed, "band").select("band", "node", "root", pieces.alias("pieces"), F.pmod(F.xxhash64("node"), pieces).cast("int").alias("mine"))
-    other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("o")
-    meets = dealt.select("band", "node", "root", "mine", other).select(
-        "band", "node", "root", "mine", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j")
-    )
-    signed = meets.join(unique.select("node", "sig"), "node")
-    return signed.groupBy("band", "i", "j").applyInArrow(_blocks(least), "a long, b long, est double").distinct()
+    several = members.join(mixed.select("band", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("pieces")), "band")
+    met = _dealt(several, F.col("pieces")).drop("pieces").join(unique.select("node", "sig"), "node")
+    found = stored(met.groupBy("band", "i", "j").applyInArrow(_blocks(percent / 100 - SLACK), "a long, b long, active boolean").distinct(), "alike")
+    wholes = components(found.where("not active").select("a", "b"))
+    active = found.where("active").select(F.col("a").alias("node"), F.col("b").alias("root"))
+    placed = active.join(wholes.select(F.col("node").alias("root"), F.col("root").alias("whole")), "root", "left")
+    placed = placed.select("node", "root", F.coalesce("whole", "root").alias("whole")).join(unique.select("node", "n_shingles"), "node")
+    count = F.greatest(F.sum("n_shingles") / F.lit(PIECE), F.count("*") / F.lit(BLOCK))
+    sizes = placed.groupBy("whole").agg(F.ceil(count).cast("int").alias("pieces"))
+    sent = stored(_dealt(placed.join(sizes, "whole"), F.col("pieces")).select("node", "root", "whole", "mine", "i", "j"), "sent")
+    small = sent.count() <= BROADCAST_PAIRS  # 36 bytes a row
+    texts = docs.join(F.broadcast(sent) if small else sent, F.col("doc_id") == F.col("node")).drop("doc_id")
+    return texts.groupBy("whole", "i", "j").applyInArrow(_pieces(words, percent), "a long, b long")
 
 
 class Groups:
@@ -197,6 +259,10 @@ class Groups:
         self.links: DataFrame | None = None
         self.roots = docs.sparkSession.createDataFrame([], "node long, root long")
 
+    def link(self, good: DataFrame) -> None:
+        self.links = stored(good if self.links is None else self.links.unionByName(good), "links")
+        self.roots = components(self.links)
+
     def grow(self, pairs: DataFrame) -> None:
         """Confirm pairs (a, b, est) in rounds, best first; pairs within one group need no confirming."""
         left, most = pairs, 1
@@ -219,9 +285,7 @@ class Groups:
             state = stored(from_here.select("a", "b", "est", "now"), "pairs")
             if state.isEmpty():
                 return
-            good = confirmed(state.where("now").select("a", "b"), self.docs, self.words, self.percent)
-            self.links = stored(good if self.links is None else self.links.unionByName(good), "links")
-            self.roots = components(self.links)
+            self.link(confirmed(state.where("now").select("a", "b"), self.docs, self.words, self.percent))
             left = state.where("not now").select("a", "b", "est")
             most = {1: 3, 3: None}.get(most)
 
@@ -234,13 +298,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     linked = signed.where("n_shingles > 0 and doc_id is not null")
     classes = stored(linked.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes")
     unique = stored(
-        linked.join(classes.select("set_key", "node"), "set_key").where("doc_id = node").select("node", "bands", "sig").dropDuplicates(["node", "sig"]),
+        linked.join(classes.select("set_key", "node"), "set_key").where("doc_id = node").select("node", "n_shingles", "bands", "sig").dropDuplicates(["node", "sig"]),
         "unique",
     )
     each = unique.select("node", F.explode("bands").alias("band")).distinct()
     leaders = each.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = stored(each.join(leaders, "band"), "buckets")
-    signs = unique.select("node", "sig").dropDuplicates(["node"])
+    signs = unique.select("node", "n_shingles", "sig").dropDuplicates(["node"])
     least = percent / 100 - SLACK
     stars = buckets.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     agreeing = (
@@ -251,7 +315,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     )
     groups = Groups(docs, words, percent)
     groups.grow(agreeing)
-    groups.grow(stored(_across(buckets, groups.roots, signs, least), "across"))
+    groups.link(across(buckets, groups.roots, signs, docs, words, percent))
     return (
         signed.select("doc_id", "set_key", "n_shingles")
         .join(classes.select("set_key", "node"), "set_key", "left")
