@@ -32,7 +32,7 @@ SPECIAL = {"<|endoftext|>": 50256}
 #: A chunk ends where this many low bits of the rolling hash are 0: about every 1,024 bytes.
 MASK = np.uint32((1 << 10) - 1)
 #: Characters of chunk text that a task keeps in each of two generations.
-KEPT_CHARS = 4_000_000
+KEPT_CHARS = 1_000_000
 
 
 @cache

@@ -113,12 +113,13 @@ def components(edges: DataFrame) -> DataFrame:
         return df.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct()
 
     state = stored(oriented(edges, "a", "b"), "components")
-    mark = None
     while True:
-        now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
-        if tuple(now) == mark:
+        ends = state.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+            state.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+        )
+        ways = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if ways.where("up > 1 or (up > 0 and down > 0)").isEmpty():  # stars: each node has one way, to a root
             break
-        mark = tuple(now)
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = oriented(both.join(least, "u").where("v > u").select(F.col("v").alias("x"), "m"), "x", "m")
@@ -292,7 +293,7 @@ class Groups:
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id of the group), kept (whether it is the document's own)."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 500)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     signed = stored(docs.mapInArrow(_sign(words), SIGNED), "signed")
     linked = signed.where("n_shingles > 0 and doc_id is not null")

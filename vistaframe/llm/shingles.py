@@ -42,8 +42,23 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(np.searchsorted(starts, limits))
 
 
+#: Characters of texts that are taken at a time, if there is more than one text: a byte costs some forty while it is hashed.
+TAKEN = 500_000
+
+
 def shingles(texts: list[str | None], size: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; fewer words than size are one shingle, no word is none."""
+    out, some, chars = [], [], 0
+    for t in texts:
+        if some and chars + len(t or "") > TAKEN:
+            out += _shingles(some, size)
+            some, chars = [], 0
+        some.append(t)
+        chars += len(t or "")
+    return out + (_shingles(some, size) if some else [])
+
+
+def _shingles(texts: list[str | None], size: int) -> list[np.ndarray]:
     hashes, counts = words(texts)
     n = len(hashes)
     rolled = np.zeros(max(0, n - size + 1), np.uint64)

@@ -55,7 +55,7 @@ def swaps(identity: dict[str, str] = IDENTITY) -> dict[str, str]:
 class Extractor:
     """Features of words, kept for words seen before; `only` restricts them to a set of features."""
 
-    MOST = 300_000
+    MOST = 100_000
 
     def __init__(self, only: dict | None = None) -> None:
         self.only, self.kept = only, {}
