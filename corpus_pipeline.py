@@ -19,7 +19,7 @@ PII_KEY = pii.KEY
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5; the classifier learns from the labels of the documents given."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.scored(docs, model).where("score < 0.5").select(*docs.columns)
+    return toxicity.scored(docs, model, "__toxicity").where("__toxicity < 0.5").select(*docs.columns)
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms for personal data; n_chars is that of the new text."""
-    out = pii.pseudonymised(docs, PII_KEY).withColumn("n_chars", F.char_length("text").cast("long"))
+    out = pii.pseudonymised(docs, PII_KEY, found="__pii").withColumn("n_chars", F.char_length("text").cast("long"))
     return out.select(*docs.columns)
 
 

@@ -59,3 +59,22 @@ def test_stages_take_an_empty_table(spark, sf_dir, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0, name
+
+
+def test_stages_take_nulls_repeats_and_clashing_names(spark, sf_dir, tmp_path):
+    extra = "'x' as score, 'p' as pii, 7 as size, 't' as target, 'i' as _id, 'n' as node, 'b' as band, 's' as s, 'd' as ids, 'r' as rank"
+    rows = [(1, "mail bosbt.42@mail8.example.com now", "en", "a", 35), (1, "mail bosbt.42@mail8.example.com now", "en", "a", 35), (2, None, None, None, None),
+            (None, "", "de", "b", 0), (None, "one two three four five six", None, None, 27), (3, "One two three four five six", "en", "b", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *extra.split(", "))
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/{name}")
+        out = spark.read.parquet(f"{tmp_path}/{name}")
+        if name != "bpe":
+            assert out.columns[-10:] == ["score", "pii", "size", "target", "_id", "node", "band", "s", "ids", "rank"], name
+            assert all(tuple(r)[-10:] == ("x", "p", 7, "t", "i", "n", "b", "s", "d", "r") for r in out.collect()), name
+            docs = out
+        if name == "near_dedup":
+            assert out.count() == 6
+        if name == "pii":
+            assert not [r for r in out.collect() if "bosbt.42" in (r.text or "")] and {r.n_chars for r in out.where("doc_id = 2").collect()} == {None}
+    assert out.count() == docs.count() > 0

@@ -146,17 +146,17 @@ def mix(docs: DataFrame, seed: int = 0, weights=WEIGHTS, share: float = SHARE) -
     Only ids and sizes go through the queues; the texts join the passes at the end by id, source and text hash.
     """
     names = docs.columns
-    key = ["_id", "_src", "_txt"]
+    key = ["__mix_id", "__mix_source", "__mix_text"]
     keyed = docs.withColumns({
-        "_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
-        "_src": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")),
-        "_txt": F.xxhash64(F.coalesce("text", F.lit(""))),
+        key[0]: F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
+        key[1]: F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")),
+        key[2]: F.xxhash64(F.coalesce("text", F.lit(""))),
     })
     small = stored(sized(keyed).select("doc_id", "source", "size", *key), "mix-sizes")
     times = stored(queue_times(small, seed, weights, share), "mix-times")
-    plan = passes(times, share).where("passes > 0").select(*key, F.explode(F.array_compact(F.array("first_at", "second_at"))).alias("_at"))
+    plan = passes(times, share).where("passes > 0").select(*key, F.explode(F.array_compact(F.array("first_at", "second_at"))).alias("__mix_at"))
     out = keyed.dropDuplicates(key).join(plan, key)
-    return out.repartitionByRange("_at", *key).sortWithinPartitions("_at", *key).select(*names)
+    return out.repartitionByRange("__mix_at", *key).sortWithinPartitions("__mix_at", *key).select(*names)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -225,8 +225,8 @@ def replaced(text: str, key: str, step: int = 1) -> tuple[str, list[tuple[str, i
 RESULT = "text string, pii array<struct<kind: string, start: int, `end`: int>>"
 
 
-def pseudonymised(df: DataFrame, key: str, step: int = 1) -> DataFrame:
-    """df with pseudonyms in its column text, and pii: kind, start and end of each value in the given text.
+def pseudonymised(df: DataFrame, key: str, step: int = 1, found: str = "pii") -> DataFrame:
+    """df with pseudonyms in its column text, and pii (or another name): kind, start and end of each value in the given text.
 
     step -1 under the same key brings the values back.
     """
@@ -235,12 +235,12 @@ def pseudonymised(df: DataFrame, key: str, step: int = 1) -> DataFrame:
     @F.pandas_udf(RESULT)
     def replace(texts: pd.Series) -> pd.DataFrame:
         both = [(None, []) if t is None else replaced(t, key, step) for t in texts]
-        found = [[{"kind": k, "start": a, "end": b} for k, a, b in f] for _, f in both]
-        return pd.DataFrame({"text": [t for t, _ in both], "pii": found})
+        places = [[{"kind": k, "start": a, "end": b} for k, a, b in f] for _, f in both]
+        return pd.DataFrame({"text": [t for t, _ in both], "pii": places})
 
-    names = [c for c in df.columns if c != "pii"]
+    names = [c for c in df.columns if c != found]
     out = df.select(*names).withColumn("__new", replace("text"))
-    return out.select(*[F.col("__new.text").alias(c) if c == "text" else F.col(c) for c in names], F.col("__new.pii").alias("pii"))
+    return out.select(*[F.col("__new.text").alias(c) if c == "text" else F.col(c) for c in names], F.col("__new.pii").alias(found))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,8 +191,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: flo
     return Model({f: float(w[i]) for f, i in columns.items() if w[i] > 1e-6}, b)
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score, the probability of label 1."""
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with score (or another name), the probability of label 1."""
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -200,7 +200,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         for texts in batches:
             yield pd.Series([model.score(t, extract) for t in texts], dtype=float)
 
-    return docs.withColumn("score", score(F.coalesce("text", F.lit(""))))
+    return docs.withColumn(name, score(F.coalesce("text", F.lit(""))))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
