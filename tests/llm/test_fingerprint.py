@@ -35,7 +35,8 @@ def test_query_against_plain_python(spark, sf_dir):
 def test_buckets_do_not_change_neighbours(spark, monkeypatch):
     monkeypatch.setattr(fp, "BUCKET_ROWS", 7)
     df = spark.createDataFrame([(i * i, f"t{i}") for i in range(100)] + [(None, "null")], "doc_id long, text string")
-    got = {r.text: r.next for r in fp.neighbours(df, F.col("text")).collect()}
+    assert fp.neighbours(df, lambda t: t).count() == 101
+    got = {r.mine.text: r.next.text for r in fp.neighbours(df, lambda t: t).collect()}
     assert got == {f"t{i}": f"t{i - 1}" for i in range(1, 100)} | {"t0": "null", "null": "t99"}
 
 
@@ -51,4 +52,4 @@ def test_edges_merge_and_containment(spark):
     halves = spark.createDataFrame([("g", a), ("g", b)], "k string, t string").withColumn("sketch", fp.sketch(F.col("t")))
     assert fp.merged(halves, ["k"]).first().sketch == spark.createDataFrame([(a,)], "t string").select(fp.sketch(F.col("t"))).first()[0]
     empty = spark.createDataFrame([], "doc_id long, text string")
-    assert fp.neighbours(empty, F.col("text")).collect() == []
+    assert fp.neighbours(empty, lambda t: t).collect() == []

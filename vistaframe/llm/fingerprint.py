@@ -79,8 +79,9 @@ def as_text(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda h: F.lower(F.hex(h))), ",")
 
 
-def neighbours(docs: DataFrame, carried: Column) -> DataFrame:
-    """docs with next: `carried` of the document with the next smaller doc_id, and of the largest for the smallest.
+def neighbours(docs: DataFrame, carried) -> DataFrame:
+    """doc_id, mine and next: (text, carried = carried(text)) of a document and of the one with the next smaller doc_id; the
+    smallest one's next is the largest. docs has doc_id and text.
 
     Ids are cut into buckets of neighbouring ids at quantiles, so each bucket is sorted by itself; only the first
     document of each bucket meets the last one of the bucket before. Null ids count as smaller than all others; among
@@ -96,36 +97,33 @@ def neighbours(docs: DataFrame, carried: Column) -> DataFrame:
     if cuts:
         borders = F.array(*[F.lit(c) for c in cuts])
         bucket = F.coalesce(F.size(F.filter(borders, lambda b: b <= F.col("doc_id"))), F.lit(0))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last()]
-    w = Window.partitionBy("_bucket").orderBy(*order)
-    inside = (
-        docs.withColumn("_bucket", bucket)
-        .withColumn("_mine", carried)
-        .withColumn("_next", F.lead("_mine").over(w))
-        .withColumn("_first", F.row_number().over(w) == 1)
-    )
-    heads = inside.where("_first").select(F.col("_bucket").alias("_of"), F.col("_mine").alias("_head"))
-    ring = heads.select(
-        F.lag("_of").over(Window.orderBy("_of")).alias("_below"),
-        "_of",
-    )
+    placed = docs.withColumn("_bucket", bucket)
+    w = Window.partitionBy("_bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.col("mine.text").desc_nulls_last())
+    both = F.struct("text", carried(F.col("text")).alias("carried"))  # the text crosses the network once
+    inside = placed.select("doc_id", "_bucket", both.alias("mine")).withColumn("_next", F.lead("mine").over(w))
+    # the first document of each bucket: its id from ids alone, then the texts of these MOST_BUCKETS ids at most
+    firsts = placed.groupBy("_bucket").agg(F.max("doc_id").alias("_id")).withColumnRenamed("_bucket", "_of")
+    heads = placed.join(F.broadcast(firsts), (F.col("_bucket") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    heads = heads.groupBy("_of").agg(F.max("text").alias("text")).select("_of", both.alias("_head"))
     # the bucket below hands over its first document; the lowest bucket takes that of the highest
-    top = F.max("_of").over(Window.partitionBy())
-    to = ring.select(F.col("_of").alias("_bucket"), F.coalesce("_below", top).alias("_from"))
-    return inside.join(
-        to.join(heads, F.col("_from") == F.col("_of")).select("_bucket", "_head"), "_bucket"
-    ).withColumn("next", F.when(F.col("_next").isNull(), F.col("_head")).otherwise(F.col("_next")))
+    below = F.lag("_of").over(Window.orderBy("_of"))
+    ring = firsts.select("_of", below.alias("_below"), F.max("_of").over(Window.partitionBy()).alias("_top"))
+    to = ring.select(F.col("_of").alias("_bucket"), F.coalesce("_below", "_top").alias("_from")).join(heads, F.col("_from") == F.col("_of"))
+    out = inside.join(to.select("_bucket", "_head"), "_bucket")
+    return out.select("doc_id", "mine", F.coalesce("_next", "_head").alias("next"))
 
 
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited form, with likenesses."""
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("sketch", sketch(F.col("text")))
-    beside = neighbours(docs, F.struct("text", "sketch"))
-    n = F.char_length("text")
+    beside = neighbours(docs, sketch)
+    mine, after = F.col("mine.text"), F.col("next.text")
+    n = F.char_length(mine)
     part = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - part), F.substring(F.col("next.text"), F.lit(1), part))
-    out = beside.select("doc_id", "sketch", n.cast("long").alias("n_chars"), edited.alias("edited"), F.col("next.sketch").alias("_after"))
+    edited = F.concat(F.substring(mine, F.lit(1), n - part), F.substring(after, F.lit(1), part))
+    out = beside.select(
+        "doc_id", F.col("mine.carried").alias("sketch"), n.cast("long").alias("n_chars"), edited.alias("edited"), F.col("next.carried").alias("_after")
+    )
     out = out.withColumn("edited_sketch", sketch(F.col("edited")))
     return out.select(
         "doc_id",
