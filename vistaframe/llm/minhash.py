@@ -302,7 +302,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         linked.join(classes.select("set_key", "node"), "set_key").where("doc_id = node").select("node", "n_shingles", "bands", "sig").dropDuplicates(["node", "sig"]),
         "unique",
     )
-    each = unique.select("node", F.explode("bands").alias("band")).distinct()
+    each = unique.select("node", F.explode("bands").alias("band"))
     leaders = each.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = stored(each.join(leaders, "band"), "buckets")
     signs = unique.select("node", "n_shingles", "sig").dropDuplicates(["node"])
