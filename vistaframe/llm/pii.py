@@ -6,6 +6,9 @@ values of its format, its number is permuted under a key, and the result is writ
 stay right, dates stay dates. The permutation depends on the key, the kind and the format alone, so equal values have
 equal pseudonyms in every document, and whoever holds the key can undo it. It has no fixed points.
 
+A phone number ends before a value that stands next to it: at its country's length where that is fixed, and else before
+a value of another kind; a bare number behind a phone of no fixed length counts as its last digits.
+
 What stays: an address's domain, a card's first digit and whether its check digit is right, a phone number's country
 code, all separators. Long digit runs of card length whose check digit is wrong are permuted as well.
 
@@ -44,6 +47,14 @@ PATTERNS = {
 # in an order in which a kind's pattern never takes a part of an earlier kind's value
 FIND = re.compile("|".join(f"(?P<{k}>{PATTERNS[k]})" for k in ("email", "iban", "date", "ssn", "ip", "card", "phone")))
 MAYBE = re.compile(r"[0-9]|@")
+# what may stand inside a phone's match as a value of its own, and where a phone may end before it
+INNER = re.compile("|".join(f"(?P<{k}>{PATTERNS[k]})" for k in ("date", "ssn", "ip", "card")) + r"|(?P<phone>(?<![A-Za-z0-9.+-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![A-Za-z0-9-]))")
+BORDER = re.compile(r"(?![A-Za-z0-9-]|\.[0-9])")
+NATIONAL = re.compile(r"\([0-9]{3}\)\x20?[0-9]{3}[\x20.-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}")
+#: Digits behind country codes whose numbers all have one length.
+LENGTHS = {"1": 10, "7": 10, "31": 9, "33": 9, "34": 9, "41": 9, "45": 8, "47": 8, "48": 9, "52": 10, "61": 9, "91": 10}
+#: Characters behind a value that its reading may depend on.
+AHEAD = 120
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -161,10 +172,32 @@ def _ip(v: str, key: bytes, step: int) -> str | None:
     return ".".join(map(str, n.to_bytes(4, "big")))
 
 
+def _form(v: str) -> int:
+    """2 for a national number or one of its country's only length, 1 for other international ones, 0 for no phone."""
+    d = "".join(c for c in v if c.isdigit())
+    if v[0] != "+":
+        return 2 if NATIONAL.fullmatch(v) else 0
+    return 2 if any(LENGTHS.get(d[:n]) == len(d) - n for n in (1, 2)) else int(8 <= len(d) <= 15)
+
+
+def _phone_end(text: str, start: int, end: int) -> int | None:
+    """Where the phone ends that a match begins with: before a value of another kind or a second phone, if it can."""
+    ends = [e for e in range(start + 8, end + 1) if e == end or (text[e - 1].isdigit() and BORDER.match(text, e))]
+    forms = [(f, e) for e in ends if (f := _form(text[start:e]))]
+    if not forms:
+        return None
+    most, pos = end, start + 1
+    while (m := INNER.search(text, pos)) and m.start() < end:
+        if m.lastgroup == "phone" or WRITERS[m.lastgroup](m[0], _key(""), 1) is not None:
+            most = m.start()
+            break
+        pos = m.start() + 1
+    return max([x for x in forms if x[1] <= most] or forms)[1]
+
+
 def _phone(v: str, key: bytes, step: int) -> str | None:
     d = "".join(c for c in v if c.isdigit())
-    national = re.fullmatch(r"\([0-9]{3}\)\x20?[0-9]{3}[\x20.-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}", v)
-    if not (v[0] == "+" and 8 <= len(d) <= 15) and not national:
+    if not _form(v):
         return None
     kept = 0 if v[0] != "+" else 1 if d[0] in "17" else 2
     return _refill(v, d[:kept] + _characters(d[kept:], key, f"phone{d[:kept]}", step))
@@ -204,21 +237,51 @@ def _key(key: str) -> bytes:
     return hashlib.blake2b(key.encode(), digest_size=32).digest()
 
 
+def _value(text: str, m: re.Match) -> tuple[str, int, int] | None:
+    """(kind, start, end) of the value that a match stands for."""
+    if m.lastgroup == "phone":
+        end = _phone_end(text, *m.span())
+        return end and ("phone", m.start(), end)
+    if m.lastgroup == "card" and (p := NATIONAL.match(text, m.start())) and BORDER.match(text, p.end()):
+        return "phone", *p.span()
+    return m.lastgroup, *m.span()
+
+
+def _written(text: str, m: re.Match, kind: str, start: int, end: int, key: bytes, step: int) -> str | None:
+    """The pseudonym of a value; walked on until it is read at the same place as the value, so that it can be undone."""
+    new = WRITERS[kind](text[start:end], key, step)
+    if new is None or kind not in ("phone", "card"):
+        return new
+    low = max(0, m.start() - 1)
+    before, behind = text[low:start], text[end : end + AHEAD]
+
+    def read(value: str) -> tuple[str, int, int] | None:
+        near = before + value + behind
+        found = FIND.match(near, m.start() - low)
+        return found and _value(near, found)
+
+    same = read(text[start:end])
+    while read(new) != same:
+        new = WRITERS[kind](new, key, step)
+    return new
+
+
 def replaced(text: str, key: str, step: int = 1) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, end) of each value in the given text."""
     if not MAYBE.search(text):
         return text, []
     out, found, at, pos = [], [], 0, 0
     while m := FIND.search(text, pos):
-        new = WRITERS[m.lastgroup](m[0], _key(key), step)
+        value = _value(text, m)
+        new = value and _written(text, m, *value, _key(key), step)
         if new is None:  # not valid: look on behind its first run of characters
             pos = m.start() + 1
             while pos < m.end() and text[pos].isalnum():
                 pos += 1
             continue
-        out += [text[at : m.start()], new]
-        found.append((m.lastgroup, *m.span()))
-        at = pos = m.end()
+        out += [text[at : value[1]], new]
+        found.append(value)
+        at = pos = value[2]
     return "".join([*out, text[at:]]), found
 
 
