@@ -1,4 +1,5 @@
 import datetime
+import random
 import re
 
 import pytest
@@ -69,6 +70,51 @@ def test_phones_end_before_their_neighbours(phone, kind, other):
     assert pii.replaced(new, KEY, -1)[0] == text
 
 
+CARD, GROUPED, WRONG = "4111111111111111", "4012-8888-8888-1881", "4785380592391131"
+
+
+@pytest.mark.parametrize("card", [CARD, GROUPED, GROUPED.replace("-", " "), "3782 822463 10005", "3056 930902 5904", WRONG, "4785 3805 9239 1131"])
+@pytest.mark.parametrize("before, behind", [
+    ("", " 12/25"), ("", " 125 main"), ("no 12 ", ""), ("", " 97.51.17.173"), ("7 ", " 12"), ("", " 2020-02-29"), ("", ""), ("988-555-2485 ", " 1234"),
+])
+def test_cards_end_before_their_neighbours(card, before, behind):
+    text = f"{before}{card}{behind}"
+    new, found = pii.replaced(text, KEY)
+    at = len(before), len(before) + len(card)
+    assert [f for f in found if f[0] == "card"] == [("card", *at)]
+    assert new[slice(*at)] != card
+    if card != "4785 3805 9239 1131":  # groups with a wrong check digit beside digits: see the module's text
+        assert new[slice(*at)] == pii.replaced(card, KEY)[0]
+    assert pii.replaced(new, KEY, -1)[0] == text
+    kinds = [k for k, x in (("phone", "988-"), ("card", ""), ("ip", "97."), ("date", "2020")) if x in text]
+    assert [f[0] for f in found] == kinds
+    if len(kinds) == 1:
+        assert new[: at[0]] == before and new[at[1] :] == behind
+
+
+@pytest.mark.parametrize("text, place", [
+    ("12-4111111111111111", (3, 19)), ("4111111111111111-123", (0, 16)), ("41111111 11111111", (0, 17)), ("41111 111 11111 111", (0, 19)),
+    ("6212 3456 7890 1234 569", (0, 23)), ("4785380592391131-123", (0, 16)),
+])
+def test_cards_in_other_groupings_stay_covered(text, place):
+    new, found = pii.replaced(text, KEY)
+    assert found == [("card", *place)] and pii.replaced(new, KEY, -1)[0] == text
+
+
+def test_lists_of_numbers_are_no_cards():
+    text = "10 20 30 40 50 60 70 81, 1 22 333 4444 55555 67"
+    assert pii.replaced(text, KEY) == (text, [])
+
+
+def test_whatever_is_found_can_be_undone():
+    rng = random.Random(3)
+    parts = [CARD, GROUPED, WRONG, *PHONES, "97.51.17.173", "2020-02-29", "123-45-6789", "12", "123", "1234", "12345678", "456.555.2186", "x", "6212 3456 7890 1234 569"]
+    for _ in range(3000):
+        text = "".join(x + rng.choice("  -.,") for x in rng.choices(parts, k=5))
+        new, _ = pii.replaced(text, KEY)
+        assert pii.replaced(new, KEY, -1)[0] == text, text
+
+
 def test_equal_values_stay_linked(spark):
     data = [(1, "to 4111111111111111."), (2, "4111-1111-1111-1111"), (3, None), (4, ""), (4, ""), (None, "é 152.143.123.131###")]
     df = spark.createDataFrame(data, "doc_id long, text string").selectExpr("doc_id", "'x' as pii", "text", "1 as kind")

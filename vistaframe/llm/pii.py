@@ -10,7 +10,10 @@ A phone number ends before a value that stands next to it: at its country's leng
 a value of another kind; a bare number behind a phone of no fixed length counts as its last digits.
 
 What stays: an address's domain, a card's first digit and whether its check digit is right, a phone number's country
-code, all separators. Long digit runs of card length whose check digit is wrong are permuted as well.
+code, all separators. Unbroken runs of 13 to 19 digits and digits grouped 4-4-4-4, 4-6-5 or 4-6-4 are permuted as cards
+even if their check digit is wrong; other groupings only if it is right. What is written must be read at the same place
+again: a number whose own reading hangs on the digits beside it (groups with a wrong check digit, followed by one to three
+digits; irregular groupings) may have another pseudonym there.
 
 Defined results: a null text stays null with no finds; empty texts and tables stay as they are; texts without finds are
 unchanged; repeated rows give repeated results; other columns are kept, and one named pii is replaced.
@@ -48,9 +51,16 @@ PATTERNS = {
 FIND = re.compile("|".join(f"(?P<{k}>{PATTERNS[k]})" for k in ("email", "iban", "date", "ssn", "ip", "card", "phone")))
 MAYBE = re.compile(r"[0-9]|@")
 # what may stand inside a phone's match as a value of its own, and where a phone may end before it
-INNER = re.compile("|".join(f"(?P<{k}>{PATTERNS[k]})" for k in ("date", "ssn", "ip", "card")) + r"|(?P<phone>(?<![A-Za-z0-9.+-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![A-Za-z0-9-]))")
+SECOND = r"(?P<phone>(?<![A-Za-z0-9.+-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![A-Za-z0-9-]))"
+INNER, NO_CARD = (re.compile("|".join([*(f"(?P<{k}>{PATTERNS[k]})" for k in kinds), SECOND])) for kinds in (("date", "ssn", "ip", "card"), ("date", "ssn", "ip")))
+PHONE = re.compile(PATTERNS["phone"])
 BORDER = re.compile(r"(?![A-Za-z0-9-]|\.[0-9])")
 NATIONAL = re.compile(r"\([0-9]{3}\)\x20?[0-9]{3}[\x20.-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}")
+# a card's digits: one run of 13 to 19, or groups with one separator; these are cards whatever their check digit is
+GROUPED = re.compile(r"[0-9]{13,19}(?![0-9])|[0-9]{4}([\x20-])(?:[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{6}\1[0-9]{4,5})(?![0-9])")
+# and these if their check digit is right
+LONGER = re.compile(r"[0-9]{4}([\x20-])(?:[0-9]{4}\1[0-9]{4}\1[0-9]{4}\1[0-9]{1,3}|[0-9]{4}\1[0-9]{4}\1[0-9]{1,3}|[0-9]{4}\1[0-9]{5}|[0-9]{5}\1[0-9]{6})(?![0-9])|[0-9]{6}([\x20-])(?:[0-9]{10}|[0-9]{13})(?![0-9])|[0-9]{8}[\x20-][0-9]{8}(?![0-9])")
+RUN, BESIDE = re.compile(r"[0-9]+"), re.compile(r"[\x20-][0-9]")
 #: Digits behind country codes whose numbers all have one length.
 LENGTHS = {"1": 10, "7": 10, "31": 9, "33": 9, "34": 9, "41": 9, "45": 8, "47": 8, "48": 9, "52": 10, "61": 9, "91": 10}
 #: Characters behind a value that its reading may depend on.
@@ -180,18 +190,26 @@ def _form(v: str) -> int:
     return 2 if any(LENGTHS.get(d[:n]) == len(d) - n for n in (1, 2)) else int(8 <= len(d) <= 15)
 
 
+def _inner(text: str, start: int, end: int, kinds: re.Pattern = INNER) -> int:
+    """Where the first valid value begins that stands inside a match but not at its start; end without one."""
+    pos = start + 1
+    while (m := kinds.search(text, pos)) and m.start() < end:
+        if m.lastgroup == "card":
+            if span := _card_span(text, *m.span()):
+                return min(span[0], end)
+        elif m.lastgroup == "phone" or WRITERS[m.lastgroup](m[0], _key(""), 1) is not None:
+            return m.start()
+        pos = m.start() + 1
+    return end
+
+
 def _phone_end(text: str, start: int, end: int) -> int | None:
     """Where the phone ends that a match begins with: before a value of another kind or a second phone, if it can."""
     ends = [e for e in range(start + 8, end + 1) if e == end or (text[e - 1].isdigit() and BORDER.match(text, e))]
     forms = [(f, e) for e in ends if (f := _form(text[start:e]))]
     if not forms:
         return None
-    most, pos = end, start + 1
-    while (m := INNER.search(text, pos)) and m.start() < end:
-        if m.lastgroup == "phone" or WRITERS[m.lastgroup](m[0], _key(""), 1) is not None:
-            most = m.start()
-            break
-        pos = m.start() + 1
+    most = _inner(text, start, end)
     return max([x for x in forms if x[1] <= most] or forms)[1]
 
 
@@ -239,12 +257,43 @@ def _key(key: str) -> bytes:
 
 def _value(text: str, m: re.Match) -> tuple[str, int, int] | None:
     """(kind, start, end) of the value that a match stands for."""
-    if m.lastgroup == "phone":
-        end = _phone_end(text, *m.span())
-        return end and ("phone", m.start(), end)
-    if m.lastgroup == "card" and (p := NATIONAL.match(text, m.start())) and BORDER.match(text, p.end()):
-        return "phone", *p.span()
-    return m.lastgroup, *m.span()
+    kind, start, end = m.lastgroup, *m.span()
+    card = _card_span(text, start, end) if kind == "card" else None
+    if card and card[0] == start:
+        return "card", *card
+    if kind in ("card", "phone"):  # what is no card, or stands before one, may be a phone
+        p = m if kind == "phone" else PHONE.match(text, start)
+        if p and (end := _phone_end(text, start, p.end())):
+            return "phone", start, end
+        return card and ("card", *card)
+    return kind, start, end
+
+
+def _right(v: str) -> bool:
+    d = "".join(c for c in v if c.isdigit())
+    return luhn(d[:-1]) == int(d[-1])
+
+
+def _card_span(text: str, start: int, end: int) -> tuple[int, int] | None:
+    """The card in a match: by its grouping and check digit, then by its grouping; else all of the match, if nothing
+    else is in it, no group goes on beside it and its check digit is right."""
+    found = []
+    for run in RUN.finditer(text, start, end):
+        for forms, longer in ((GROUPED, False), (LONGER, True)):
+            m = forms.match(text, run.start())
+            if m and not text[m.end() : m.end() + 1].isalnum():
+                right = _right(m[0])
+                # a wrong check digit: one run before groups, and no card that another group goes on behind a hyphen
+                alone = text[m.end() : m.end() + 1] != "-" or m.end() < end
+                if right or (not longer and alone):
+                    found.append((not right, not right and not m[0].isdigit(), m.start(), longer, m.end()))
+    if found:
+        most = _inner(text, start, max(f[4] for f in found), NO_CARD)
+        if found := [f for f in found if f[4] <= most]:
+            best = min(found)
+            return best[2], best[4]
+    beside = BESIDE.match(text, end) or (start > 1 and text[start - 1] in " -" and text[start - 2].isdigit())
+    return None if beside or not _right(text[start:end]) or _inner(text, start, end) < end else (start, end)
 
 
 def _written(text: str, m: re.Match, kind: str, start: int, end: int, key: bytes, step: int) -> str | None:
@@ -252,7 +301,7 @@ def _written(text: str, m: re.Match, kind: str, start: int, end: int, key: bytes
     new = WRITERS[kind](text[start:end], key, step)
     if new is None or kind not in ("phone", "card"):
         return new
-    low = max(0, m.start() - 1)
+    low = max(0, m.start() - 2)
     before, behind = text[low:start], text[end : end + AHEAD]
 
     def read(value: str) -> tuple[str, int, int] | None:
