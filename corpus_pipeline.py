@@ -23,9 +23,21 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (five-word shingles, similarity 0.8 or more)."""
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The document with the smallest id of each group of near copies (five-word shingles, similarity 0.8 or more).
+
+    Where an id stands for several texts, each of them counts as a document of its own, so that no text is lost with another.
+    """
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    ids = docs.where("doc_id is not null").select("doc_id", text.alias("__text"))
+    several = ids.groupBy("doc_id").agg(F.min("__text").alias("a"), F.max("__text").alias("b")).where("a <> b")
+    if several.isEmpty():
+        gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    order = ids.distinct().repartitionByRange("doc_id", "__text").sortWithinPartitions("doc_id", "__text")
+    numbers = stored(order.withColumn("__row", F.monotonically_increasing_id()), "pipeline-numbers")
+    rows = stored(docs.withColumn("__text", text).join(numbers, ["doc_id", "__text"], "left"), "pipeline-rows")
+    gone = minhash.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).where("not kept").select(F.col("doc_id").alias("__row")).distinct()
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

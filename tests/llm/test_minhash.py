@@ -80,6 +80,16 @@ def test_edges(spark, rows):
     assert got(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("rows", [
+    [(5, "a b c d"), (5, "x y z w"), (3, "x y z w"), (7, "a b c d")],
+    [(5, "a b c d"), (3, "a b c d"), (5, ""), (5, None), (6, "")],
+    [(2, " ".join(f"w{i}" for i in range(60))), (2, " ".join(f"v{i}" for i in range(60))), (2, " ".join(f"u{i}" for i in range(60)))]
+    + [(9 + k, " ".join(f"{c}{i}" for i in range(59 - k))) for k, c in enumerate("wvu")],
+])
+def test_ids_of_several_texts_are_one_document(spark, rows):
+    assert got(spark, rows) == got(spark, rows[::-1]) == brute(rows)
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**63, 3000).astype(np.uint64)

@@ -78,3 +78,12 @@ def test_stages_take_nulls_repeats_and_clashing_names(spark, sf_dir, tmp_path):
         if name == "pii":
             assert not [r for r in out.collect() if "bosbt.42" in (r.text or "")] and {r.n_chars for r in out.where("doc_id = 2").collect()} == {None}
     assert out.count() == docs.count() > 0
+
+
+def test_no_text_is_lost_with_another_of_its_id(spark, sf_dir):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    data = [(5, a, "en"), (5, b, "en"), (3, b, "de"), (7, a, "en"), (3, b, "de"), (None, a, "fr")]
+    docs = spark.createDataFrame([(*r, "s", len(r[1])) for r in data], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_copies_out(spark, docs, sf_dir)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text, r.lang) for r in out.collect()), key=str) == sorted([data[0], data[2], data[4], data[5]], key=str)

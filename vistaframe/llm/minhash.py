@@ -18,7 +18,7 @@ its copies is spread over many tasks. Groups grow together by alternating large-
 confirmed links; each step is a table in the shared folder.
 
 Defined results: a null text counts as empty; a text without words has an empty set, no links and its own id as group;
-rows with one id are one document, linked by any of their texts; a row whose id is null has no links, a null group and
+rows with one id are one document and have one group, linked by any of their texts; a row whose id is null has no links, a null group and
 is kept; an empty table gives an empty result; only doc_id and text are read.
 """
 
@@ -243,7 +243,7 @@ def across(buckets: DataFrame, roots: DataFrame, unique: DataFrame, docs: DataFr
     wholes = components(found.where("not active").select("a", "b"))
     active = found.where("active").select(F.col("a").alias("node"), F.col("b").alias("root"))
     placed = active.join(wholes.select(F.col("node").alias("root"), F.col("root").alias("whole")), "root", "left")
-    placed = placed.select("node", "root", F.coalesce("whole", "root").alias("whole")).join(unique.select("node", "n_shingles"), "node")
+    placed = placed.select("node", "root", F.coalesce("whole", "root").alias("whole")).join(unique.groupBy("node").agg(F.sum("n_shingles").alias("n_shingles")), "node")
     count = F.greatest(F.sum("n_shingles") / F.lit(PIECE), F.count("*") / F.lit(BLOCK))
     sizes = placed.groupBy("whole").agg(F.ceil(count).cast("int").alias("pieces"))
     sent = stored(_dealt(placed.join(sizes, "whole"), F.col("pieces")).select("node", "root", "whole", "mine", "i", "j"), "sent")
@@ -305,22 +305,31 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     each = unique.select("node", F.explode("bands").alias("band"))
     leaders = each.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = stored(each.join(leaders, "band"), "buckets")
-    signs = unique.select("node", "n_shingles", "sig").dropDuplicates(["node"])
     least = percent / 100 - SLACK
     stars = buckets.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     agreeing = (
-        stars.join(signs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
-        .join(signs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
+        stars.join(unique.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
+        .join(unique.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
         .select("a", "b", agreement("sa", "sb").alias("est"))
         .where(F.col("est") >= least)
+        .groupBy("a", "b").agg(F.max("est").alias("est"))  # an id may have several signatures
     )
     groups = Groups(docs, words, percent)
+    # ids that stand for several texts: their classes are linked, and rows without words go with them
+    named = linked.select("doc_id", "set_key").join(classes.select("set_key", "node"), "set_key").select("doc_id", "node")
+    blank = signed.where("n_shingles = 0 and doc_id is not null").select("doc_id")
+    both = named.unionByName(blank.withColumn("node", F.lit(None).cast("long")))
+    ids = both.groupBy("doc_id").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count_if(F.col("node").isNull()).alias("blank"))
+    several = stored(ids.where("least < most or (blank > 0 and least is not null)").select("doc_id", "least"), "several")
+    if not several.isEmpty():
+        groups.link(named.join(several, "doc_id").select(F.col("least").alias("a"), F.col("node").alias("b")).where("a <> b").distinct())
     groups.grow(agreeing)
-    groups.link(across(buckets, groups.roots, signs, docs, words, percent))
+    groups.link(across(buckets, groups.roots, unique, docs, words, percent))
+    rows = signed.select("doc_id", "set_key", "n_shingles")
+    worded = rows.where("n_shingles > 0 and doc_id is not null").join(classes.select("set_key", "node"), "set_key", "left")
+    others = rows.where("n_shingles = 0 or doc_id is null").join(several.withColumnRenamed("least", "node"), "doc_id", "left")
     return (
-        signed.select("doc_id", "set_key", "n_shingles")
-        .join(classes.select("set_key", "node"), "set_key", "left")
-        .withColumn("node", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node")))
+        worded.unionByName(others)
         .join(groups.roots, "node", "left")
         .withColumn("component_id", F.coalesce("root", "node", "doc_id"))
         .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
