@@ -67,3 +67,11 @@ def test_mix_repeats_documents_and_keeps_columns(spark):
     words = out.select(F.sum(F.size(F.split(F.trim("text"), " ")))).first()[0]
     total = sum(len(t.split()) for _, t, _, _ in data)
     assert abs(words - 1.5 * total) <= 50
+
+
+def test_mix_keeps_rows_that_differ_in_other_columns_alone(spark):
+    data = [(1, "a b c", "s", lang) for lang in ("en", "de", None)] + [(None, "d e", None, lang) for lang in ("fr", "es")] + [(2, "f g h", "s", "en")] * 2
+    docs = rows(spark, data).withColumn("more", F.create_map(F.lit("k"), F.coalesce("lang", F.lit("none"))))
+    out = [(r.doc_id, r.lang, r.more["k"]) for r in mixing.mix(docs, share=2.0).collect()]
+    again = [(r.doc_id, r.lang, r.more["k"]) for r in mixing.mix(docs.orderBy(F.desc("lang")), share=2.0).collect()]
+    assert out == again and sorted(out, key=str) == sorted([(i, x, x or "none") for i, _, _, x in data] * 2, key=str)

@@ -27,6 +27,8 @@ SHARE = 1.5
 PASSES = 2
 ORDER_BUCKETS = 1024
 TIME_BUCKETS = 1024
+#: Columns by which mix() tells rows apart.
+KEY = ("__mix_id", "__mix_source", "__mix_text", "__mix_rest")
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = PASSES) -> DataFrame:
@@ -65,7 +67,7 @@ def queue_times(docs: DataFrame, seed: int = 0, weights=WEIGHTS, share: float =
         .withColumnRenamed("source", "_source"),
         F.col("source").eqNullSafe(F.col("_source")),
     ).select(F.col("_source"), F.col("_piece").alias("_of"), "_ahead", "rank", "source_size", "target")
-    within = Window.partitionBy("source", "_piece").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "_piece").orderBy("_h", "doc_id", "size", *[c for c in docs.columns if c in KEY]).rowsBetween(Window.unboundedPreceding, -1)
     return (
         shuffled.withColumn("_within", F.coalesce(F.sum("size").over(within), F.lit(0)))
         .join(offsets, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_piece") == F.col("_of")))
@@ -143,14 +145,16 @@ def sized(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, seed: int = 0, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
     """The mixed documents in mixing order: the columns of docs, a row as often as the mix takes it.
 
-    Only ids and sizes go through the queues; the texts join the passes at the end by id, source and text hash.
+    Only ids and sizes go through the queues; the texts join the passes at the end by id, source, text hash
+    and a hash of all other columns.
     """
-    names = docs.columns
-    key = ["__mix_id", "__mix_source", "__mix_text"]
+    names, key = docs.columns, list(KEY)
+    rest = F.struct(*[F.col(f"`{c}`") for c in names if c not in ("doc_id", "source", "text")], F.lit(0).alias("__mix_none"))
     keyed = docs.withColumns({
         key[0]: F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
         key[1]: F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")),
-        key[2]: F.xxhash64(F.coalesce("text", F.lit(""))),
+        key[2]: F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()),
+        key[3]: F.xxhash64(F.to_json(rest, {"ignoreNullFields": "false"})),
     })
     small = stored(sized(keyed).select("doc_id", "source", "size", *key), "mix-sizes")
     times = stored(queue_times(small, seed, weights, share), "mix-times")
