@@ -270,3 +270,11 @@ def test_watching_a_folder(spark, tmp_path):
         q.awaitTermination(60)
     got = spark.read.parquet(f"{tmp_path}/out").where("column = 'region'").collect()
     assert [(r.n, r.n_null) for r in got] == [(10, 1)] * 2
+
+
+def test_overview_takes_types_from_all_rows(spark, tmp_path):
+    p = f"{tmp_path}/late.csv"
+    with open(p, "w") as f:
+        f.write("a,b\n" + "".join(f"{i},{i if i < 21_000 else 'x'}\n" for i in range(50_000)))
+    r = {x.column: x for x in overview(spark, p).collect()}
+    assert (r["a"].type, r["b"].type, r["b"].n_bad, r["b"].n_bad_rows) == ("bigint", "string", 0, 0)

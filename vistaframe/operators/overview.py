@@ -18,7 +18,7 @@ def overview(spark: SparkSession, path: str) -> DataFrame:
     """
     if detect(spark, path) in ("csv", "folder_csv"):
         whole = text.read_folder_csv(spark, path, typed=False).drop("filename") if detect(spark, path) == "folder_csv" else text.read_all_text(spark, path)
-        schema = text.inferred_schema(whole)
+        schema = text.inferred_schema(whole, sample=None)  # the scan of the next step, not a share of its rows
         cells = uncastable_cells(whole, schema)
         types = describe(spark.createDataFrame([], schema))
         rows = bad_row_count(whole, schema)
