@@ -1,6 +1,7 @@
 import datetime
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -115,6 +116,24 @@ def test_whatever_is_found_can_be_undone():
         assert pii.replaced(new, KEY, -1)[0] == text, text
 
 
+@pytest.mark.parametrize("n", [255, 256, 257, 513, 67_500, 1_000_000])
+def test_long_values_cost_no_more_than_their_length(n):
+    rng = random.Random(n)
+    value = "".join(rng.choices("abcXYZ019", k=n)) + "@ex.com"
+    began = time.process_time()
+    new, found = pii.replaced(f"to {value} and {value}", KEY)
+    assert time.process_time() - began < 0.5 + n / 500_000  # two values
+    assert found == [("email", 3, 3 + len(value)), ("email", 8 + len(value), 8 + 2 * len(value))]
+    assert new[3 : 3 + len(value)] == new[8 + len(value) :] != value
+    assert pii.replaced(new, KEY, -1)[0] == f"to {value} and {value}"
+
+
+def test_equal_pieces_of_long_values_do_not_show():
+    part, other = "ab1" * 100, "cd2" * 100
+    a, b = (pii.replaced(f"{x}{part * 5}@ex.com", KEY)[0] for x in (part, other))
+    assert not any(x == y for x, y in zip(re.findall(".{50}", a), re.findall(".{50}", b)))
+
+
 def test_equal_values_stay_linked(spark):
     data = [(1, "to 4111111111111111."), (2, "4111-1111-1111-1111"), (3, None), (4, ""), (4, ""), (None, "é 152.143.123.131###")]
     df = spark.createDataFrame(data, "doc_id long, text string").selectExpr("doc_id", "'x' as pii", "text", "1 as kind")
