@@ -1,7 +1,7 @@
 """Token counts by a count-only Viterbi over a unigram vocabulary.
 
-A text is cut in front of every space, as the vocabulary's pieces hold a space at most as their first character. For
-each word, Aho-Corasick reports all pieces that end at each place, longest first; dynamic programming keeps for each
+A text is cut where a space follows another character: pieces hold spaces at their beginning only, so none reaches over
+such a place. For each word, with the run of spaces before it, Aho-Corasick reports all pieces that end at each place, longest first; dynamic programming keeps for each
 place the best sum of scores and the number of pieces on the way to it, and nothing else. Ties go to the piece that
 starts first, and a character without a piece of its own costs the lowest score less 10 and counts one token a byte,
 as in the tokenizers library's Unigram model with byte fallback. Words are counted once as long as a task keeps them.
@@ -33,13 +33,15 @@ KEPT_WORDS, KEPT_LENGTH = 1_000_000, 64
 
 @cache
 def vocabulary(model: str = MODEL) -> list[tuple[str, float]]:
-    """(piece, score) by id. Pieces of several spaces are left out: no word holds more than one."""
+    """(piece, score) by id, of all pieces but control ones. No piece has a space behind another character."""
     import public_tokenizers
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(model))
     each = [(m.id_to_piece(i), m.get_score(i)) for i in range(m.get_piece_size()) if not m.is_control(i)]
-    return [(p, s) for p, s in each if SPACE not in p[1:]]
+    if any(SPACE in p.lstrip(SPACE) for p, _ in each):
+        raise ValueError(f"{model} has pieces that reach over the beginning of a word")
+    return each
 
 
 class Counter:
@@ -86,14 +88,20 @@ class Counter:
         return count[n]
 
     def of_text(self, text: str | None) -> tuple[int, int]:
-        """(tokens, words)."""
+        """(tokens, words that are not empty)."""
         if not text:
             return 0, 0
         words = text.replace(" ", SPACE).split(SPACE)
         if words[0] == "":
             words = words[1:]
-        kept, total = self.kept, 0
+        kept, total, n_words, run = self.kept, 0, 0, ""
         for w in words:
+            if not w:
+                run += SPACE
+                continue
+            n_words += 1
+            if run:
+                w, run = run + w, ""
             n = kept.get(w)
             if n is None:
                 n = self.of_word(SPACE + w)
@@ -102,7 +110,7 @@ class Counter:
                         kept.clear()
                     kept[w] = n
             total += n
-        return total, len(words)
+        return total + (self.of_word(run) if run else 0), n_words
 
 
 COUNTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("n_words", T.LongType())])
