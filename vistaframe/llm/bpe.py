@@ -2,7 +2,7 @@
 
 A rolling hash over a text's bytes picks places that depend on nothing but the sixteen bytes before them; each is moved
 to the next start of a word, and the text is cut there. Equal passages of different documents so give equal chunks, and
-a task encodes each chunk once, as long as it stays in a store of bounded size. Where two chunks meet, a window of the
+a Python worker encodes each chunk once, as long as it stays in a store of bounded size; the store outlives tasks. Where two chunks meet, a window of the
 last word of one and the first word of the other is encoded in one piece and compared with what the two chunks gave; a
 window that disagrees is widened word by word until its ends agree, and its ids replace theirs.
 
@@ -16,8 +16,10 @@ columns of the input are kept, and those named like the result are replaced.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,8 @@ RANKS = "byte_bpe_50k.tiktoken"
 SPECIAL = {"<|endoftext|>": 50256}
 #: A chunk ends where this many low bits of the rolling hash are 0: about every 1,024 bytes.
 MASK = np.uint32((1 << 10) - 1)
-#: Characters of chunk text that a task keeps in each of two generations.
-KEPT_CHARS = 1_000_000
+#: Characters whose chunks' ids a worker keeps in each of two generations: about a byte and a half a character.
+KEPT_CHARS = 12_000_000
 
 
 @cache
@@ -71,22 +73,31 @@ def cuts(text: str) -> list[int]:
 
 
 class Chunks:
-    """Ids of chunks, each encoded once while it is kept; two generations bound what is kept."""
+    """Ids of chunks by digest, each encoded once while it is kept; two generations bound what is kept."""
 
     def __init__(self, encode) -> None:
         self.encode, self.new, self.old, self.chars = encode, {}, {}, 0
+        self.seen = self.reused = 0
 
     def ids(self, chunk: str) -> list[int]:
-        found = self.new.get(chunk)
+        key = hashlib.blake2b(chunk.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        self.seen += len(chunk)
+        found = self.new.get(key)
         if found is None:
-            found = self.old.get(chunk)
+            found = self.old.get(key)
             if found is None:
-                found = self.encode(chunk)
-            self.new[chunk] = found
+                ids = self.encode(chunk)
+                found = np.array(ids, np.int32).tobytes()
+            else:
+                ids = None
+            self.new[key] = found
             self.chars += len(chunk)
             if self.chars > KEPT_CHARS:
                 self.old, self.new, self.chars = self.new, {}, 0
-        return found
+            if ids is not None:
+                return ids
+        self.reused += len(chunk)
+        return np.frombuffer(found, np.int32).tolist()
 
 
 def _tail(text: str, words: int) -> int:
@@ -146,13 +157,31 @@ class Encoder:
         return joined([text[a:b] for a, b in zip(edges, edges[1:])], self.chunks.ids, self.encode)
 
 
+@cache
+def worker_encoder() -> Encoder:
+    """The encoder of this Python worker, with the chunks that earlier tasks left in it."""
+    return Encoder()
+
+
 def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encode = Encoder()
+    encode = worker_encoder()
+    for batch in batches:
+        yield _with(batch, "ids", _lists([encode(t or "") for t in batch.column("text").to_pylist()]))
+
+
+def _lists(ids: list[list[int]]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))))
+
+
+def _both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ids in place of text, and decoded: one pass through Python for the way there and back."""
+    encode, tk = worker_encoder(), encoder()
     for batch in batches:
-        lists = [np.array(encode(t or ""), np.int32) for t in batch.column("text").to_pylist()]
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-        values = np.concatenate(lists) if lists else np.array([], np.int32)
-        yield _with(batch, "ids", pa.ListArray.from_arrays(pa.array(ends), pa.array(values)))
+        ids = [encode(t or "") for t in batch.column("text").to_pylist()]
+        keep = [n for n in batch.schema.names if n != "text"]
+        decoded = pa.array([tk.decode_bytes(x).decode("utf-8", "replace") for x in ids], pa.string())
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), _lists(ids), decoded], [*keep, "ids", "decoded"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +200,7 @@ def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
 
 def encode(df: DataFrame) -> DataFrame:
     """df with ids: array<int>, the ids of its column text."""
-    small_batches(df.sparkSession, 500)
+    small_batches(df.sparkSession)
     kept = df.drop("ids")
     schema = T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return kept.mapInArrow(_ids, schema)
@@ -179,7 +208,7 @@ def encode(df: DataFrame) -> DataFrame:
 
 def decode(df: DataFrame) -> DataFrame:
     """df with decoded: the text of its column ids."""
-    small_batches(df.sparkSession, 500)
+    small_batches(df.sparkSession)
     kept = df.drop("decoded").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
     schema = T.StructType([*kept.schema.fields, T.StructField("decoded", T.StringType())])
     return kept.mapInArrow(_texts, schema)
@@ -187,7 +216,10 @@ def decode(df: DataFrame) -> DataFrame:
 
 def digests(df: DataFrame, *columns: str) -> DataFrame:
     """The given columns, n_tokens, ids_sha256 and decoded_sha256 of df's texts, encoded and decoded again."""
-    both = decode(encode(df.select(*columns, "text")).drop("text"))
+    small_batches(df.sparkSession)
+    rows = df.select(*columns, "text")
+    results = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    both = rows.mapInArrow(_both, T.StructType([f for f in rows.schema.fields if f.name != "text"] + results))
     return both.select(
         *columns,
         F.size("ids").cast("long").alias("n_tokens"),
