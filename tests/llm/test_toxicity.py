@@ -52,13 +52,58 @@ def test_held_out_labels_are_never_learnt(spark):
     assert a.weights == b.weights and a.bias == b.bias
 
 
-def test_swapped_twins_lower_the_weight_of_group_terms(spark):
-    d, lab = frames(spark, *corpus(identity=True))
-    def gap(model):
-        e = toxicity.Extractor(model.weights)
-        return model.score("the gay river", e) - model.score("the straight river", e)
-    free, held = (gap(toxicity.train(d, lab, penalty=x)) for x in (0.0, 50.0))
-    assert free > 0.02 and held < 0.5 * free
+TERMS = sorted(toxicity.swaps())
+
+
+@pytest.fixture(scope="module")
+def models(spark):
+    """Models without and with the penalty, of sentences that name a group and are toxic more often than others."""
+    rng, docs, labels = random.Random(4), [], []
+    names = {}
+    for term in TERMS:
+        for k in range(30):
+            rest = [rng.choice(CLEAN) + rng.choice("abcdefgh") for _ in range(12)]
+            toxic = int(k < 27)
+            words = [*rest, term] + (rng.sample(BAD, 1) if toxic and k % 3 == 0 else [])
+            rng.shuffle(words)
+            i = len(docs)
+            docs.append((i, f"{' '.join(rest[:4])}. {' '.join(words)}! {' '.join(rest[4:8])}"))
+            labels.append((i, toxic))
+            names[i] = term
+    for _ in range(len(docs)):
+        i = len(docs)
+        docs.append((i, ". ".join(" ".join(rng.choice(CLEAN) + rng.choice("abcdefgh") for _ in range(8)) for _ in range(3))))
+        labels.append((i, 0))
+    d, lab = frames(spark, docs, labels)
+    return [toxicity.train(d, lab, penalty=x) for x in (0.0, toxicity.PENALTY)]
+
+
+@pytest.mark.parametrize("term", TERMS)
+def test_a_neutral_mention_of_any_group_is_no_toxicity(models, term):
+    free, held = (m.score(f"a {term} teacher came home", toxicity.Extractor(m.weights)) for m in models)
+    assert free > 0.5 > held
+
+
+def test_what_is_toxic_beside_a_group_stays_toxic(models):
+    held = models[1]
+    assert held.twins > 0 and all(held.score(f"the {b} came", toxicity.Extractor(held.weights)) > 0.5 for b in BAD)
+
+
+def test_twins_swap_one_group_for_each_other_of_its_kind():
+    swap = toxicity.swaps()
+    assert all(t not in others for t, lists in swap.items() for others in lists)
+    assert sorted(map(sorted, toxicity.twins({"two", "frauen"}, swap))) == [["männer", "two"], ["two"]]
+    got = toxicity.twins({"gay", "river"}, swap)
+    assert len(got) == 6 and all("river" in x and "gay" not in x for x in got)
+    assert toxicity.twins({"river"}, swap) == []
+    assert "muslims" not in {w for x in toxicity.twins({"muslim"}, swap) for w in x}
+
+
+def test_one_text_an_id_teaches(spark):
+    docs, labels = corpus(100)
+    d, lab = frames(spark, docs + [(1, f"other text {i}") for i in range(500)], labels)
+    rows = toxicity.labelled_sample(d, lab)
+    assert rows.count() <= 100 and toxicity.labelled_sample(d, lab, 7).count() == 7
 
 
 @pytest.mark.parametrize("labels", [[], [(1, 0)], [(1, 1), (2, 1), (3, 1)]])
