@@ -1,8 +1,11 @@
 import base64
 import hashlib
+import math
 import random
 import re
 
+import pytest
+
 from vistaframe.llm import secrets
 
 
@@ -50,7 +53,56 @@ def test_random_tokens_and_edges(spark, tmp_path):
                 a, b = map(int, s.split(":")[1:])
                 hits += a <= at + 2 and b >= at + len(key) - 2
                 false += not (a < at + len(key) and at < b)
-    assert hits >= 75 and false <= 5
+    assert hits >= 90 and false <= 5
+    assert got[1005].base_p.count(",") == 2 and got[1000].base_p == "" and got[1004].base_p == "0.0,0.0"
+
+
+def statistics(token, encoding):
+    """The battery's p-value of one token, from the tests' definitions."""
+    name, size, alphabet, _ = secrets.ENCODINGS[encoding]
+    x = [alphabet.index(c.lower() if name == "hex" else {"-": "+", "_": "/"}.get(c, c)) for c in token]
+    n, counts = len(x), [x.count(i) for i in range(size)]
+    chi = sum((c - n / size) ** 2 / (n / size) for c in counts)
+    chi_z = (chi - (size - 1)) / math.sqrt(2 * (size - 1) * (n - 1) / n)
+    high = [i >= size // 2 for i in x]
+    run_z = (sum(a != b for a, b in zip(high, high[1:])) - (n - 1) / 2) / math.sqrt((n - 1) / 4)
+    mean, variance = (size - 1) / 2, (size**2 - 1) / 12
+    serial_z = sum((a - mean) * (b - mean) for a, b in zip(x, x[1:])) / variance / math.sqrt(n - 1)
+    total = max(chi_z, 0) ** 2 + run_z**2 + serial_z**2
+    return math.erfc(math.sqrt(total / 2)) + math.sqrt(2 * total / math.pi) * math.exp(-total / 2)
+
+
+@pytest.mark.parametrize("encoding", range(3))
+def test_battery_equals_its_definition(encoding):
+    rng = random.Random(encoding)
+    alphabet = secrets.ENCODINGS[encoding][2]
+    tokens = ["".join(rng.choices(alphabet, k=rng.randint(12, 90))) for _ in range(200)] + [alphabet[0] * 12, alphabet[1] * 500, alphabet * 3]
+    tokens += ["DEADBEEF0123"] if encoding == 0 else ["ab-_cd+/EF09"] if encoding == 2 else []
+    assert secrets.battery(tokens, encoding) == pytest.approx([statistics(t, encoding) for t in tokens], rel=1e-9, abs=1e-12)
+
+
+def test_random_tokens_pass_at_the_rate_that_p_values_promise():
+    """Share of uniform random tokens with a p-value of 0.05 or more, by encoding and length."""
+    rng = random.Random(8)
+    for encoding, (_, _, alphabet, _) in enumerate(secrets.ENCODINGS):
+        for length in (12, 20, 40, 80):
+            p = secrets.battery(["".join(rng.choices(alphabet, k=length)) for _ in range(2000)], encoding)
+            assert (p >= 0.05).mean() > 0.9
+
+
+@pytest.mark.parametrize("texts", [["sha256WithRSAEncryption", "x"], ["sha256WithRSAEncryption plain words"]])
+def test_without_decoys_nothing_is_found(spark, texts):
+    rows = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.spans for r in rows] == [[]] * len(texts)
+
+
+def test_tokens_beside_base_spans_are_tested():
+    text = "0123456789abcdefGHIJKLMNOPQRSTUV x"
+    assert secrets.tokens(text, secrets.base_spans(text)) == [(16, 32)]
+    text = "q" * 15 + "-AKIA" + "B" * 14 + "/" + "z" * 11 + " AKIA" + "C" * 30
+    assert secrets.tokens(text, secrets.base_spans(text)) == [(0, 16), (34, 46)]
+    long = ("secret=abcdefghijkl " + "w" * 14 + " ") * 20_000
+    assert len(secrets.tokens(long, secrets.base_spans(long))) == 20_000
 
 
 def test_empty_table(spark):

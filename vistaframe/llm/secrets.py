@@ -1,16 +1,18 @@
 """Secret scans: fixed patterns, and a randomness test battery with false-discovery control.
 
-Patterns find assigned values, access keys and long hex strings. Beside them every unbroken run of encoding characters
-is a token; its encoding (hex, base32, base64) is inferred from its characters, and three tests say how well it fits
-uniform random symbols of that alphabet: chi-squared over symbol counts, runs about the middle of the alphabet, and
-lag-one serial correlation. Their squared deviates sum to one p-value, large for random-looking tokens.
+Patterns find assigned values, access keys and long hex strings. Beside them every unbroken run of SHORTEST or more
+encoding characters is a token, also where it only touches a pattern's find; its encoding (hex, base32, base64) is inferred
+from its characters, and three tests say how well it fits uniform random symbols of that alphabet: chi-squared over symbol
+counts, runs about the middle of the alphabet, and lag-one serial correlation. Their squared deviates sum to one p-value,
+large for random-looking tokens. The values that the patterns find go through the same battery, and their p-values are given.
 
 Ordinary words and plain numbers go through the same tests as decoys. For each encoding and length band the share of
 decoys above a p-value, counted over the whole corpus, gives the rate of false finds there; the lowest p-value at which
-that rate stays within ALPHA is the band's threshold. Short bands, where words can pass for random, need more.
+that rate stays within ALPHA is the band's threshold. A band's decoys are those of its length and of shorter ones: the
+longer a decoy, the less it looks random, so this can only raise the rate. Without decoys a band finds nothing.
 
 Defined results: a null text counts as empty; an empty text or table has no spans; repeated rows give repeated results;
-offsets are code points, end exclusive; columns beside doc_id and text are ignored.
+offsets are code points, end exclusive; tokens may be of any length; columns beside doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -23,14 +25,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .common import documents, small_batches, stored
 
 KINDS = ("assign", "access", "hex", "random")
 ALPHA = 0.05
 BINS = 20
-SHORTEST = 20
+LAST_BAND = 12
+SHORTEST = 12
 
 # The patterns of the base scan. A run of [A-Z0-9] or [0-9a-f] is matched whole either way, so the
 # lengths 18 and 16 can stand in the pattern; an assigned value's length cannot, as a short match uses up its text.
@@ -102,75 +104,118 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-TESTED = T.StructType(
-    [T.StructField(n, T.IntegerType()) for n in ("start", "end", "encoding", "band", "bin")]
-)
+BASE = T.StructType([*SPAN.fields, T.StructField("encoding", T.IntegerType()), T.StructField("band", T.IntegerType()), T.StructField("p", T.DoubleType())])
+TESTED = T.StructType([
+    *(T.StructField(n, T.IntegerType()) for n in ("start", "end", "encoding", "band", "bin")), T.StructField("p", T.DoubleType()),
+])
 DECOYS = T.StructType([T.StructField(n, T.IntegerType()) for n in ("encoding", "band", "bin", "n")])
 SCAN = T.StructType([
-    T.StructField("base", T.ArrayType(SPAN)), T.StructField("tested", T.ArrayType(TESTED)), T.StructField("decoys", T.ArrayType(DECOYS)),
+    T.StructField("base", T.ArrayType(BASE)), T.StructField("tested", T.ArrayType(TESTED)), T.StructField("decoys", T.ArrayType(DECOYS)),
 ])
 
 
+def band(token: str) -> int:
+    """Length bands, two for each doubling of the length."""
+    return min(LAST_BAND, int(2 * math.log2(len(token))))
+
+
+def tokens(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of the tokens of a text, cut where base spans (sorted by start) begin or end, without those inside them."""
+    taken: list[list[int]] = []  # the spans' places without overlaps
+    for _, a, b in spans:
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    out, i = [], 0
+    for m in TOKEN.finditer(text):
+        at, end = m.span()
+        while i < len(taken) and taken[i][1] <= at:
+            i += 1
+        j = i
+        while j < len(taken) and taken[j][0] < end:
+            out.append((at, taken[j][0]))
+            at = taken[j][1]
+            j += 1
+        out.append((at, end))
+    return [(a, b) for a, b in out if b - a >= SHORTEST]
+
+
 @F.pandas_udf(SCAN)
 def scan(texts: pd.Series) -> pd.DataFrame:
     """Base spans, tested tokens outside them, and counts of decoys, per text."""
-    base, places = [], ([], [], [])
+    base, places = [], [[] for _ in ENCODINGS]
     for row, text in enumerate(texts):
         text = text or ""
         spans = base_spans(text)
-        base.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-        for m in TOKEN.finditer(text):
-            a, b = m.span()
-            if (kind := kind_of_token(m[0])) and not any(a < e and s < b for _, s, e in spans):
-                places[kind[0]].append((row, a, b, kind[1], m[0]))
+        base.append([{"kind": k, "start": a, "end": b, "encoding": None, "band": None, "p": None} for k, a, b in spans])
+        for i, (k, a, b) in enumerate(spans):
+            value = (ASSIGN.match(text, a, b)[2] if k == "assign" else text[a:b]).rstrip("=")
+            if len(value) >= 2 and (found := kind_of_token(value)):
+                places[found[0]].append((row, i, None, False, value))
+        for a, b in tokens(text, spans):
+            if found := kind_of_token(text[a:b]):
+                places[found[0]].append((row, a, b, found[1], text[a:b]))
     tested, decoys = [[] for _ in base], [{} for _ in base]
     for encoding, found in enumerate(places):
         if found:
-            for (row, a, b, plain, token), p in zip(found, battery([f[4] for f in found], encoding)):
-                at = (encoding, min(12, int(2 * math.log2(len(token)))), min(BINS - 1, int(p * BINS)))
-                if plain:
+            for (row, a, b, plain, token), p in zip(found, battery([f[4] for f in found], encoding).tolist()):
+                at = (encoding, band(token), min(BINS - 1, int(p * BINS)))
+                if b is None:
+                    base[row][a] |= {"encoding": encoding, "band": at[1], "p": p}
+                elif plain:
                     decoys[row][at] = decoys[row].get(at, 0) + 1
                 else:
-                    tested[row].append(dict(zip(("start", "end", "encoding", "band", "bin"), (a, b, *at))))
+                    tested[row].append(dict(zip(("start", "end", "encoding", "band", "bin", "p"), (a, b, *at, p))))
     lists = [[dict(zip(("encoding", "band", "bin", "n"), (*k, n))) for k, n in d.items()] for d in decoys]
     return pd.DataFrame({"base": base, "tested": tested, "decoys": lists})
 
 
-def thresholds(scanned: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """encoding, band, least: the lowest bin of p-values whose false-discovery rate is within alpha."""
+def thresholds(scanned: DataFrame, alpha: float = ALPHA) -> dict[tuple[int, int], int]:
+    """(encoding, band) -> the lowest bin of p-values whose false-discovery rate is within alpha; bands without one are missing."""
     t = scanned.select(F.explode("s.tested").alias("x")).select("x.encoding", "x.band", "x.bin", F.lit(1).alias("tokens"), F.lit(0).alias("plain"))
     d = scanned.select(F.explode("s.decoys").alias("x")).select("x.encoding", "x.band", "x.bin", F.lit(0).alias("tokens"), F.col("x.n").alias("plain"))
     counts = t.unionByName(d).groupBy("encoding", "band", "bin").agg(F.sum("tokens").alias("tokens"), F.sum("plain").alias("plain"))
-    band = Window.partitionBy("encoding", "band")  # at most BINS rows
-    up = band.orderBy(F.col("bin").desc())
-    false_rate = (F.sum("plain").over(up) + 1) / (F.sum("plain").over(band) + 2 * BINS)
-    rate = false_rate * F.sum("tokens").over(band) / F.greatest(F.sum("tokens").over(up), F.lit(1))
-    return (
-        counts.withColumn("rate", rate)
-        .where((F.col("bin") >= 1) & (F.col("rate") <= alpha) & (F.col("tokens") > 0))
-        .groupBy("encoding", "band").agg(F.min("bin").alias("least"))
-    )
+    # at most 3 encodings x LAST_BAND bands x BINS bins come to the driver
+    n = np.zeros((2, len(ENCODINGS), LAST_BAND + 1, BINS))
+    for r in counts.collect():
+        n[:, r.encoding, r.band, r.bin] = r.tokens, r.plain
+    above = n[:, :, :, ::-1].cumsum(3)[:, :, :, ::-1]
+    decoys = above[1].cumsum(1)  # of this length and shorter ones
+    false_share = (decoys + 1) / (decoys[:, :, :1] + 1)
+    rate = false_share * above[0][:, :, :1] / np.maximum(above[0], 1)
+    good = (rate <= alpha) & (above[0] > 0) & (np.arange(BINS) >= 1)
+    return {(int(e), int(b)): int(good[e, b].argmax()) for e, b in zip(*np.nonzero(good.any(2)))}
 
 
 def find_secrets(df: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """doc_id, spans: array of (kind, start, end) by start, then kind; base spans are always among them."""
+    """doc_id, spans: array of (kind, start, end) by start, then kind; base spans are always among them.
+
+    base_tests has for each base span its value's p-value (null if it fits no encoding), and whether it passes for random.
+    """
     small_batches(df.sparkSession)
     scanned = stored(df.select("doc_id", scan(F.coalesce("text", F.lit(""))).alias("s")), "secret-scan")
     # at most 3 encodings x 13 bands: the thresholds travel as one small map
-    found = {f"{r.encoding}-{r.band}": r.least for r in thresholds(scanned, alpha).collect()}
+    found = {f"{e}-{b}": n for (e, b), n in thresholds(scanned, alpha).items()}
     least = F.create_map(*[F.lit(x) for kv in (found or {"": BINS}).items() for x in kv])
-    passed = F.filter(
-        "s.tested",
-        lambda x: x["bin"] >= F.coalesce(F.try_element_at(least, F.concat_ws("-", x["encoding"].cast("string"), x["band"].cast("string"))), F.lit(BINS)),
-    )
+
+    def limit(x: Column) -> Column:
+        return F.coalesce(F.try_element_at(least, F.concat_ws("-", x["encoding"].cast("string"), x["band"].cast("string"))), F.lit(BINS))
+
+    passed = F.filter("s.tested", lambda x: x["bin"] >= limit(x))
+    base = F.transform("s.base", lambda x: F.struct(*[x[c].alias(c) for c in ("kind", "start", "end")]))
     rank = lambda k: F.array_position(F.array(*[F.lit(x) for x in KINDS]), k)
     spans = F.array_sort(
         F.transform(
-            F.concat("s.base", F.transform(passed, lambda x: F.struct(F.lit("random").alias("kind"), x["start"].alias("start"), x["end"].alias("end")))),
+            F.concat(base, F.transform(passed, lambda x: F.struct(F.lit("random").alias("kind"), x["start"].alias("start"), x["end"].alias("end")))),
             lambda x: F.struct(x["start"].alias("start"), rank(x["kind"]).alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")),
         )
     )
-    return scanned.select("doc_id", F.transform(spans, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("spans"))
+    judged = F.transform("s.base", lambda x: F.struct(x["p"].alias("p"), F.coalesce(F.floor(x["p"] * BINS) >= limit(x), F.lit(False)).alias("random")))
+    return scanned.select(
+        "doc_id", F.transform(spans, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("spans"),
+        judged.alias("base_tests"),
+    )
 
 
 def as_text(spans: Column) -> Column:
@@ -178,12 +223,16 @@ def as_text(spans: Column) -> Column:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random for every document."""
+    """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans, base_p, n_base_random for every document."""
     found = find_secrets(documents(spark, sf_dir))
     kinds = F.transform("spans", lambda x: x["kind"])
     n = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
     base = F.filter("spans", lambda x: x["kind"] != "random")
-    return found.select("doc_id", *n, F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
+    return found.select(
+        "doc_id", *n, F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"),
+        F.array_join(F.transform("base_tests", lambda x: F.coalesce(F.round(x["p"], 6).cast("string"), F.lit("-"))), ",").alias("base_p"),
+        F.size(F.filter("base_tests", lambda x: x["random"])).cast("long").alias("n_base_random"),
+    )
 
 
 QUERIES = {"op2_secrets": op2_secrets}
