@@ -10,13 +10,13 @@ from vistaframe.llm import topk
 
 
 def brute(rows, k=10):
-    ok = {i: [math.floor(1024 * float(np.float32(x))) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
-    out = set()
-    for q in ok:
+    ok = [(i, [math.floor(1024 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for n, (q, x) in enumerate(ok):
         if q % 100 == 0:
-            best = sorted((-sum(a * b for a, b in zip(ok[q], v)), i) for i, v in ok.items() if i != q)[:k]
-            out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(best)}
-    return out
+            best = sorted((-sum(a * b for a, b in zip(x, v)), i) for m, (i, v) in enumerate(ok) if m != n)[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    return sorted(out)
 
 
 def test_query_equals_sql(spark, sf_dir):
@@ -41,10 +41,15 @@ def test_maxscore_equals_full_scoring(n, width, seed, ties):
     [],
     [(0, [1.0, 2.0])],
     [(0, [1.0, -2.0]), (1, None), (2, [None, 1.0]), (3, [math.nan, 1.0]), (4, [math.inf, 1.0]), (5, [0.5, 0.5]), (None, [1.0, 1.0]), (6, []), (7, [3.0])],
+    [(100, [1.0, 0.0]), (5, [1.0, 0.5]), (5, [2.0, -1.0]), (5, [2.0, -1.0]), (6, [0.5, 0.5]), (100, [0.0, 1.0]), (100, [0.0, 1.0])],
+    [(0, [0.1] * 40)] * 30 + [(7, [0.2] * 40)] * 20,
     [(0, [0.0, 0.0])] + [(i, [0.1, 0.2]) for i in range(1, 40)] + [(100, [-1.0, -1.0])],
 ])
 def test_edges(spark, tmp_path, rows, monkeypatch):
     monkeypatch.setattr(topk, "SHARD_ROWS", 4)
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as score", "2 as id").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.op3_topk(spark, str(tmp_path)).collect()}
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.op3_topk(spark, str(tmp_path)).collect())
     assert got == brute(rows)
+    if len({len(v or []) for _, v in rows}) <= 1:
+        duckdb.sql(f"create or replace view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+        assert sorted(duckdb.sql(topk.ORACLE_SQL["op3_topk"]).fetchall()) == got
