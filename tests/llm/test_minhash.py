@@ -55,11 +55,12 @@ def test_query_against_all_pairs(spark, sf_dir):
     assert sum(not r[3] for r in mine) > 0
 
 
-def test_chains_and_near_misses(spark, monkeypatch):
+@pytest.mark.parametrize("piece", [500, 100, 1_000_000])
+def test_chains_and_near_misses(spark, monkeypatch, piece):
     """Groups whose ends are not alike, and copies just below and above the limit, in small blocks and portions."""
     monkeypatch.setattr(minhash, "BLOCK", 8)
     monkeypatch.setattr(minhash, "PORTION", 4)
-    monkeypatch.setattr(minhash, "PIECE", 500)
+    monkeypatch.setattr(minhash, "PIECE", piece)
     rng, rows = random.Random(7), []
     for g in range(6):
         words = [f"w{rng.randint(0, 10**6)}" for _ in range(60)]

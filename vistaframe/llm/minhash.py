@@ -7,15 +7,18 @@ all 40 buckets of 5 once in ten million times.
 Texts with equal sets are one class from the start, and only its smallest id goes on. Members of a bucket are first
 paired with the bucket's smallest id alone; pairs whose signatures agree too little are left out (at 0.8 that is a
 deviation of five standard errors), and the others are confirmed on the full sets of their texts, best first, and only
-while their ends lie in different groups. Buckets that then still hold members of several groups, beside the smallest
-id, are compared in blocks by signature. A block gives back a forest that connects the groups which agree enough, and the
-members that agree with a member of another group. Those of connected groups meet once more, in pieces of bounded size
-with their full sets, where all pairs of different groups are compared exactly and a forest of links is given back. So no
-group is ever written out as pairs, and no link that would join two groups is left out.
-
-Confirming sends each text to its partner's place, in portions of PORTION members, so a text with a third of all rows as
-its copies is spread over many tasks. Groups grow together by alternating large-star and small-star steps on the
-confirmed links; each step is a table in the shared folder.
+while their ends lie in different groups. Members of buckets that then still hold several groups, beside the smallest id,
+form families: by signature within a bucket of up to BLOCK members, and whole buckets beyond that. A family of bounded size
+is compared exactly in one place, where a forest of links is given back. In larger families an exact prefix filter comes
+first: shingles are ordered by how many members have them, and two texts that are similar enough share one of the rarest
+ones that exceed what they may differ in. Members that share such a shingle are put together as members of a bucket were
+before, so the rows that are sent grow with the shingles of the family. Only where more than BLOCK members of families that
+are large even then share one rare shingle, they are compared in pieces, each piece with each other one. So no group is
+ever written out as pairs, and no link that would join two groups is left out.
+
+Confirming sends each text to its partner's place, in portions of PORTION members or PIECE shingles, so a text with a third
+of all rows as its copies is spread over many tasks. Groups grow together by alternating large-star and small-star steps on
+the confirmed links; each step is a table in the shared folder.
 
 Defined results: a null text counts as empty; a text without words has an empty set, no links and its own id as group;
 rows with one id are one document and have one group, linked by any of their texts; a row whose id is null has no links, a null group and
@@ -43,22 +46,28 @@ WORDS, PERCENT = 5, 80
 #: Signatures may agree this much less than the similarity asked for.
 SLACK = 0.15
 PORTION = 200
-BLOCK = 1024
-#: Shingles of a piece of connected groups.
+#: Members that are compared in one place.
+BLOCK = 256
+#: Shingles of texts that are compared in one place, if there are more than two.
 PIECE = 500_000
 #: Pairs up to this number (16 bytes each) are broadcast to the texts; more are joined by shuffling.
 BROADCAST_PAIRS = 200_000
 
 
-def _permuted(x: np.ndarray) -> np.ndarray:
+# Two permutations of the 32-bit integers: shifts and odd factors, in order.
+FIRST = ((16, 0x7FEB352D), (15, 0x846CA68B), (16, 1))
+SECOND = ((16, 0x21F0AAAD), (15, 0x735A2D97), (15, 1))
+
+
+def _permuted(x: np.ndarray, by: tuple) -> np.ndarray:
     """A permutation of the 32-bit integers, in place."""
     t = np.empty_like(x)
-    for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B)):
+    for shift, factor in by:
         np.right_shift(x, np.uint32(shift), out=t)
         np.bitwise_xor(x, t, out=x)
-        np.multiply(x, np.uint32(factor), out=x)
-    np.right_shift(x, np.uint32(16), out=t)
-    return np.bitwise_xor(x, t, out=x)
+        if factor != 1:
+            np.multiply(x, np.uint32(factor), out=x)
+    return x
 
 
 _SHIFTS = np.arange(K, dtype=np.uint32)[:, None] * np.uint32(0x9E3779B1)  # odd steps around the circle
@@ -66,10 +75,10 @@ _SHIFTS = np.arange(K, dtype=np.uint32)[:, None] * np.uint32(0x9E3779B1)  # odd
 
 def signature(hashes: np.ndarray) -> np.ndarray:
     """K coordinates of a non-empty set of 64-bit hashes."""
-    first = _permuted((hashes >> np.uint64(32)).astype(np.uint32))  # the first permutation
+    first = _permuted((hashes >> np.uint64(32)).astype(np.uint32), FIRST)
     best = np.full(K, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(first), 512):
-        np.minimum(best, _permuted(first[None, i : i + 512] + _SHIFTS).min(1), out=best)
+        np.minimum(best, _permuted(first[None, i : i + 512] + _SHIFTS, SECOND).min(1), out=best)
     return best
 
 
@@ -149,8 +158,9 @@ def _confirm(words: int, percent: int):
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough."""
-    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(PORTION)).cast("int").alias("portions"))
+    """Those of the pairs (a, b, size: shingles of b) whose full sets are similar enough."""
+    many = F.ceil(F.greatest(F.count("*") / F.lit(PORTION), F.sum("size") / F.lit(PIECE)))
+    degree = pairs.groupBy("a").agg(many.cast("int").alias("portions"))
     members = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("portions")).cast("int").alias("portion"))
     own = degree.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"))
     sent = members.unionByName(own)
@@ -177,14 +187,20 @@ def _forest(roots: np.ndarray, rows: np.ndarray, alike) -> tuple[list[tuple[int,
     return edges, active
 
 
-def _blocks(least: float):
-    """Per block: (a, b, false) for groups a and b that a forest connects, (node, group, true) for nodes alike across groups."""
+def _blocks(percent: int, least: float):
+    """Per group: (a, b, false) for groups a and b that a forest connects, (node, group, true) for nodes alike across groups.
+
+    Alike are members whose signatures agree enough and whose sizes allow the similarity.
+    """
     def of(table: pa.Table) -> pa.Table:
-        node, root, mine = (table.column(c).to_numpy() for c in ("node", "root", "mine"))
+        node, root, size = (table.column(c).to_numpy() for c in ("node", "root", "n_shingles"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, K)
-        i, j = (table.column(c)[0].as_py() for c in ("i", "j"))
-        right = mine == j
-        edges, active = _forest(root, np.flatnonzero(mine == i), lambda x: right & ((sig == sig[x]).sum(1) >= least * K))
+
+        def alike(x: int) -> np.ndarray:
+            fits = 100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x])
+            return fits & ((sig == sig[x]).sum(1) >= least * K)
+
+        edges, active = _forest(root, np.arange(len(node)), alike)
         a = np.concatenate([root[[x for x, _ in edges]], node[active]]) if edges else node[active]
         b = np.concatenate([root[[y for _, y in edges]], root[active]]) if edges else root[active]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "active": np.arange(len(a)) >= len(edges)})
@@ -226,30 +242,85 @@ def _pieces(words: int, percent: int):
     return of
 
 
-def _dealt(members: DataFrame, pieces) -> DataFrame:
-    """members with mine, i, j: dealt into pieces, and sent wherever their piece meets another one (or itself)."""
-    out = members.withColumn("mine", F.pmod(F.xxhash64("node"), pieces).cast("int"))
-    out = out.withColumn("_o", F.explode(F.sequence(F.lit(0), pieces - 1)))
-    return out.withColumns({"i": F.least("mine", "_o"), "j": F.greatest("mine", "_o")}).drop("_o")
-
-
-def across(buckets: DataFrame, roots: DataFrame, unique: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) between groups whose members share a bucket, neither being its smallest id."""
-    members = buckets.where("node <> leader").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    mixed = members.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    several = members.join(mixed.select("band", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("pieces")), "band")
-    met = _dealt(several, F.col("pieces")).drop("pieces").join(unique.select("node", "sig"), "node")
-    found = stored(met.groupBy("band", "i", "j").applyInArrow(_blocks(percent / 100 - SLACK), "a long, b long, active boolean").distinct(), "alike")
-    wholes = components(found.where("not active").select("a", "b"))
-    active = found.where("active").select(F.col("a").alias("node"), F.col("b").alias("root"))
-    placed = active.join(wholes.select(F.col("node").alias("root"), F.col("root").alias("whole")), "root", "left")
-    placed = placed.select("node", "root", F.coalesce("whole", "root").alias("whole")).join(unique.groupBy("node").agg(F.sum("n_shingles").alias("n_shingles")), "node")
-    count = F.greatest(F.sum("n_shingles") / F.lit(PIECE), F.count("*") / F.lit(BLOCK))
-    sizes = placed.groupBy("whole").agg(F.ceil(count).cast("int").alias("pieces"))
-    sent = stored(_dealt(placed.join(sizes, "whole"), F.col("pieces")).select("node", "root", "whole", "mine", "i", "j"), "sent")
-    small = sent.count() <= BROADCAST_PAIRS  # 36 bytes a row
-    texts = docs.join(F.broadcast(sent) if small else sent, F.col("doc_id") == F.col("node")).drop("doc_id")
-    return texts.groupBy("whole", "i", "j").applyInArrow(_pieces(words, percent), "a long, b long")
+def _sets(words: int):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingles(batch.column("text").to_pylist(), words)
+            keep = [n for n in batch.schema.names if n != "text"]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            values = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], [*keep, "set"])
+
+    return of
+
+
+class Families:
+    """Members of buckets with several groups, put together so that all links between their groups are found exactly."""
+
+    def __init__(self, unique: DataFrame, docs: DataFrame, words: int, percent: int) -> None:
+        self.unique, self.docs, self.words, self.percent = unique, docs, words, percent
+
+    def of(self, members: DataFrame) -> DataFrame:
+        """whole, node, root, n_shingles, large of members (key, node, root) that may be alike to one of another group; large: too much for one place."""
+        mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+        several = members.join(mixed.select("key", "lo", "n"), "key")
+        few = several.where(F.col("n") <= BLOCK).join(self.unique.select("node", "sig", "n_shingles"), "node").drop("lo", "n")
+        near = few.groupBy("key").applyInArrow(_blocks(self.percent, self.percent / 100 - SLACK), "a long, b long, active boolean")
+        many = several.where(F.col("n") > BLOCK)
+        both = F.array(F.struct(F.col("root").alias("a"), F.col("lo").alias("b"), F.lit(False).alias("active")), F.struct(F.col("node").alias("a"), F.col("root").alias("b"), F.lit(True).alias("active")))
+        found = stored(near.unionByName(many.select(F.inline(both))).distinct(), "alike")
+        wholes = components(found.where("not active").select("a", "b"))
+        active = found.where("active").select(F.col("a").alias("node"), F.col("b").alias("root"))
+        placed = active.join(wholes.select(F.col("node").alias("root"), F.col("root").alias("whole")), "root", "left")
+        placed = placed.select("node", "root", F.coalesce("whole", "root").alias("whole")).join(self.unique.groupBy("node").agg(F.sum("n_shingles").alias("n_shingles")), "node")
+        sizes = placed.groupBy("whole").agg((F.greatest(F.sum("n_shingles") / F.lit(PIECE), F.count("*") / F.lit(BLOCK)) > 1).alias("large"))
+        return stored(placed.join(sizes, "whole").select("whole", "node", "root", "n_shingles", "large"), "families")
+
+    def texts(self, members: DataFrame) -> DataFrame:
+        """members with the texts of their nodes."""
+        small = members.count() <= BROADCAST_PAIRS  # 40 bytes a row
+        return self.docs.join(F.broadcast(members) if small else members, F.col("doc_id") == F.col("node")).drop("doc_id")
+
+    def compared(self, members: DataFrame) -> DataFrame:
+        """Links (a, b) between groups among members (whole, node, root, mine, i, j): all pairs of pieces i and j of a whole."""
+        return self.texts(members).groupBy("whole", "i", "j").applyInArrow(_pieces(self.words, self.percent), "a long, b long")
+
+    def rare(self, members: DataFrame) -> DataFrame:
+        """members by the rare shingles that two members can only be similar enough with if they share one: key, node, root."""
+        sets = self.texts(members.select("whole", "node", "root")).select("whole", "node", "root", "text")
+        sets = sets.mapInArrow(_sets(self.words), "whole long, node long, root long, set array<long>")
+        sets = stored(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
+        each = sets.select("whole", "node", "root", "row", F.size("set").alias("size"), F.explode("set").alias("h"))
+        counts = each.groupBy("whole", "h").agg(F.count("*").alias("n")).where("n > 1")
+        shared = each.join(counts, ["whole", "h"]).groupBy("row").agg(
+            *[F.first(c).alias(c) for c in ("whole", "node", "root", "size")], F.sort_array(F.collect_list(F.struct("n", "h"))).alias("shared")
+        )
+        # what a similar text may lack, and one more; shingles of this member alone come first in the order
+        room = F.col("size") - F.ceil(F.col("size") * F.lit(self.percent) / 100) + 1 - (F.col("size") - F.size("shared"))
+        rare = F.slice("shared", F.lit(1), F.greatest(F.lit(0), room).cast("int"))
+        return stored(shared.select("whole", "node", "root", F.explode(rare).alias("r")).select(F.xxhash64("whole", "r.h").alias("key"), "node", "root"), "rare")
+
+    def links(self, members: DataFrame) -> DataFrame:
+        """Links (a, b) that join all groups that pairs of members (key, node, root) of one key, similar enough, would join."""
+        alone = [F.lit(0).alias(c) for c in ("mine", "i", "j")]
+        families = self.of(members)
+        out = self.compared(families.where("not large").select("*", *alone))
+        large = families.where("large")
+        if large.isEmpty():
+            return out
+        posts = self.rare(large)
+        again = self.of(posts)
+        out = out.unionByName(self.compared(again.where("not large").select("*", *alone)))
+        rest = again.where("large").select("node", "n_shingles").distinct()
+        if rest.isEmpty():
+            return out
+        # by rare shingle; in pieces where that is still too much for one place
+        left = posts.join(rest, "node")
+        pieces = F.ceil(F.greatest(F.sum("n_shingles") / F.lit(PIECE), F.count("*") / F.lit(BLOCK))).cast("int")
+        mixed = left.groupBy("key").agg(pieces.alias("pieces"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+        dealt = left.join(mixed.select("key", "pieces"), "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+        met = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumns({"i": F.least("mine", "_o"), "j": F.greatest("mine", "_o")})
+        return out.unionByName(self.compared(stored(met.select(F.col("key").alias("whole"), "node", "root", "mine", "i", "j"), "sent")))
 
 
 class Groups:
@@ -265,14 +336,14 @@ class Groups:
         self.roots = components(self.links)
 
     def grow(self, pairs: DataFrame) -> None:
-        """Confirm pairs (a, b, est) in rounds, best first; pairs within one group need no confirming."""
+        """Confirm pairs (a, b, est, size) in rounds, best first; pairs within one group need no confirming."""
         left, most = pairs, 1
         while True:
             r = self.roots
             ends = (
                 left.join(r.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
                 .join(r.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-                .select("a", "b", "est", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
+                .select("a", "b", "est", "size", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
                 .where("ra <> rb")
                 .withColumn("_of", F.greatest("ra", "rb"))
             )
@@ -283,11 +354,11 @@ class Groups:
                 from_here = ends.join(best, "_of").withColumn("now", F.col("est") >= F.col("_best") - F.lit(0.02 * (most - 1)))
             else:
                 from_here = ends.withColumn("now", F.lit(True))
-            state = stored(from_here.select("a", "b", "est", "now"), "pairs")
+            state = stored(from_here.select("a", "b", "est", "size", "now"), "pairs")
             if state.isEmpty():
                 return
-            self.link(confirmed(state.where("now").select("a", "b"), self.docs, self.words, self.percent))
-            left = state.where("not now").select("a", "b", "est")
+            self.link(confirmed(state.where("now").select("a", "b", "size"), self.docs, self.words, self.percent))
+            left = state.where("not now").select("a", "b", "est", "size")
             most = {1: 3, 3: None}.get(most)
 
 
@@ -309,22 +380,26 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     stars = buckets.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     agreeing = (
         stars.join(unique.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
-        .join(unique.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
-        .select("a", "b", agreement("sa", "sb").alias("est"))
+        .join(unique.select(F.col("node").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("size")), "b")
+        .select("a", "b", agreement("sa", "sb").alias("est"), "size")
         .where(F.col("est") >= least)
-        .groupBy("a", "b").agg(F.max("est").alias("est"))  # an id may have several signatures
+        .groupBy("a", "b").agg(F.max("est").alias("est"), F.sum("size").alias("size"))  # an id may have several signatures
     )
-    groups = Groups(docs, words, percent)
     # ids that stand for several texts: their classes are linked, and rows without words go with them
     named = linked.select("doc_id", "set_key").join(classes.select("set_key", "node"), "set_key").select("doc_id", "node")
     blank = signed.where("n_shingles = 0 and doc_id is not null").select("doc_id")
     both = named.unionByName(blank.withColumn("node", F.lit(None).cast("long")))
-    ids = both.groupBy("doc_id").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count_if(F.col("node").isNull()).alias("blank"))
+    ids = both.groupBy("doc_id").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count_if(F.col("node").isNull()).alias("blank"), F.count("*").alias("n"))
+    ids = stored(ids.where("n > 1"), "repeated")
+    if not ids.isEmpty():  # a text that comes often under one id is compared once
+        docs = docs.dropDuplicates(["doc_id", "text"])
+    groups = Groups(docs, words, percent)
     several = stored(ids.where("least < most or (blank > 0 and least is not null)").select("doc_id", "least"), "several")
     if not several.isEmpty():
         groups.link(named.join(several, "doc_id").select(F.col("least").alias("a"), F.col("node").alias("b")).where("a <> b").distinct())
     groups.grow(agreeing)
-    groups.link(across(buckets, groups.roots, unique, docs, words, percent))
+    members = buckets.where("node <> leader").join(groups.roots, "node", "left").select(F.col("band").alias("key"), "node", F.coalesce("root", "node").alias("root"))
+    groups.link(Families(unique, docs, words, percent).links(members))
     rows = signed.select("doc_id", "set_key", "n_shingles")
     worded = rows.where("n_shingles > 0 and doc_id is not null").join(classes.select("set_key", "node"), "set_key", "left")
     others = rows.where("n_shingles = 0 or doc_id is null").join(several.withColumnRenamed("least", "node"), "doc_id", "left")
