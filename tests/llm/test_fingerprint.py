@@ -32,12 +32,44 @@ def test_query_against_plain_python(spark, sf_dir):
     assert off / len(ids) < 0.06
 
 
-def test_buckets_do_not_change_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(fp, "BUCKET_ROWS", 7)
-    df = spark.createDataFrame([(i * i, f"t{i}") for i in range(100)] + [(None, "null")], "doc_id long, text string")
-    assert fp.neighbours(df, lambda t: t).count() == 101
-    got = {r.mine.text: r.next.text for r in fp.neighbours(df, lambda t: t).collect()}
-    assert got == {f"t{i}": f"t{i - 1}" for i in range(1, 100)} | {"t0": "null", "null": "t99"}
+def plain(rows):
+    """(doc_id, edited text, next text) of rows (doc_id, text), where no id has two texts."""
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0)))
+    out = []
+    for (i, t), (_, u) in zip(rows, rows[1:] + rows[:1]):
+        k = len(t) // 3
+        out.append((i, t[: len(t) - k] + u[:k], u))
+    return out
+
+
+@pytest.mark.parametrize("rows", [
+    [(i * i, f"t{i} " * (i % 7)) for i in range(100)] + [(None, "a null id é")],
+    [(5, "one two three")],
+    [(5, "one two three")] * 4,
+    [(5, "one two three")] * 40 + [(7, None), (3, ""), (3, ""), (None, "x" * 30), (None, "x" * 30), (9, "word " * 60_000)],
+    [],
+])
+def test_any_rows_against_plain_python(spark, tmp_path, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'mine' as hash", "1 as rows", "2 as part", "3 as copies", "4 as n_chars")
+    df.repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = fp.op10_fingerprint(spark, str(tmp_path)).collect()
+    want = plain(rows)
+    assert sorted(((r.doc_id, r.edited_sha256) for r in got), key=str) == sorted(((i, hashlib.sha256(e.encode()).hexdigest()) for i, e, _ in want), key=str)
+    texts = {i: t or "" for i, t in rows}
+    for r in got:
+        a = shingles(texts[r.doc_id])
+        assert r.n_chars == len(texts[r.doc_id]) and (len(a) >= fp.K or r.n_distinct == len(a)) and 0 <= r.contained <= 1
+    likeness = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    small = [(i, e, u) for i, e, u in want if max(map(len, (e, u))) < 200]
+    assert all(any(r.doc_id == i and r.near_next == pytest.approx(likeness(shingles(texts[i]), shingles(u))) and
+                   r.n_distinct_both == len(shingles(texts[i]) | shingles(u)) for r in got) for i, _, u in small if len(texts[i]) < 200)
+
+
+def test_texts_of_one_id_all_stay(spark, tmp_path):
+    rows = [(1, f"text number {i % 7}") for i in range(21)] + [(2, "two")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [fp.op10_fingerprint(spark, str(tmp_path)).collect() for _ in range(2)]
+    assert len(got[0]) == 22 and sorted(got[0]) == sorted(got[1])
 
 
 def test_edges_merge_and_containment(spark):
@@ -53,3 +85,5 @@ def test_edges_merge_and_containment(spark):
     assert fp.merged(halves, ["k"]).first().sketch == spark.createDataFrame([(a,)], "t string").select(fp.sketch(F.col("t"))).first()[0]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert fp.neighbours(empty, lambda t: t).collect() == []
+    parts = halves.repartition(2).withColumn("g", F.lit(1))
+    assert fp.merged(parts, ["g"]).first().sketch == fp.merged(parts.limit(1), ["g"]).unionByName(fp.merged(parts.exceptAll(parts.limit(1)), ["g"])).transform(lambda d: fp.merged(d, ["g"])).first().sketch

@@ -5,7 +5,9 @@ corpus merge into the sketch of the whole, and estimate how many distinct shingl
 and how much of one is contained in the other.
 
 Defined results: a null text counts as empty; an empty text has an empty sketch; fewer than five words are one shingle;
-two empty sketches are alike (1.0), an empty and a non-empty one are not (0.0). Extra columns are ignored.
+two empty sketches are alike (1.0), an empty and a non-empty one are not (0.0). Documents of one id follow one another by
+a hash of their texts, null ids come last; repeated rows give a row each, and all but the last of them have their own text
+as the next one. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,13 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, documents
+from .common import SPACE, documents, stored
 
 K = 64
 WORDS = 5
-#: Rows of a bucket of neighbouring ids; the number of buckets is bounded, as its borders are literals of the plan.
-BUCKET_ROWS = 4096
-MOST_BUCKETS = 1000
 
 
 def sketch(text: Column, k: int = K, words: int = WORDS) -> Column:
@@ -79,62 +78,87 @@ def as_text(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda h: F.lower(F.hex(h))), ",")
 
 
+#: What tells documents apart, without nulls: id (0 for null), whether it is null, hash of the text.
+KEY = ("id", "none", "hash")
+
+
+def order(docs: DataFrame) -> DataFrame:
+    """KEY, copies, the KEY of the document before (before_id, ...) and part of each distinct document (KEY, n_chars).
+
+    The order is by descending id, nulls last; before the first document stands the last one. part is a third of the
+    characters of the document before. Only ids, hashes and lengths are sorted, over ranges; a row's number is its place in
+    its range behind all ranges before.
+    """
+    keys = docs.groupBy(*KEY).agg(F.count("*").alias("copies"), F.first("n_chars").alias("n_chars"))
+    by = ["none", F.col("id").desc(), "hash"]
+    place = F.monotonically_increasing_id()  # the partition above 33 bits of the place in it
+    ranges = keys.repartitionByRange(*by).sortWithinPartitions(*by)
+    placed = stored(ranges.withColumn("range", F.shiftright(place, 33)).withColumn("place", place.bitwiseAND(F.lit((1 << 33) - 1))), "order")
+    sizes = placed.groupBy("range").agg(F.count("*").alias("rows"))  # a row a partition
+    ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("range", F.coalesce(F.sum("rows").over(ahead), F.lit(0)).alias("ahead"), F.sum("rows").over(Window.partitionBy()).alias("all"))
+    numbered = placed.join(F.broadcast(offsets), "range").withColumn("at", F.col("ahead") + F.col("place"))
+    part = F.floor(F.col("n_chars") / 3).cast("int").alias("part")
+    after = numbered.select(F.pmod(F.col("at") + 1, F.col("all")).alias("at"), *[F.col(k).alias(f"before_{k}") for k in KEY], part)
+    return numbered.select("at", *KEY, "copies").join(after, "at").drop("at")
+
+
 def neighbours(docs: DataFrame, carried) -> DataFrame:
-    """doc_id, mine and next: (text, carried = carried(text)) of a document and of the one with the next smaller doc_id; the
-    smallest one's next is the largest. docs has doc_id and text.
+    """doc_id, text, head, carried and rows of every distinct document: head is the first third of its length (in code
+    points) of the document with the next smaller doc_id, carried = carried(that one's text), rows how often it comes so;
+    the smallest one's next is the largest.
 
-    Ids are cut into buckets of neighbouring ids at quantiles, so each bucket is sorted by itself; only the first
-    document of each bucket meets the last one of the bucket before. Null ids count as smaller than all others; among
-    equal ids the order is by text.
+    docs has doc_id and text. Each text is sent once, to the place of its id and hash; from there the head that the document
+    before it needs goes on to that one's place. Repeated rows are sent as one.
     """
-    n = docs.count()
-    pieces = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
-    cuts = []
-    if pieces > 1:
-        points = [i / pieces for i in range(1, pieces)]
-        cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", points, 20 * pieces).alias("q")).first().q or []))
-    bucket = F.lit(0)
-    if cuts:
-        borders = F.array(*[F.lit(c) for c in cuts])
-        bucket = F.coalesce(F.size(F.filter(borders, lambda b: b <= F.col("doc_id"))), F.lit(0))
-    placed = docs.withColumn("_bucket", bucket)
-    w = Window.partitionBy("_bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.col("mine.text").desc_nulls_last())
-    both = F.struct("text", carried(F.col("text")).alias("carried"))  # the text crosses the network once
-    inside = placed.select("doc_id", "_bucket", both.alias("mine")).withColumn("_next", F.lead("mine").over(w))
-    # the first document of each bucket: its id from ids alone, then the texts of these MOST_BUCKETS ids at most
-    firsts = placed.groupBy("_bucket").agg(F.max("doc_id").alias("_id")).withColumnRenamed("_bucket", "_of")
-    heads = placed.join(F.broadcast(firsts), (F.col("_bucket") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    heads = heads.groupBy("_of").agg(F.max("text").alias("text")).select("_of", both.alias("_head"))
-    # the bucket below hands over its first document; the lowest bucket takes that of the highest
-    below = F.lag("_of").over(Window.orderBy("_of"))
-    ring = firsts.select("_of", below.alias("_below"), F.max("_of").over(Window.partitionBy()).alias("_top"))
-    to = ring.select(F.col("_of").alias("_bucket"), F.coalesce("_below", "_top").alias("_from")).join(heads, F.col("_from") == F.col("_of"))
-    out = inside.join(to.select("_bucket", "_head"), "_bucket")
-    return out.select("doc_id", "mine", F.coalesce("_next", "_head").alias("next"))
+    keyed = docs.select(
+        F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), F.xxhash64("text").alias("hash"), "text", F.char_length("text").alias("n_chars")
+    )
+    texts = keyed.groupBy(*KEY).agg(F.first("text").alias("text"))
+    rows = texts.join(order(keyed.drop("text")), list(KEY))
+    heads = rows.select(
+        *[F.col(f"before_{k}").alias(k) for k in KEY],
+        F.struct(F.substring("text", F.lit(1), F.col("part")).alias("head"), carried(F.col("text")).alias("carried")).alias("next"),
+    )
+    both = rows.select(*KEY, "text", "copies").join(heads, list(KEY))
+    own = F.struct(F.substring("text", F.lit(1), F.floor(F.char_length("text") / 3).cast("int")).alias("head"), carried(F.col("text")).alias("carried"))
+    last = F.struct(F.lit(1).cast("long").alias("rows"), F.col("next"))
+    among = F.struct((F.col("copies") - 1).alias("rows"), own.alias("next"))  # a repeated row before the last
+    each = both.select("id", "none", "text", F.explode(F.when(F.col("copies") == 1, F.array(last)).otherwise(F.array(last, among))).alias("_x"))
+    return each.select(F.when(~F.col("none"), F.col("id")).alias("doc_id"), "text", "_x.next.head", "_x.next.carried", "_x.rows")
+
+
+def repeated(df: DataFrame, times: str = "rows") -> DataFrame:
+    """df with each row as often as its column `times` says, without that column."""
+    return df.withColumn("_of", F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).drop("_of", times)
 
 
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every text and of its edited form, with likenesses."""
+    """Fingerprints of every text and of its edited form, with likenesses.
+
+    Beside the columns asked for: contained, the share of the text's shingles that its edited form has too; n_distinct, the
+    number of distinct shingles of the text, and n_distinct_both, of the text and the next one together (merged sketches).
+    """
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    beside = neighbours(docs, sketch)
-    mine, after = F.col("mine.text"), F.col("next.text")
-    n = F.char_length(mine)
-    part = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substring(mine, F.lit(1), n - part), F.substring(after, F.lit(1), part))
-    out = beside.select(
-        "doc_id", F.col("mine.carried").alias("sketch"), n.cast("long").alias("n_chars"), edited.alias("edited"), F.col("next.carried").alias("_after")
+    n = F.char_length("text")
+    edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int")), F.col("head"))
+    out = neighbours(docs, sketch).select(
+        "doc_id", "rows", n.cast("long").alias("n_chars"), sketch(F.col("text")).alias("sketch"), edited.alias("edited"), F.col("carried").alias("_after")
     )
     out = out.withColumn("edited_sketch", sketch(F.col("edited")))
-    return out.select(
+    return repeated(out.select(
         "doc_id",
+        "rows",
         "n_chars",
         F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
         as_text(F.col("sketch")).alias("fingerprint"),
         as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
         resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
         resemblance(F.col("sketch"), F.col("_after")).alias("near_next"),
+        containment(F.col("sketch"), F.col("edited_sketch")).alias("contained"),
         distinct_count(F.col("sketch")).alias("n_distinct"),
-    )
+        distinct_count(merge(F.col("sketch"), F.col("_after"))).alias("n_distinct_both"),
+    ))
 
 
 QUERIES = {"op10_fingerprint": op10_fingerprint}
