@@ -1,13 +1,13 @@
 """Mixing sources to target weights by weighted fair queueing, with DataFrame functions only.
 
-Every document waits in the queue of its source, in a shuffled order that depends on its id alone. A queue may be
+Every document waits in the queue of its source, in a shuffled order that depends on the row alone. A queue may be
 passed twice, so that a source can give up to two times its words. A document's virtual finish time in a pass is the
 words of its source up to and including it, divided by the source's target. All passes of all documents are then
 sorted by finish time over range buckets, and the order is cut where the words reach the total budget.
 
 A source's running sum is taken in two steps: in each of ORDER_BUCKETS pieces of its shuffled order, and over the sums
-of the pieces. So a source with a third of all rows is spread over as many tasks as it needs. The cut is found the same
-way, from sums of finish-time buckets, so that no task ever sees more than a small slice of the order.
+of the pieces. So a source with a third of all rows is spread over as many tasks as it needs; rows that are equal, such as
+those without id, are counted first and dealt in portions of PORTION. The cut is found the same way, from sums of finish-time buckets, so that no task ever sees more than a small slice of the order.
 
 Defined results: a null text or one without words has size 0 and takes nothing; a null source is a source of its own,
 after all others; repeated rows queue as rows of their own; an empty table gives an empty result. Columns of the input
@@ -26,6 +26,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 PASSES = 2
 ORDER_BUCKETS = 1024
+#: Equal rows that stand together in the queue.
+PORTION = 1000
 TIME_BUCKETS = 1024
 #: Columns by which mix() tells rows apart.
 KEY = ("__mix_id", "__mix_source", "__mix_text", "__mix_rest")
@@ -58,21 +60,27 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
 
 def queue_times(docs: DataFrame, seed: int = 0, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
     """Per row of docs (doc_id, source, size, and any more): rank, source_size, target, before: source words ahead of it."""
-    h = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    shuffled = docs.withColumn("_h", h).withColumn("_piece", F.pmod(F.col("_h"), F.lit(ORDER_BUCKETS)))
-    pieces = shuffled.groupBy("source", "_piece").agg(F.sum("size").alias("_sum"))
+    names = docs.columns
+    equal = docs.groupBy(*names).agg(F.count("*").alias("_copies"))
+    portions = equal.withColumn("_no", F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / PORTION).cast("int"))))
+    portions = portions.withColumn("_rows", F.least(F.lit(PORTION), F.col("_copies") - F.col("_no") * PORTION).cast("int"))
+    h = F.xxhash64(F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in names], "_no")
+    shuffled = portions.withColumn("_h", h).withColumn("_piece", F.pmod(F.col("_h"), F.lit(ORDER_BUCKETS)))
+    words = F.col("size") * F.col("_rows")
+    pieces = shuffled.groupBy("source", "_piece").agg(F.sum(words).alias("_sum"))
     ahead = Window.partitionBy("source").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.withColumn("_ahead", F.coalesce(F.sum("_sum").over(ahead), F.lit(0))).join(
         source_targets(pieces.select("source", F.col("_sum").alias("size")), weights, share)
         .withColumnRenamed("source", "_source"),
         F.col("source").eqNullSafe(F.col("_source")),
     ).select(F.col("_source"), F.col("_piece").alias("_of"), "_ahead", "rank", "source_size", "target")
-    within = Window.partitionBy("source", "_piece").orderBy("_h", "doc_id", "size", *[c for c in docs.columns if c in KEY]).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "_piece").orderBy("_h", *names, "_no").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        shuffled.withColumn("_within", F.coalesce(F.sum("size").over(within), F.lit(0)))
+        shuffled.withColumn("_within", F.coalesce(F.sum(words).over(within), F.lit(0)))
         .join(offsets, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_piece") == F.col("_of")))
-        .withColumn("before", F.col("_ahead") + F.col("_within"))
-        .drop("_h", "_piece", "_within", "_ahead", "_source", "_of")
+        .withColumn("_row", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)))
+        .withColumn("before", F.col("_ahead") + F.col("_within") + F.col("_row") * F.col("size"))
+        .select(*names, "rank", "source_size", "target", "before")
     )
 
 
