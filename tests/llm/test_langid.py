@@ -34,13 +34,16 @@ def brute(pages, model):
         d = re.search(r'<html lang="(\w+)"', html or "")
         text = model.likelihood(langid.visible(html))
         s = langid.SUFFIXES.get(host.split(".")[-1]) if host else None
-        rows.append({"id": i, "host": host, "domain": ".".join(host.split(".")[-2:]) if host else None, "declared": d and d[1], "suffix": s, "own": text})
+        labels = host.split(".") if host else []
+        n = 3 if len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in ("co", "com", "org", "net", "ac", "gov", "edu") else 2
+        rows.append({"id": i, "host": host, "domain": ".".join(labels[-n:]) or None, "worded": any(text), "declared": d and d[1], "suffix": s, "own": text})
     norm = lambda x: [math.exp(v - max(x)) / sum(math.exp(u - max(x)) for u in x) for v in x]
     for r in rows:
         r["seen"] = norm(r["own"])
     for c in ("declared", "suffix"):
         have = [r for r in rows if r[c] in langs]
-        t = min(0.98, (sum(r["seen"][langs.index(r[c])] for r in have) + 4) / (len(have) + 5))
+        shown = [r for r in have if r["worded"]]
+        t = min(0.98, (sum(r["seen"][langs.index(r[c])] for r in shown) + 4) / (len(shown) + 5))
         for r in have:
             r["own"] = [v + math.log(t if x == r[c] else max((1 - t) / (len(langs) - 1), 1e-9)) for v, x in zip(r["own"], langs)]
     for r in rows:
@@ -60,7 +63,8 @@ def test_fusion_equals_plain_python(spark):
     pages = [(i, f"http://{h}/x{i}", f"<html{lang}><p>{t}</p></html>") for i, (h, lang, t) in enumerate([
         ("a.example.de", ' lang="de"', "der und das"), ("a.example.de", "", "nicht und"), ("b.example.de", ' lang="en"', ""), ("b.example.de", "", ""),
         ("x.example.org", ' lang="en"', "the with this"), ("x.example.org", "", ""), ("y.other.org", ' lang="xx"', "with the and"), ("z.org", ' lang="en"', "der"),
-    ])] + [(90, None, None), (91, "no address", "<p>this"), (92, "http://A.example.de:80/", "")]
+        ("a.one.co.uk", "", "the with"), ("b.one.co.uk", "", "this"), ("two.co.uk", "", "der"), ("two.co.uk", "", "der"), ("co.uk", "", "and"),
+    ])] + [(90, None, None), (91, "no address", "<p>this"), (92, "http://A.example.de:80/", ""), (93, "http://long.de/", "<p>" + "der und " * 100_000)] * 1 + [(94, "http://long.de/", "x")] * 2
     p = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "'x' as host", "1 as n")
     d = spark.createDataFrame(DOCS + [(None, "en"), ("x", None)], "text string, lang string")
     got, want = {r.page_id: r for r in langid.identify(p, d).collect()}, brute(pages, langid.train(d))

@@ -36,6 +36,8 @@ PRIOR_PAGES = 5.0
 # Country suffixes that stand for one language.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "co": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "nz": "en",
             "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "ru": "ru", "se": "sv", "dk": "da", "fi": "fi", "cz": "cs", "jp": "ja", "cn": "zh", "kr": "ko"}
+# Labels under which a country's own registry gives out names.
+SECOND_LEVEL = ("co", "com", "org", "net", "ac", "gov", "edu")
 HIDDEN = re.compile(r"(?is)<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*>?")
 LETTERS = re.compile(r"[\W\d_]+")
 DECLARED = r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?\s*([a-z]{2,3})"
@@ -106,13 +108,14 @@ def evidence(pages: DataFrame, model: TextModel) -> DataFrame:
     none = lambda c: F.when(c != "", F.lower(c))
     host = none(F.regexp_extract("url", HOST, 1))
     parts = F.split(F.col("host"), "\\.")
+    registry = (F.size(parts) >= 3) & (F.length(F.element_at(parts, -1)) == 2) & F.element_at(parts, -2).isin(*SECOND_LEVEL)
     known = F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv])
     return (
         pages.select(
             "page_id", host.alias("host"), none(F.regexp_extract("html", DECLARED, 1)).alias("declared"),
             likelihoods(F.coalesce("html", F.lit(""))).alias("text"),
         )
-        .withColumn("domain", F.when(F.size(parts) >= 2, F.concat_ws(".", F.element_at(parts, -2), F.element_at(parts, -1))).otherwise(F.col("host")))
+        .withColumn("domain", F.array_join(F.slice(parts, -F.least(F.size(parts), F.when(registry, F.lit(3)).otherwise(F.lit(2))), 3), "."))
         .withColumn("suffix", F.try_element_at(known, F.element_at(parts, -1)))
     )
 
@@ -126,8 +129,8 @@ def _normal(logs: Column) -> Column:
 
 
 def _trust(rows: DataFrame, langs: list[str], column: str) -> float:
-    """How often a hint names the language that the text shows, over all pages that have the hint."""
-    r = rows.where(F.col(column).isin(langs)).agg(
+    """How often a hint names the language that the text shows, over all pages that have the hint and any text."""
+    r = rows.where(F.col(column).isin(langs) & F.exists("text", lambda x: x != 0)).agg(
         F.sum(F.get(F.col("seen"), F.array_position(_codes(langs), F.col(column)).cast("int") - 1)).alias("a"), F.count("*").alias("n")
     ).first()
     return min(0.98, ((r.a or 0.0) + 4.0) / (r.n + 5.0))
