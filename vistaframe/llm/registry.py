@@ -1,9 +1,7 @@
-"""The queries opN_* and the pipeline, with SQL where SQL can express them."""
+"""The queries opN_*, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import (
     fingerprint,
     bpe,
@@ -21,9 +19,8 @@ _MODULES = (minhash, secrets, topk, toxicity, mixing, tokencount, bpe, pii, lang
 
 
 def queries() -> dict:
-    return {name: f for m in _MODULES for name, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    found = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
-    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
