@@ -6,16 +6,26 @@ to target weights, where a document may come twice or not at all; what is left i
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vistaframe.llm import bpe, minhash, mixing, pii, toxicity
 from vistaframe.llm.common import documents, stored
 
-#: The pipeline's key for pseudonyms; set your own for data of your own.
+#: Where the session gives the key for pseudonyms, and the published example that is taken, with a warning, if it gives none.
+KEY_SETTING = "spark.vistaframe.pii.key"
 PII_KEY = pii.KEY
 
 
+def pii_key(spark: SparkSession) -> str:
+    found = spark.conf.get(KEY_SETTING, None)
+    if not found:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms are made with the published example key, and anyone can undo them", stacklevel=2)
+    return found or PII_KEY
+
+
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5; the classifier learns from the labels of the documents given."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -25,24 +35,29 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies (five-word shingles, similarity 0.8 or more).
 
-    Where an id stands for several texts, each of them counts as a document of its own, so that no text is lost with another.
+    Where ids are null or stand for several rows, each text of an id counts as a document of its own, those without id
+    after all others, so that no text is lost with another; of rows with one id and text the first by their other columns stays.
     """
-    text = F.xxhash64(F.coalesce("text", F.lit("")))
-    ids = docs.where("doc_id is not null").select("doc_id", text.alias("__text"))
-    several = ids.groupBy("doc_id").agg(F.min("__text").alias("a"), F.max("__text").alias("b")).where("a <> b")
-    if several.isEmpty():
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if ids.where("n > 1 or doc_id is null").isEmpty():
         gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
         return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    order = ids.distinct().repartitionByRange("doc_id", "__text").sortWithinPartitions("doc_id", "__text")
+    key = ["__none", "__id", "__text"]
+    keyed = docs.withColumns({
+        "__none": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0)), "__text": F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()),
+    })
+    order = keyed.select(*key).distinct().repartitionByRange(*key).sortWithinPartitions(*key)
     numbers = stored(order.withColumn("__row", F.monotonically_increasing_id()), "pipeline-numbers")
-    rows = stored(docs.withColumn("__text", text).join(numbers, ["doc_id", "__text"], "left"), "pipeline-rows")
-    gone = minhash.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).where("not kept").select(F.col("doc_id").alias("__row")).distinct()
-    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("__any")))
+    first = keyed.withColumn("__rest", rest).groupBy(*key).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), "__rest").alias("__doc"))
+    rows = stored(first.join(numbers, key).select("__row", "__doc"), "pipeline-rows")
+    gone = minhash.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "__doc.text")).where("not kept").select(F.col("doc_id").alias("__row"))
+    return rows.join(gone, "__row", "left_anti").select("__doc.*")
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms for personal data; n_chars is that of the new text."""
-    out = pii.pseudonymised(docs, PII_KEY, found="__pii").withColumn("n_chars", F.char_length("text").cast("long"))
+    out = pii.pseudonymised(docs, pii_key(spark), found="__pii").withColumn("n_chars", F.char_length("text").cast("long"))
     return out.select(*docs.columns)
 
 
