@@ -110,7 +110,3 @@ def field_of(df: DataFrame, name: str) -> T.StructField:
 
 def as_text(c: Column) -> Column:
     return c.cast("string")
-
-
-def lit(value: Any) -> Column:
-    return F.lit(value)

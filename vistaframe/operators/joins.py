@@ -12,9 +12,9 @@ HOW = ("inner", "left", "right", "full")
 
 def check_keys(left: DataFrame, right: DataFrame, on: list[str]) -> None:
     if not on:
-        raise JoinError("Pick at least one column to join on.")
+        raise JoinError("A join needs one key column or more.")
     if left is right:
-        raise JoinError("Pick two different tables.")
+        raise JoinError("Left and right are the same table; a join needs a second one.")
     for side, df in (("left", left), ("right", right)):
         for name in on:
             if name not in df.columns:

@@ -12,7 +12,7 @@ from ..operators.overview import overview as overview_of
 from ..sources import sinks, snapshots, tables, text
 from ..sources.shared import fresh_path, members, write_text
 from .catalog_tables import _dirty
-from .dirty import ANY_BAD_SQL, DIRTY_SCHEMA, dirty_orders, table
+from .dirty import ANY_BAD_SQL, BAD_SQL, DIRTY_SCHEMA, dirty_orders, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -43,7 +43,7 @@ def _csv(df: DataFrame, name: str, **options) -> str:
     return path
 
 
-@query()
+@query("SELECT *, 'parquet' AS format FROM orders")
 def src_open(spark, sf_dir):
     spec, df = tables.open_source(spark, f"{sf_dir}/orders.parquet")
     return df.withColumn("format", F.lit(spec.format))
@@ -155,14 +155,47 @@ def ragged_padded(spark, sf_dir):
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS k, c_name AS name, c_mktsegment AS segment FROM customer")
 def preamble_skip(spark, sf_dir):
-    path, c = fresh_path(spark, "preamble"), table(spark, sf_dir, "customer")
-    junk = spark.createDataFrame([(f"generated file, line {i}",) for i in range(3)] + [("k,name,segment",)], "value string").coalesce(1)
+    c = table(spark, sf_dir, "customer")
     rows = c.select(F.concat_ws(",", F.col("c_custkey").cast("string"), F.col("c_name"), F.col("c_mktsegment")).alias("value"))
-    junk.write.text(f"{path}/a")
-    rows.coalesce(1).write.text(f"{path}/b")  # one file, as a file with a preamble is; a preamble stands once
-    one = f"{path}/one"
-    spark.read.text([m.path for m in members(spark, path)]).coalesce(1).select("value", F.monotonically_increasing_id().alias("i"), (~F.col("_metadata.file_path").contains("/a/")).alias("later")).orderBy("later", "i").coalesce(1).select("value").write.text(one)
-    return text.read_all_text(spark, one, Dialect(skip=3))
+    return text.read_all_text(spark, _one_file(spark, "preamble", [*[f"generated file, line {i}" for i in range(3)], "k,name,segment"], rows), Dialect(skip=3))
+
+
+def _one_file(spark: SparkSession, name: str, first: list[str], rows: DataFrame) -> str:
+    """A text file as other programs write it: lines of its own above the rows. One file is one task's work."""
+    path = f"{fresh_path(spark, name)}/one"
+    head = F.array(*[F.lit(x) for x in first])
+    numbered = rows.coalesce(1).withColumn("i", F.monotonically_increasing_id())
+    numbered.select(F.explode(F.when(F.col("i") == 0, F.concat(head, F.array("value"))).otherwise(F.array("value"))).alias("value")).write.text(path)
+    return path
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS k, CASE WHEN c_custkey % 7 = 0 THEN 'first, line' || chr(10) || 'second' ELSE c_name END AS name FROM customer""")
+def preamble_quoted(spark, sf_dir):
+    """A preamble, and quoted fields with delimiters and line breaks; the dialect is inferred, not given."""
+    c = table(spark, sf_dir, "customer")
+    name = F.when(F.col("c_custkey") % 7 == 0, F.lit("first, line\nsecond")).otherwise(F.col("c_name"))
+    rows = c.select(F.concat(F.col("c_custkey").cast("string"), F.lit(",\""), name, F.lit('"')).alias("value"))
+    path = _one_file(spark, "preamble-quoted", ["Report of customers", "", "k,name"], rows)
+    return text.read_all_text(spark, path, text.infer_dialect(spark, path))
+
+
+@query("""SELECT * FROM (VALUES ('comma', ',', '"', TRUE, 0), ('semicolon', ';', chr(39), FALSE, 0), ('preamble', '|', '"', TRUE, 2)) t(file, delimiter, quote, header, skip)
+WHERE (SELECT count(*) FROM customer) > 2""")
+def infer_dialect(spark, sf_dir):
+    """What is inferred of three files written from customer."""
+    c, out = table(spark, sf_dir, "customer"), []
+    s = [F.col("c_custkey").cast("string"), F.col("c_name"), F.col("c_mktsegment")]
+    quoted = [F.concat(F.lit("'"), x, F.lit("; '")) for x in s]
+    for name, first, line in (
+        ("comma", ["key,name,segment"], F.concat_ws(",", *s)),
+        ("semicolon", [], F.concat_ws(";", *quoted)),
+        ("preamble", ["A report, made today", "of all customers", "key|name|segment"], F.concat_ws("|", *s)),
+    ):
+        rows = c.select(line.alias("value"))
+        path = _one_file(spark, f"dialect-{name}", first, rows) if first else _one_file(spark, f"dialect-{name}", [], rows)
+        d = text.infer_dialect(spark, path)
+        out.append((name, d.delimiter, d.quote, d.header, d.skip))
+    return spark.createDataFrame(out, "file string, delimiter string, quote string, header boolean, skip int")
 
 
 @query(_dirty("SELECT count(*) AS n FROM dirty_orders"))
@@ -173,14 +206,27 @@ def exact_count(spark, sf_dir):
     return spark.range(1).select(F.lit(n).cast("long").alias("n"))
 
 
-@query()
+@query("SELECT count(*) AS exact, TRUE AS within_a_tenth, 'exact' AS confidence, 'high' AS confidence_of_some FROM customer")
 def estimate_rows(spark, sf_dir):
-    return tables.estimate_rows(spark, _csv(dirty_orders(spark, sf_dir), "estimate"))
+    """The estimate from all members, which is exact, and whether one from some of them is within a tenth of it."""
+    path = fresh_path(spark, "estimate")
+    _customer(spark, sf_dir).repartition(8).write.csv(path)
+    whole = tables.estimate_rows(spark, path, members_read=8).select(F.col("rows").alias("exact"), "confidence")
+    some = tables.estimate_rows(spark, path, members_read=3).select("rows", F.col("confidence").alias("confidence_of_some"))
+    near = (F.abs(F.col("rows") - F.col("exact")) <= 0.1 * F.col("exact")).alias("within_a_tenth")
+    return whole.join(some).select("exact", near, "confidence", "confidence_of_some")  # two frames of one row each
 
 
-@query()
+@query("SELECT 4 AS n_members, sum(length(c_name) + 1) AS bytes, TRUE AS same_again, TRUE AS changed FROM customer")
 def source_token(spark, sf_dir):
-    return tables.source_token(spark, _csv(_customer(spark, sf_dir), "token"))
+    """Members and bytes of a source, whether its token stays while it does, and changes when a member comes to it."""
+    path = fresh_path(spark, "token")
+    names = table(spark, sf_dir, "customer").select(F.col("c_name").alias("value"))
+    names.repartition(4).write.text(path)
+    first, again = (tables.source_token(spark, path).first() for _ in range(2))
+    names.limit(1).write.mode("append").text(path)
+    row = (first.n_members, first.bytes, first.token == again.token, tables.source_token(spark, path).first().token != first.token)
+    return spark.createDataFrame([row], "n_members int, bytes long, same_again boolean, changed boolean")
 
 
 # --- sinks ---------------------------------------------------------------------------------------------------------
@@ -269,8 +315,14 @@ def refresh(spark, sf_dir):
     return spark.createDataFrame(steps, "step string, n long")
 
 
-@query()
+@query(_dirty("""SELECT c.position, c.name AS "column", c.type, c.kind, n.n AS n_rows, 'counted on the text' AS basis, n.bad AS n_bad_rows,
+  CASE c.name WHEN 'custkey_raw' THEN n.k WHEN 'orderdate_raw' THEN n.d WHEN 'price_raw' THEN n.p ELSE 0 END AS n_bad, 0 AS n_notes, 20 AS n_first
+FROM (VALUES (0, 'o_orderkey', 'bigint', 'number'), (1, 'status', 'string', 'text'), (2, 'custkey_raw', 'bigint', 'number'),
+  (3, 'orderdate_raw', 'date', 'temporal'), (4, 'price_raw', 'double', 'number')) c(position, name, type, kind),
+(SELECT count(*) AS n, count(*) FILTER (WHERE """ + ANY_BAD_SQL + """) AS bad, count(*) FILTER (WHERE """ + BAD_SQL["custkey_raw"] + """) AS k,
+  count(*) FILTER (WHERE """ + BAD_SQL["orderdate_raw"] + """) AS d, count(*) FILTER (WHERE """ + BAD_SQL["price_raw"] + """) AS p FROM dirty_orders) n"""))
 def overview(spark, sf_dir):
-    return overview_of(spark, _csv(dirty_orders(spark, sf_dir), "overview"))
+    found = overview_of(spark, _csv(dirty_orders(spark, sf_dir), "overview"))
+    return found.withColumn("n_notes", F.size("notes")).withColumn("n_first", F.size("first_values")).drop("notes", "first_values")
 
 

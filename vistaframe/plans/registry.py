@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.overview import overview
@@ -18,6 +20,6 @@ def oracle_sql() -> dict:
     return {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
 
 
-def entry(spark: SparkSession) -> DataFrame:
-    """The overview of the smallest orders table."""
-    return overview(spark, "/root/testdata/sf0.001/orders.parquet")
+def entry(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
+    """The overview of the table orders in sf_dir, or in the folder that VISTAFRAME_DATA names."""
+    return overview(spark, f"{sf_dir or os.environ.get('VISTAFRAME_DATA', '/root/testdata/sf0.001')}/orders.parquet")

@@ -44,6 +44,12 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The full address of a path, as Spark's file listings write it."""
+    fs, p = _fs(spark, path)
+    return fs.makeQualified(p).toString().rstrip("/")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return fs.exists(p)

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import json
-from functools import reduce
+import re
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.model import SourceSpec, UnsupportedSource, kind_of
+from ..functions.model import SourceSpec, UnsupportedSource, column, kind_of
 from . import text
 from .detect import PARQUET, detect, extension
-from .shared import exists, head, members
+from .shared import head, members, qualified
 
 
 def describe(df: DataFrame) -> DataFrame:
@@ -53,25 +53,48 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+#: Log-based tables of up to this many files send the files' keys to every task.
+BROADCAST_FILES = 200_000
 _ACTION = "struct<path: string, partitionValues: map<string, string>, deletionVector: struct<storageType: string>>"
 _LOG = f"add {_ACTION}, remove struct<path: string>, metaData struct<schemaString: string, partitionColumns: array<string>, configuration: map<string, string>>"
 
 
+def _log_files(spark: SparkSession, log: str) -> tuple[set[int], dict[int, list[str]]]:
+    """Versions that have a JSON file, and the Parquet files of every checkpoint whose parts are all there, from one listing."""
+    versions, parts = set(), {}
+    for name in (m.path.rsplit("/", 1)[-1] for m in members(spark, log)):
+        if m := re.fullmatch(r"(\d{20})\.json", name):
+            versions.add(int(m[1]))
+        elif m := re.fullmatch(r"(\d{20})\.checkpoint(?:\.(\d{10})\.(\d{10})|\.[0-9a-f-]{36})?\.parquet", name):
+            parts.setdefault((int(m[1]), int(m[3] or 1)), []).append(f"{log}/{name}")
+    return versions, {v: sorted(names) for (v, n), names in parts.items() if len(names) == n}
+
+
 def _log(spark: SparkSession, path: str, version: int | None) -> DataFrame:
-    """Actions with their version: the newest checkpoint not above the version, and the JSON files behind it."""
+    """Actions with their version: the newest checkpoint not above the version, and all JSON files behind it.
+
+    A version whose log has gaps is refused: rows would be missing without a word.
+    """
     log = f"{path.rstrip('/')}/_delta_log"
-    number = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)\.", 1).cast("long")
-    most = F.lit(version if version is not None else 2**62)
-    actions = spark.read.schema(_LOG).option("pathGlobFilter", "*.json").json(log).select("*", number.alias("v")).where(F.col("v") <= most)
-    start = None
-    if exists(spark, f"{log}/_last_checkpoint"):
-        start = json.loads(head(spark, f"{log}/_last_checkpoint", 1 << 16))["version"]  # Spark skips names that start with _
-    if start is not None and (version is None or start <= version):
-        old = spark.read.option("pathGlobFilter", f"{start:020d}.checkpoint*.parquet").parquet(log)
+    versions, checkpoints = _log_files(spark, log)
+    known = versions | set(checkpoints)
+    if not known or (version is not None and not 0 <= version <= max(known)):
+        raise UnsupportedSource(f"{path} has no version {version if version is not None else ''}.".replace(" .", "."))
+    top = max(known) if version is None else version
+    start = max((v for v in checkpoints if v <= top), default=None)
+    missing = set(range(0 if start is None else start + 1, top + 1)) - versions
+    if missing:
+        raise UnsupportedSource(f"{path} has no complete log of version {top}: the file of version {min(missing)} is gone.")
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d{20})\.json$", 1)
+    actions = spark.read.schema(_LOG).option("pathGlobFilter", "*.json").json(log).select("*", number.alias("n")).where("n <> ''")
+    actions = actions.select("*", F.col("n").cast("long").alias("v")).drop("n").where(F.col("v").between(-1 if start is None else start + 1, top))
+    if start is not None:
+        old = spark.read.parquet(*checkpoints[start])
+        if "sidecar" in old.columns and not old.where("sidecar is not null").isEmpty():
+            raise UnsupportedSource(f"The checkpoint of version {start} of {path} keeps its files in sidecars, which are not read here.")
         wanted = T.StructType.fromDDL(_LOG)
-        parts = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in old.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted.fields]
-        plain = [_narrow(old, f) if f.name in old.columns else p for f, p in zip(wanted.fields, parts)]
-        actions = old.select(*plain, F.lit(start).cast("long").alias("v")).unionByName(actions.where(F.col("v") > start))
+        plain = [_narrow(old, f) if f.name in old.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted.fields]
+        actions = old.select(*plain, F.lit(start).cast("long").alias("v")).unionByName(actions)
     return actions
 
 
@@ -87,11 +110,12 @@ def _narrow(df: DataFrame, f: T.StructField):
 
 
 def read_log_table(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """The live rows of a log-based table, now or as of a version; files that the log removed are not read."""
+    """The live rows of a log-based table, now or as of a version; files that the log removed are not read.
+
+    All files are one scan. Keys come from the folders' names where these say what the log says, so filters on keys prune
+    files; else from the log, joined by file.
+    """
     actions = _log(spark, path, version)
-    versions = actions.agg(F.max("v")).first()[0]
-    if versions is None or (version is not None and not exists(spark, f"{path.rstrip('/')}/_delta_log/{version:020d}.json")):
-        raise UnsupportedSource(f"{path} has no version {version if version is not None else ''}.".replace(" .", "."))
     meta = actions.where("metaData is not null").agg(F.max_by("metaData", "v").alias("m")).first().m
     if meta and (meta.configuration or {}).get("delta.columnMapping.mode", "none") != "none":
         raise UnsupportedSource(f"{path} maps its columns by id; this reader would misname them.")
@@ -105,21 +129,36 @@ def read_log_table(spark: SparkSession, path: str, version: int | None = None) -
         raise UnsupportedSource(f"{path} marks deleted rows in vectors; reading past them would bring the rows back.")
     schema = T.StructType.fromJson(json.loads(meta.schemaString)) if meta and meta.schemaString else None
     by_key = list(meta.partitionColumns or []) if meta else []
-    names = [p if "://" in p or p.startswith("/") else f"{path.rstrip('/')}/{p}" for p in (unquote(r.path) for r in live)]
+    root = qualified(spark, path)
+    names = [p if "://" in p or p.startswith("/") else f"{root}/{p}" for p in (unquote(r.path) for r in live)]
     if not names:
         return spark.createDataFrame([], schema or T.StructType())
+    reader = spark.read.schema(schema) if schema else spark.read.option("mergeSchema", "true")
     if not by_key:
-        reader = spark.read.schema(schema) if schema else spark.read.option("mergeSchema", "true")
         return reader.parquet(*names)
-    inner = T.StructType([f for f in schema.fields if f.name not in by_key])
-    groups: dict[tuple, list[str]] = {}
-    for r, n in zip(live, names):
-        groups.setdefault(tuple((r["keys"] or {}).get(k) for k in by_key), []).append(n)
-    parts = []
-    for keys, paths in sorted(groups.items(), key=str):
-        df = spark.read.schema(inner).parquet(*paths)
-        parts.append(df.select(*df.columns, *[F.lit(v).cast(schema[k].dataType).alias(k) for k, v in zip(by_key, keys)]).select(*schema.names))
-    return reduce(DataFrame.unionByName, parts)
+    if all(_folder_keys(r.path, by_key) == {k: (r["keys"] or {}).get(k) for k in by_key} for r in live):
+        return reader.option("basePath", root).parquet(*names).select(*schema.names)
+    keys = spark.createDataFrame([(n, r["keys"] or {}) for n, r in zip(names, live)], "__name string, __keys map<string, string>")
+    keys = keys.withColumn("__name", _file_name(F.col("__name")))
+    df = spark.read.schema(T.StructType([f for f in schema.fields if f.name not in by_key])).parquet(*names)
+    df = df.withColumn("__name", _file_name(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))))
+    small = len(names) <= BROADCAST_FILES
+    joined = df.join(F.broadcast(keys) if small else keys, "__name")
+    return joined.select(*[F.col("__keys")[f.name].cast(f.dataType).alias(f.name) if f.name in by_key else column(joined, f.name) for f in schema.fields])
+
+
+def _file_name(name: Column) -> Column:
+    """A file's address with one slash behind its scheme."""
+    return F.regexp_replace(name, "^([A-Za-z][A-Za-z0-9+.-]*):/+", "$1:/")
+
+
+def _folder_keys(path: str, by_key: list[str]) -> dict[str, str | None]:
+    """What a file's folders say of the keys: key=value, escaped; nothing if the folders at the end are not these keys."""
+    folders = unquote(path).split("/")[:-1][-len(by_key) :]
+    pairs = [tuple(map(unquote, f.split("=", 1))) for f in folders if "=" in f]
+    if [k for k, _ in pairs] != by_key:
+        return {}
+    return {k: None if v == "__HIVE_DEFAULT_PARTITION__" else v for k, v in pairs}
 
 
 def open_source(spark: SparkSession, path: str, **options) -> tuple[SourceSpec, DataFrame]:
@@ -143,20 +182,25 @@ def exact_count(spark: SparkSession, spec: SourceSpec) -> int:
     return open_source(spark, spec.path, **spec.options)[1].count()
 
 
-def source_members(spark: SparkSession, path: str) -> DataFrame:
-    """path, modified, length of every member, listed without reading content."""
+def source_members(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """path, modified, length of every member of a source, or of several, listed without reading content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", F.col("modificationTime").alias("modified"), "length")
 
 
-def source_token(spark: SparkSession, path: str) -> DataFrame:
-    """One row: n_members, bytes and a token that changes when any member does; sums do not depend on the order."""
+def tokens(listed: DataFrame, *by: str) -> DataFrame:
+    """n_members, bytes and token of members (path, modified, length) by group; sums do not depend on the order."""
     h = F.xxhash64("path", "modified", "length")
-    sums = source_members(spark, path).agg(
+    sums = listed.groupBy(*by).agg(
         F.count("*").alias("n_members"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"),
         F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("s"),
     )
-    return sums.select("n_members", "bytes", F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("n_members", "bytes", "x", "s")]), 256).alias("token"))
+    return sums.select(*by, "n_members", "bytes", F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("n_members", "bytes", "x", "s")]), 256).alias("token"))
+
+
+def source_token(spark: SparkSession, path: str) -> DataFrame:
+    """One row: n_members, bytes and a token that changes when any member does."""
+    return tokens(source_members(spark, path))
 
 
 def estimate_rows(spark: SparkSession, path: str, members_read: int = 3) -> DataFrame:

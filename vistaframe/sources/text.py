@@ -12,7 +12,7 @@ from ..functions.casts import DATE, NUMBER, TIMESTAMP, cast_strict
 from ..functions.model import Dialect, column
 from ..operators.quality import good_rows
 from .detect import TEXT, extension
-from .shared import members
+from .shared import fresh_path, members
 
 DELIMITERS = (",", ";", "\t", "|")
 SAMPLE_ROWS = 20_480
@@ -39,19 +39,43 @@ def field_counts(text: DataFrame, delimiter: str, quote: str = '"') -> DataFrame
     return text.where(F.trim("value") != "").groupBy(field_count(F.col("value"), delimiter, quote).cast("int").alias("n_fields")).agg(F.count("*").alias("n"))
 
 
-def dialect_fields(text: DataFrame, delimiters=DELIMITERS) -> DataFrame:
+def dialect_fields(text: DataFrame, delimiters=DELIMITERS, quote: str = '"') -> DataFrame:
     """delimiter, n_fields, n for every candidate, from one pass over the lines."""
-    each = F.array(*[F.struct(F.lit(d).alias("delimiter"), field_count(F.col("value"), d).cast("int").alias("n_fields")) for d in delimiters])
+    each = F.array(*[F.struct(F.lit(d).alias("delimiter"), field_count(F.col("value"), d, quote).cast("int").alias("n_fields")) for d in delimiters])
     return text.where(F.trim("value") != "").select(F.inline(each)).groupBy("delimiter", "n_fields").agg(F.count("*").alias("n"))
 
 
+def infer_quote(text: DataFrame) -> str:
+    """The quote that encloses whole fields in most lines; the double quote if neither does."""
+    marks = "".join("\\" + d if d == "|" else d for d in DELIMITERS)
+    whole = lambda q: F.count_if(F.col("value").rlike(f"(?:^|[{marks}]){q}[^{q}]*{q}(?:$|[{marks}])"))
+    n = text.agg(*[whole(q).alias(k) for k, q in (("double", '"'), ("single", "'"))]).first()
+    return "'" if n.single > n.double else '"'
+
+
 def infer_dialect(spark: SparkSession, path: str, sample: int = SAMPLE_ROWS) -> Dialect:
-    """The delimiter whose most frequent field count above one covers most lines; a header if the first line looks like one."""
+    """Quote, delimiter, lines to skip and header, from the first lines.
+
+    The delimiter is the one whose most frequent field count above one covers most lines. Lines before the first one with
+    that many fields are a preamble, if nearly all lines from there on have that many; the first line behind it is a
+    header if it looks like one.
+    """
     text = lines(spark, path).limit(sample)
-    counts = [r for r in dialect_fields(text).collect() if r.n_fields > 1]
+    quote = infer_quote(text)
+    counts = [r for r in dialect_fields(text, quote=quote).collect() if r.n_fields > 1]
     best = max(counts, key=lambda r: (r.n, r.n_fields, -DELIMITERS.index(r.delimiter)), default=None)
-    d = Dialect(delimiter=best.delimiter if best else ",")
-    return replace(d, header=_has_header(text, d))
+    d = Dialect(delimiter=best.delimiter if best else ",", quote=quote)
+    d = replace(d, skip=_preamble(text, d, best.n_fields) if best else 0)
+    return replace(d, header=_has_header(text.where(F.col("line_no") >= d.skip), d))
+
+
+def _preamble(text: DataFrame, d: Dialect, n_fields: int, least: float = 0.9) -> int:
+    rows = text.select("line_no", (field_count(F.col("value"), d.delimiter, d.quote).cast("int") == n_fields).alias("fits"), (F.trim("value") == "").alias("blank"))
+    first = rows.where("fits and not blank").agg(F.min("line_no")).first()[0]
+    if not first:
+        return 0
+    behind = rows.where((F.col("line_no") >= first) & ~F.col("blank")).agg(F.count_if("fits").alias("k"), F.count("*").alias("n")).first()
+    return int(first) if behind.k > 1 and behind.k >= least * behind.n else 0
 
 
 def _split(value: str, d: Dialect) -> list[str]:
@@ -116,7 +140,8 @@ def header_names(spark: SparkSession, path: str | list[str], d: Dialect, width:
 def read_all_text(spark: SparkSession, path: str | list[str], d: Dialect | None = None, null_padding: bool = False) -> DataFrame:
     """Every column as text: nothing cast, nothing lost. `,,` is NULL and `,"",` is the empty text.
 
-    null_padding makes as many columns as the widest line has; without it the header's width holds.
+    null_padding makes as many columns as the widest line has; without it the header's width holds. Behind skipped lines
+    a line break inside quotes is read as a plain newline.
     """
     d = d or infer_dialect(spark, path if isinstance(path, str) else path[0])
     text = lines(spark, path)
@@ -125,9 +150,15 @@ def read_all_text(spark: SparkSession, path: str | list[str], d: Dialect | None
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     if not names:
         return spark.createDataFrame([], T.StructType([T.StructField("column0", T.StringType())]))
-    if d.skip:  # lines are cut off by number, the others parsed one by one
+    if d.skip:
         kept = text.where((F.col("line_no") >= d.skip + d.header) & (F.trim("value") != ""))
-        return kept.select(F.from_csv("value", schema.simpleString()[7:-1].replace(":", " ") if _plain(names) else _ddl(schema), _options(d)).alias("r")).select("r.*")
+        if not has_multi_line(kept, d.quote):  # lines are parsed one by one, wherever they are
+            return kept.select(F.from_csv("value", schema.simpleString()[7:-1].replace(":", " ") if _plain(names) else _ddl(schema), _options(d)).alias("r")).select("r.*")
+        # quoted line breaks: the lines behind the preamble and header become a file, which one parser reads as a whole;
+        # such a file cannot be split anyway
+        cut = fresh_path(spark, "behind-preamble")
+        text.where(F.col("line_no") >= d.skip + d.header).coalesce(1).select("value").write.text(cut)
+        return spark.read.schema(schema).options(**_options(d, header=False, enforceSchema=True, multiLine=True)).csv(cut)
     reader = spark.read.schema(schema).options(**_options(d, header=d.header, enforceSchema=True))
     return reader.option("multiLine", has_multi_line(text, d.quote)).csv(path)
 
