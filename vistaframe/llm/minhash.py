@@ -8,13 +8,15 @@ Texts with equal sets are one class from the start, and only its smallest id goe
 paired with the bucket's smallest id alone; pairs whose signatures agree too little are left out (at 0.8 that is a
 deviation of five standard errors), and the others are confirmed on the full sets of their texts, best first, and only
 while their ends lie in different groups. Members of buckets that then still hold several groups, beside the smallest id,
-form families: by signature within a bucket of up to BLOCK members, and whole buckets beyond that. A family of bounded size
-is compared exactly in one place, where a forest of links is given back. In larger families an exact prefix filter comes
-first: shingles are ordered by how many members have them, and two texts that are similar enough share one of the rarest
-ones that exceed what they may differ in. Members that share such a shingle are put together as members of a bucket were
-before, so the rows that are sent grow with the shingles of the family. Only where more than BLOCK members of families that
-are large even then share one rare shingle, they are compared in pieces, each piece with each other one. So no group is
-ever written out as pairs, and no link that would join two groups is left out.
+form families by signature. The members of a bucket's or family's largest group are dealt into pieces of bounded size, and
+all others, if they are few, stand in every piece: so a large group meets the few that may belong to it in rows that grow
+with its size. In a piece all pairs of different groups are compared exactly, and a forest of links is given back.
+
+Where the others are many, too, buckets form families as a whole, and in such families an exact prefix filter comes first:
+shingles are ordered by how many members have them, and two texts that are similar enough share one of the rarest ones that
+exceed what they may differ in. Members that share such a shingle are put together as members of a bucket were before.
+Only where more than BLOCK members outside the largest group share one rare shingle even then, they are compared in pieces,
+each piece with each other one. So no group is ever written out as pairs, and no link that would join two groups is left out.
 
 Confirming sends each text to its partner's place, in portions of PORTION members or PIECE shingles, so a text with a third
 of all rows as its copies is spread over many tasks. Groups grow together by alternating large-star and small-star steps on
@@ -254,6 +256,26 @@ def _sets(words: int):
     return of
 
 
+def dealt(members: DataFrame) -> DataFrame:
+    """members (key, node, root, n_shingles) of keys with several groups, with large, piece and least (the key's smallest root).
+
+    The largest group of a key is dealt into pieces, and the others stand in every piece; large are keys whose others are too
+    many for that, and these have one piece.
+    """
+    groups = members.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    keys = groups.groupBy("key").agg(
+        F.max(F.struct("n", "s", "root")).alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("root").alias("least"), F.count("*").alias("groups")
+    ).where("groups > 1")
+    keys = keys.select(
+        "key", "least", F.col("main.root").alias("main"),
+        ((F.col("n") - F.col("main.n") > BLOCK) | (F.col("s") - F.col("main.s") > PIECE)).alias("large"),
+        F.ceil(F.greatest(F.col("main.n") / F.lit(BLOCK), F.col("main.s") / F.lit(PIECE))).cast("int").alias("pieces"),
+    )
+    own = F.array(F.when(F.col("large"), F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")))
+    places = F.when(F.col("large") | (F.col("root") == F.col("main")), own).otherwise(F.sequence(F.lit(0), F.col("pieces") - 1))
+    return members.join(keys, "key").select("key", "node", "root", "n_shingles", "large", "least", F.explode(places).alias("piece"))
+
+
 class Families:
     """Members of buckets with several groups, put together so that all links between their groups are found exactly."""
 
@@ -261,20 +283,17 @@ class Families:
         self.unique, self.docs, self.words, self.percent = unique, docs, words, percent
 
     def of(self, members: DataFrame) -> DataFrame:
-        """whole, node, root, n_shingles, large of members (key, node, root) that may be alike to one of another group; large: too much for one place."""
-        mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-        several = members.join(mixed.select("key", "lo", "n"), "key")
-        few = several.where(F.col("n") <= BLOCK).join(self.unique.select("node", "sig", "n_shingles"), "node").drop("lo", "n")
-        near = few.groupBy("key").applyInArrow(_blocks(self.percent, self.percent / 100 - SLACK), "a long, b long, active boolean")
-        many = several.where(F.col("n") > BLOCK)
-        both = F.array(F.struct(F.col("root").alias("a"), F.col("lo").alias("b"), F.lit(False).alias("active")), F.struct(F.col("node").alias("a"), F.col("root").alias("b"), F.lit(True).alias("active")))
-        found = stored(near.unionByName(many.select(F.inline(both))).distinct(), "alike")
+        """Families of members (key, node, root, n_shingles) that may be alike to one of another group, dealt: key names the family."""
+        several = dealt(members)
+        few = several.where("not large").select("key", "node", "root", "piece").join(self.unique.select("node", "sig", "n_shingles"), "node")
+        near = few.groupBy("key", "piece").applyInArrow(_blocks(self.percent, self.percent / 100 - SLACK), "a long, b long, active boolean")
+        both = F.array(F.struct(F.col("root").alias("a"), F.col("least").alias("b"), F.lit(False).alias("active")), F.struct(F.col("node").alias("a"), F.col("root").alias("b"), F.lit(True).alias("active")))
+        found = stored(near.unionByName(several.where("large").select(F.inline(both))).distinct(), "alike")
         wholes = components(found.where("not active").select("a", "b"))
         active = found.where("active").select(F.col("a").alias("node"), F.col("b").alias("root"))
-        placed = active.join(wholes.select(F.col("node").alias("root"), F.col("root").alias("whole")), "root", "left")
-        placed = placed.select("node", "root", F.coalesce("whole", "root").alias("whole")).join(self.unique.groupBy("node").agg(F.sum("n_shingles").alias("n_shingles")), "node")
-        sizes = placed.groupBy("whole").agg((F.greatest(F.sum("n_shingles") / F.lit(PIECE), F.count("*") / F.lit(BLOCK)) > 1).alias("large"))
-        return stored(placed.join(sizes, "whole").select("whole", "node", "root", "n_shingles", "large"), "families")
+        placed = active.join(wholes.select(F.col("node").alias("root"), F.col("root").alias("key")), "root", "left")
+        sizes = self.unique.groupBy("node").agg(F.sum("n_shingles").alias("n_shingles"))
+        return stored(dealt(placed.select("node", "root", F.coalesce("key", "root").alias("key")).join(sizes, "node")), "families")
 
     def texts(self, members: DataFrame) -> DataFrame:
         """members with the texts of their nodes."""
@@ -282,12 +301,16 @@ class Families:
         return self.docs.join(F.broadcast(members) if small else members, F.col("doc_id") == F.col("node")).drop("doc_id")
 
     def compared(self, members: DataFrame) -> DataFrame:
-        """Links (a, b) between groups among members (whole, node, root, mine, i, j): all pairs of pieces i and j of a whole."""
-        return self.texts(members).groupBy("whole", "i", "j").applyInArrow(_pieces(self.words, self.percent), "a long, b long")
+        """Links (a, b) between groups among members (key, node, root, mine, i, j): all pairs of pieces i and j of a key."""
+        return self.texts(members).groupBy("key", "i", "j").applyInArrow(_pieces(self.words, self.percent), "a long, b long")
+
+    def in_pieces(self, members: DataFrame) -> DataFrame:
+        """Links between groups within each piece of members."""
+        return self.compared(members.select("key", "node", "root", *[F.col("piece").alias(c) for c in ("mine", "i", "j")]))
 
     def rare(self, members: DataFrame) -> DataFrame:
-        """members by the rare shingles that two members can only be similar enough with if they share one: key, node, root."""
-        sets = self.texts(members.select("whole", "node", "root")).select("whole", "node", "root", "text")
+        """members by the rare shingles that two members can only be similar enough with if they share one: key, node, root, n_shingles."""
+        sets = self.texts(members.select(F.col("key").alias("whole"), "node", "root")).select("whole", "node", "root", "text")
         sets = sets.mapInArrow(_sets(self.words), "whole long, node long, root long, set array<long>")
         sets = stored(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
         each = sets.select("whole", "node", "root", "row", F.size("set").alias("size"), F.explode("set").alias("h"))
@@ -298,29 +321,30 @@ class Families:
         # what a similar text may lack, and one more; shingles of this member alone come first in the order
         room = F.col("size") - F.ceil(F.col("size") * F.lit(self.percent) / 100) + 1 - (F.col("size") - F.size("shared"))
         rare = F.slice("shared", F.lit(1), F.greatest(F.lit(0), room).cast("int"))
-        return stored(shared.select("whole", "node", "root", F.explode(rare).alias("r")).select(F.xxhash64("whole", "r.h").alias("key"), "node", "root"), "rare")
+        posts = shared.select("whole", "node", "root", F.col("size").cast("long").alias("n_shingles"), F.explode(rare).alias("r"))
+        return stored(posts.select(F.xxhash64("whole", "r.h").alias("key"), "node", "root", "n_shingles"), "rare")
 
     def links(self, members: DataFrame) -> DataFrame:
-        """Links (a, b) that join all groups that pairs of members (key, node, root) of one key, similar enough, would join."""
-        alone = [F.lit(0).alias(c) for c in ("mine", "i", "j")]
+        """Links (a, b) that join all groups that pairs of members (key, node, root, n_shingles) of one key, similar enough, would join."""
         families = self.of(members)
-        out = self.compared(families.where("not large").select("*", *alone))
+        out = self.in_pieces(families.where("not large"))
         large = families.where("large")
         if large.isEmpty():
             return out
         posts = self.rare(large)
         again = self.of(posts)
-        out = out.unionByName(self.compared(again.where("not large").select("*", *alone)))
-        rest = again.where("large").select("node", "n_shingles").distinct()
+        out = out.unionByName(self.in_pieces(again.where("not large")))
+        rest = again.where("large").select("node").distinct()
         if rest.isEmpty():
             return out
         # by rare shingle; in pieces where that is still too much for one place
-        left = posts.join(rest, "node")
-        pieces = F.ceil(F.greatest(F.sum("n_shingles") / F.lit(PIECE), F.count("*") / F.lit(BLOCK))).cast("int")
-        mixed = left.groupBy("key").agg(pieces.alias("pieces"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-        dealt = left.join(mixed.select("key", "pieces"), "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
-        met = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumns({"i": F.least("mine", "_o"), "j": F.greatest("mine", "_o")})
-        return out.unionByName(self.compared(stored(met.select(F.col("key").alias("whole"), "node", "root", "mine", "i", "j"), "sent")))
+        left = stored(dealt(posts.join(rest, "node")), "left")
+        out = out.unionByName(self.in_pieces(left.where("not large")))
+        hot = left.where("large").select("key", "node", "root", "n_shingles")
+        pieces = hot.groupBy("key").agg(F.ceil(F.greatest(F.sum("n_shingles") / F.lit(PIECE), F.count("*") / F.lit(BLOCK))).cast("int").alias("pieces"))
+        met = hot.join(pieces, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+        met = met.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumns({"i": F.least("mine", "_o"), "j": F.greatest("mine", "_o")})
+        return out.unionByName(self.compared(stored(met.select("key", "node", "root", "mine", "i", "j"), "sent")))
 
 
 class Groups:
@@ -373,7 +397,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         linked.join(classes.select("set_key", "node"), "set_key").where("doc_id = node").select("node", "n_shingles", "bands", "sig").dropDuplicates(["node", "sig"]),
         "unique",
     )
-    each = unique.select("node", F.explode("bands").alias("band"))
+    each = unique.select("node", "n_shingles", F.explode("bands").alias("band"))
     leaders = each.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = stored(each.join(leaders, "band"), "buckets")
     least = percent / 100 - SLACK
@@ -398,7 +422,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     if not several.isEmpty():
         groups.link(named.join(several, "doc_id").select(F.col("least").alias("a"), F.col("node").alias("b")).where("a <> b").distinct())
     groups.grow(agreeing)
-    members = buckets.where("node <> leader").join(groups.roots, "node", "left").select(F.col("band").alias("key"), "node", F.coalesce("root", "node").alias("root"))
+    members = buckets.where("node <> leader").join(groups.roots, "node", "left").select(F.col("band").alias("key"), "node", F.coalesce("root", "node").alias("root"), "n_shingles")
     groups.link(Families(unique, docs, words, percent).links(members))
     rows = signed.select("doc_id", "set_key", "n_shingles")
     worded = rows.where("n_shingles > 0 and doc_id is not null").join(classes.select("set_key", "node"), "set_key", "left")
