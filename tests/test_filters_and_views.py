@@ -98,7 +98,8 @@ def test_numbering_breaks_ties_by_all_columns_even_maps(spark):
 
 @pytest.mark.parametrize("sql", [
     "", "  ", "-- only a comment", "/* a */", "DROP TABLE t", "insert into t values (1)", "SELECT 1; SELECT 2", "EXPLAIN SELECT 1", "/* x */ create view v as select 1",
-    "SET a = 1", "(delete from t)",
+    "SET a = 1", "(delete from t)", "SELECT reflect('java.lang.System', 'getProperty', 'user.name')", "SELECT x FROM (SELECT `java_method`('java.util.UUID', 'randomUUID') AS x)",
+    "SELECT 1 WHERE EXISTS (SELECT try_reflect('java.util.UUID', 'randomUUID'))", 'SELECT "a\\" ; drop table t --"',
 ])
 def test_what_is_no_query_is_refused(spark, sql):
     with pytest.raises(SQLRejected):

@@ -2,12 +2,13 @@ import datetime
 import gzip
 import json
 import os
+import urllib.parse
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vistaframe.functions.model import Dialect, ExportError, SQLRejected, UnsupportedSource
+from vistaframe.functions.model import Dialect, ExportError, Filter, QuerySpec, Sort, SQLRejected, UnsupportedSource
 from vistaframe.operators import quality
 from vistaframe.operators.overview import first_rows, overview
 from vistaframe.sources import shared, sinks, snapshots, tables, text
@@ -278,3 +279,98 @@ def test_overview_takes_types_from_all_rows(spark, tmp_path):
         f.write("a,b\n" + "".join(f"{i},{i if i < 21_000 else 'x'}\n" for i in range(50_000)))
     r = {x.column: x for x in overview(spark, p).collect()}
     assert (r["a"].type, r["b"].type, r["b"].n_bad, r["b"].n_bad_rows) == ("bigint", "string", 0, 0)
+
+
+def versioned(spark, path, versions, by=None, checkpoint=None, spell=lambda name: name):
+    """A log-based table of ten rows a version, as a writer leaves it; by names a key column."""
+    (path / "_delta_log").mkdir(parents=True)
+    schema = spark.range(1).selectExpr("id", "'x' as k").schema
+    adds = []
+    for v in range(versions):
+        df, key = spark.range(10 * v, 10 * v + 10).selectExpr("id", f"'k {v % 2}+' as k"), f"k {v % 2}+"
+        name = f"k={key.replace(' ', '%20')}/part-{v}.parquet" if by == "folders" else f"part {v}+.parquet"
+        (df.drop("k") if by else df).coalesce(1).write.parquet(f"{path}/tmp{v}")
+        made = next(x for x in os.listdir(f"{path}/tmp{v}") if x.endswith(".parquet"))
+        os.makedirs(os.path.dirname(f"{path}/{name}"), exist_ok=True)
+        os.rename(f"{path}/tmp{v}/{made}", f"{path}/{name}")
+        add = {"add": {"path": urllib.parse.quote(name, safe="/="), "partitionValues": {"k": key} if by else {}}}
+        meta = {"metaData": {"schemaString": schema.json(), "partitionColumns": ["k"] if by else [], "configuration": {}}}
+        adds.append(add)
+        put(path / "_delta_log" / f"{v:020d}.json", [json.dumps(x) for x in ([meta] if v == 0 else []) + [add]])
+        if v == checkpoint:
+            rows = spark.read.schema(tables._LOG).json(spark.sparkContext.parallelize([json.dumps(x) for x in [meta, *adds]]))
+            rows.coalesce(1).write.parquet(f"{path}/cp")
+            part = next(x for x in os.listdir(f"{path}/cp") if x.endswith(".parquet"))
+            os.rename(f"{path}/cp/{part}", f"{path}/_delta_log/{v:020d}.checkpoint.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("by", [None, "folders", "log"])
+def test_log_tables_are_one_scan(spark, tmp_path, by):
+    p = versioned(spark, tmp_path / "t", 4, by)
+    df = tables.read_log_table(spark, p)
+    assert df.columns == ["id", "k"] and {(r.id, r.k) for r in df.collect()} == {(i, f"k {i // 10 % 2}+") for i in range(40)}
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 1 + (by == "log")
+    assert tables.read_log_table(spark, p, version=1).count() == 20
+
+
+def test_log_tables_with_gaps_are_refused(spark, tmp_path):
+    p = versioned(spark, tmp_path / "t", 5, checkpoint=3)
+    os.remove(f"{p}/_delta_log/{0:020d}.json")
+    assert tables.read_log_table(spark, p).count() == 50 and tables.read_log_table(spark, p, version=3).count() == 40
+    for version in (0, 1, 2, 9, -1):
+        with pytest.raises(UnsupportedSource):
+            tables.read_log_table(spark, p, version=version)
+    os.remove(f"{p}/_delta_log/{4:020d}.json")
+    assert tables.read_log_table(spark, p).count() == 40
+    spark.read.parquet(f"{p}/_delta_log/{3:020d}.checkpoint.parquet").selectExpr("*", "named_struct('path', 'x') as sidecar").coalesce(1).write.parquet(f"{p}/cp2")
+    part = next(x for x in os.listdir(f"{p}/cp2") if x.endswith(".parquet"))
+    os.replace(f"{p}/cp2/{part}", f"{p}/_delta_log/{3:020d}.checkpoint.parquet")
+    for crc in (tmp_path / "t" / "_delta_log").glob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(UnsupportedSource, match="sidecars"):
+        tables.read_log_table(spark, p)
+
+
+def test_skipped_lines_before_quoted_line_breaks(spark, tmp_path):
+    p = put(tmp_path / "f.csv", ["made today", "k,v", '1,"x', 'y"', '2,"a ""b"", c"', "3,"])
+    d = Dialect(skip=1)
+    assert [(r.k, r.v) for r in text.read_all_text(spark, p, d).collect()] == [("1", "x\ny"), ("2", 'a "b", c'), ("3", None)]
+
+
+def test_quotes_and_preambles_are_inferred(spark, tmp_path):
+    p = put(tmp_path / "f.csv", ["A report, with a comma, and more", "", "k;v;w", *[f"{i};'a;b';'c'" for i in range(30)]])
+    d = text.infer_dialect(spark, p)
+    assert (d.delimiter, d.quote, d.skip, d.header) == (";", "'", 2, True)
+    assert text.read_csv(spark, p).first().v == "a;b"
+    said = overview(spark, p).first()
+    assert said.notes[0].startswith("2 lines") and said.first_values[:2] == ["0", "1"]
+
+
+def test_snapshots_outlive_their_session(spark, tmp_path):
+    src, folder = f"{tmp_path}/src", f"{tmp_path}/m"
+    spark.range(1000).repartition(7).write.parquet(src)
+    read = lambda: spark.read.parquet(src)
+    spec = QuerySpec((Filter("id", "<", (10,)),), (Sort("id", True),))
+    _, copy = snapshots.adopt_or_rebuild(snapshots.Manifest(spark, folder), "t2", src, read, spec=spec)
+    assert [r.row_no for r in copy.orderBy("row_no").collect()] == list(range(1, 1001))
+    assert [r.id for r in copy.orderBy("row_no").collect()] == [r.id for r in read().collect()]
+    later = snapshots.Manifest(spark.newSession(), folder)
+    assert snapshots.adopt_or_rebuild(later, "t2", src, read)[0] == "adopted"
+    spark.range(5, 7).write.mode("append").parquet(src)
+    done, rows = snapshots.refresh(snapshots.Manifest(spark, folder), "t2", read)
+    assert done == "refreshed" and [r.id for r in rows.collect()] == [9, 8, 7, 6, 6, 5, 5, 4, 3, 2, 1, 0]
+
+
+def test_retention_over_many_ranges(spark):
+    now = datetime.datetime(2026, 1, 30)
+    rows = [(f"n{i:04d}", 10 + i % 7, now - datetime.timedelta(hours=i * 7 % 500)) for i in range(400)] + [("none", None, None)]
+    got = {r.name: r.verdict for r in snapshots.retention(spark.createDataFrame(rows, "name string, bytes long, last_used timestamp"), now, 2000, 14).collect()}
+    run, want = 0, {}
+    for name, n, used in sorted(rows, key=lambda r: (r[2] is not None, r[2] or now, r[0]), reverse=True):
+        if used is not None and used < now - datetime.timedelta(days=14):
+            want[name] = "aged"
+            continue
+        run += n or 0
+        want[name] = "over" if run > 2000 else "keep"
+    assert got == want

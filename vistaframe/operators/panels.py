@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.filters import contains, where
 from ..functions.model import Filter, QuerySpec, as_text, column, field_of, kind_of
+from .profile import wants_exact
 
 # Labels of the two values that have no text of their own.
 NULL_LABEL, EMPTY_LABEL = "␀ NULL", "␀ EMPTY"
@@ -47,12 +48,17 @@ def top_values(df: DataFrame, col: str, limit: int = 200, spec: QuerySpec = Quer
     )
 
 
-def distinct_stats(df: DataFrame, col: str, spec: QuerySpec = QuerySpec(), exact: bool = False, shown: DataFrame | None = None) -> DataFrame:
-    """n_rows, n_nonnull, n_distinct_approx, n_distinct_exact (if exact), other_n (rows that `shown` leaves out)."""
+def distinct_stats(df: DataFrame, col: str, spec: QuerySpec = QuerySpec(), exact: bool | None = False, shown: DataFrame | None = None) -> DataFrame:
+    """n_rows, n_nonnull, n_distinct_approx, n_distinct_exact (if exact), other_n (rows that `shown` leaves out).
+
+    exact=None counts exactly where the sketch says that the values are few.
+    """
     rows = faceted(df, spec, col)
     c = column(rows, col)
     aggs = [F.count("*").alias("n_rows"), F.count(c).alias("n_nonnull"), F.approx_count_distinct(c).alias("n_distinct_approx")]
     out = rows.agg(*aggs).withColumn("n_distinct_approx", F.least("n_distinct_approx", "n_nonnull"))
+    if exact is None:
+        exact = wants_exact(out.first().n_distinct_approx)
     if exact:
         values = rows.where(c.isNotNull()).select(c.alias("v")).distinct()
         out = out.join(F.broadcast(values.agg(F.count("*").alias("n_distinct_exact"))))  # one row

@@ -163,7 +163,7 @@ def preamble_skip(spark, sf_dir):
 def _one_file(spark: SparkSession, name: str, first: list[str], rows: DataFrame) -> str:
     """A text file as other programs write it: lines of its own above the rows. One file is one task's work."""
     path = f"{fresh_path(spark, name)}/one"
-    head = F.array(*[F.lit(x) for x in first])
+    head = F.array(*[F.lit(x) for x in first]).cast("array<string>")
     numbered = rows.coalesce(1).withColumn("i", F.monotonically_increasing_id())
     numbered.select(F.explode(F.when(F.col("i") == 0, F.concat(head, F.array("value"))).otherwise(F.array("value"))).alias("value")).write.text(path)
     return path
@@ -185,14 +185,14 @@ def infer_dialect(spark, sf_dir):
     """What is inferred of three files written from customer."""
     c, out = table(spark, sf_dir, "customer"), []
     s = [F.col("c_custkey").cast("string"), F.col("c_name"), F.col("c_mktsegment")]
-    quoted = [F.concat(F.lit("'"), x, F.lit("; '")) for x in s]
+    quoted = [s[0], *[F.concat(F.lit("'"), x, F.lit("; '")) for x in s[1:]]]
     for name, first, line in (
         ("comma", ["key,name,segment"], F.concat_ws(",", *s)),
         ("semicolon", [], F.concat_ws(";", *quoted)),
         ("preamble", ["A report, made today", "of all customers", "key|name|segment"], F.concat_ws("|", *s)),
     ):
         rows = c.select(line.alias("value"))
-        path = _one_file(spark, f"dialect-{name}", first, rows) if first else _one_file(spark, f"dialect-{name}", [], rows)
+        path = _one_file(spark, f"dialect-{name}", first, rows)
         d = text.infer_dialect(spark, path)
         out.append((name, d.delimiter, d.quote, d.header, d.skip))
     return spark.createDataFrame(out, "file string, delimiter string, quote string, header boolean, skip int")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -144,9 +145,50 @@ def summarize_exact(spark, sf_dir):
     return out.select("position", "column", "min", "max", F.round("avg", 4).alias("avg"), F.round("std", 4).alias("std"), "n", F.col("null_pct").cast("double").alias("null_pct"))
 
 
-@query()
+_ORDERED_SQL = " UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS \"column\", count(*) AS n, count(*) > 0 AS distinct_fits, {'count(*) > 0' if q else 'NULL::BOOLEAN'} AS quartiles_fit FROM lineitem"
+    for i, (c, q) in enumerate((c, t != "string") for c, t in _LINEITEM.items())
+)
+
+
+@query(_ORDERED_SQL)
 def summarize_sketch(spark, sf_dir):
-    return profile.summarize(table(spark, sf_dir, "lineitem"))
+    """The whole summary; its approximate fields cannot equal another engine's, so they are shown to be in order."""
+    df = table(spark, sf_dir, "lineitem")
+    s = profile.summarize(df)
+    lo, q, hi = F.col("min"), [F.col(c) for c in ("q25", "q50", "q75")], F.col("max")
+    numbers = [F.coalesce(x.try_cast("double"), F.unix_millis(x.try_cast("timestamp")).cast("double")) for x in (lo, *q, hi)]
+    rising = reduce(lambda a, b: a & b, [a <= b for a, b in zip(numbers, numbers[1:])])
+    fits = (F.col("approx_distinct") > 0) & (F.col("approx_distinct") <= 1.25 * F.col("n"))
+    return s.select("position", "column", "n", fits.alias("distinct_fits"), F.when(q[1].isNotNull(), rising).alias("quartiles_fit"))
+
+
+_BOUNDS = (("o_orderkey", True), ("o_custkey", True), ("o_orderstatus", False), ("o_totalprice", True), ("o_orderdate", False), ("o_orderpriority", False))
+_BOUNDS_SQL = " UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS \"column\", count(*) > 0 AS near, count(*) > 0 AS clamped, {'count(*) > 0' if q else 'NULL::BOOLEAN'} AS quartiles_near FROM orders"
+    for i, (c, q) in enumerate(_BOUNDS)
+)
+
+
+@query(_BOUNDS_SQL)
+def sketch_bounds(spark, sf_dir):
+    """Sketches against exact counts: distinct values within 15 percent and never above the rows, quartiles within a hundredth of the ranks."""
+    df = table(spark, sf_dir, "orders").select(*[c for c, _ in _BOUNDS])
+    p = profile.profile(df)
+    exact = profile.distinct_exact(df).select("position", "n_distinct")
+    points = {r.position: [float(x) for x in (r.q25, r.q50, r.q75)] for r in p.collect() if _BOUNDS[r.position][1]}  # three numbers a column
+    shares = [F.count_if(F.col(_BOUNDS[i][0]) <= x) / F.count("*") for i, xs in points.items() for x in xs]
+    below = [F.count_if(F.col(_BOUNDS[i][0]) < x) / F.count("*") for i, xs in points.items() for x in xs]
+    wide = df.agg(F.array(*shares).alias("upto"), F.array(*below).alias("under"))
+    near = lambda k: F.lit(True) if k is None else reduce(
+        lambda a, b: a & b, [(F.col("upto")[3 * k + j] >= q - 0.01) & (F.col("under")[3 * k + j] <= q + 0.01) for j, q in enumerate((0.25, 0.5, 0.75))]
+    )
+    place = {i: k for k, i in enumerate(points)}
+    quartiles = wide.select(F.inline(F.array(*[F.struct(F.lit(i).alias("position"), near(place[i]).alias("quartiles_near")) for i in points])))
+    within = F.abs(F.col("approx_distinct") - F.col("n_distinct")) <= F.greatest(F.lit(2.0), 0.15 * F.col("n_distinct"))
+    return p.join(exact, "position").join(quartiles, "position", "left").select(
+        "position", "column", within.alias("near"), (F.col("approx_distinct") <= F.col("n")).alias("clamped"), "quartiles_near"
+    )
 
 
 _NULLISH_SQL = ", ".join("'" + x + "'" for x in profile.NULLISH)
@@ -299,9 +341,14 @@ def length_hist(spark, sf_dir):
     return panels.length_histogram(table(spark, sf_dir, "part"), "p_name")
 
 
-@query()
+@query("SELECT least(20, count(*)) AS n, least(20, count(*)) AS n_known, 0 AS n_of_no_column FROM part")
 def sample_values(spark, sf_dir):
-    return panels.sample_values(table(spark, sf_dir, "part"), "p_name", 20)
+    """How many values a sample has, and how many of them are the column's."""
+    df = table(spark, sf_dir, "part")
+    known = df.select(F.col("p_name").alias("value")).distinct().withColumn("known", F.lit(1))
+    sample = panels.sample_values(df, "p_name", 20)
+    none = panels.sample_values(df, "no such column", 20).agg(F.count("*").alias("n_of_no_column"))
+    return sample.join(known, "value", "left").agg(F.count("*").alias("n"), F.count("known").alias("n_known")).join(none)  # a row each
 
 
 @query("SELECT count(*) AS n_rows, count(DISTINCT o_custkey) AS n_distinct, CAST(count(DISTINCT o_custkey) AS DOUBLE) / count(*) AS ratio FROM orders")
@@ -364,7 +411,10 @@ def infer_types_query(spark, sf_dir):
     return infer_types(df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]), sample=None)
 
 
-@query("SELECT * FROM (VALUES (0, 'o_orderkey', 'number'), (1, 'o_custkey', 'number'), (2, 'o_orderstatus', 'text'), (3, 'o_totalprice', 'number'), (4, 'o_orderdate', 'temporal'), (5, 'o_orderpriority', 'text')) t(position, \"column\", kind)")
+_KIND_SQL = """CASE WHEN column_type IN ('VARCHAR') THEN 'text' WHEN column_type IN ('BOOLEAN') THEN 'bool' WHEN column_type LIKE 'DATE%' OR column_type LIKE 'TIME%' THEN 'temporal' ELSE 'number' END"""
+
+
+@query(f'SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS position, column_name AS "column", {_KIND_SQL} AS kind FROM (DESCRIBE SELECT * FROM orders)')
 def describe_schema(spark, sf_dir):
     return describe(table(spark, sf_dir, "orders")).drop("type")
 
@@ -399,7 +449,9 @@ def unmatched_keys(spark, sf_dir):
     return joins.unmatched_keys(_left(spark, sf_dir), _right(spark, sf_dir), ["custkey"])
 
 
-@query("SELECT * FROM (VALUES (0, 'custkey', 'bigint', 'bigint', TRUE), (2, 'amount', 'double', 'double', TRUE)) t(position, \"column\", left_type, right_type, compatible)")
+@query("""WITH l AS (SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS position, column_name, lower(column_type) AS t FROM (DESCRIBE SELECT o_custkey AS custkey, o_orderkey, o_totalprice AS amount FROM orders)),
+r AS (SELECT column_name, lower(column_type) AS t FROM (DESCRIBE SELECT c_custkey AS custkey, c_acctbal AS amount, c_name AS name FROM customer))
+SELECT l.position, l.column_name AS "column", l.t AS left_type, r.t AS right_type, (l.t = 'varchar') = (r.t = 'varchar') AS compatible FROM l JOIN r USING (column_name)""")
 def join_candidates(spark, sf_dir):
     return joins.join_candidates(_left(spark, sf_dir), _right(spark, sf_dir))
 

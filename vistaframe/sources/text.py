@@ -70,7 +70,9 @@ def infer_dialect(spark: SparkSession, path: str, sample: int = SAMPLE_ROWS) ->
 
 
 def _preamble(text: DataFrame, d: Dialect, n_fields: int, least: float = 0.9) -> int:
-    rows = text.select("line_no", (field_count(F.col("value"), d.delimiter, d.quote).cast("int") == n_fields).alias("fits"), (F.trim("value") == "").alias("blank"))
+    quotes = F.char_length("value") - F.char_length(F.replace(F.col("value"), F.lit(d.quote), F.lit("")))
+    # a line with an odd number of quotes is a part of a row, as a quoted field holds a line break
+    rows = text.where(quotes % 2 == 0).select("line_no", (field_count(F.col("value"), d.delimiter, d.quote).cast("int") == n_fields).alias("fits"), (F.trim("value") == "").alias("blank"))
     first = rows.where("fits and not blank").agg(F.min("line_no")).first()[0]
     if not first:
         return 0
