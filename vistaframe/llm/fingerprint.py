@@ -100,7 +100,7 @@ def order(docs: DataFrame) -> DataFrame:
     numbered = placed.join(F.broadcast(offsets), "range").withColumn("at", F.col("ahead") + F.col("place"))
     part = F.floor(F.col("n_chars") / 3).cast("int").alias("part")
     after = numbered.select(F.pmod(F.col("at") + 1, F.col("all")).alias("at"), *[F.col(k).alias(f"before_{k}") for k in KEY], part)
-    return numbered.select("at", *KEY, "copies").join(after, "at").drop("at")
+    return stored(numbered.select("at", *KEY, "copies").join(after, "at").drop("at"), "order")
 
 
 def neighbours(docs: DataFrame, carried) -> DataFrame:
@@ -114,8 +114,10 @@ def neighbours(docs: DataFrame, carried) -> DataFrame:
     keyed = docs.select(
         F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), F.xxhash64("text").alias("hash"), "text", F.char_length("text").alias("n_chars")
     )
-    texts = keyed.groupBy(*KEY).agg(F.first("text").alias("text"))
-    rows = texts.join(order(keyed.drop("text")), list(KEY))
+    found = order(keyed.drop("text"))
+    several = not found.where("copies > 1").isEmpty()
+    texts = keyed.groupBy(*KEY).agg(F.first("text").alias("text")) if several else keyed.select(*KEY, "text")
+    rows = texts.join(found, list(KEY))
     heads = rows.select(
         *[F.col(f"before_{k}").alias(k) for k in KEY],
         F.struct(F.substring("text", F.lit(1), F.col("part")).alias("head"), carried(F.col("text")).alias("carried")).alias("next"),
