@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.casts import is_bad
 from ..functions.model import as_text, column, kind_of
 
 BATCH = 50
@@ -19,12 +20,12 @@ NULLISH = ("", "na", "n/a", "null", "none", "nil", "-", "--", "—", "?", "#n/a"
 
 
 def _batched(df: DataFrame, of_column) -> DataFrame:
-    """Rows of of_column(i, field) -> (aggregates, struct of results), some columns an aggregate at a time."""
+    """Rows of of_column(i, field) -> (aggregates, results by name), some columns an aggregate at a time."""
     parts, fields = [], list(enumerate(df.schema.fields))
     for at in range(0, len(fields), BATCH):
         made = [of_column(i, f) for i, f in fields[at : at + BATCH]]
         wide = df.agg(F.count("*").alias("n"), *[a for aggs, _ in made for a in aggs])
-        parts.append(wide.select(F.inline(F.array(*[s for _, s in made]))))
+        parts.append(wide.select(F.inline(F.array(*[F.struct(*[v.alias(k) for k, v in found.items()]) for _, found in made]))))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -41,6 +42,10 @@ def summarize(df: DataFrame, sketches: bool = True) -> DataFrame:
 
     Average and deviation are of numbers, quartiles of numbers and times. sketches=False leaves approximate fields out.
     """
+    return _batched(df, _summary(df, sketches))
+
+
+def _summary(df: DataFrame, sketches: bool):
 
     def of(i: int, f: T.StructField):
         c, kind = column(df, f.name), kind_of(f.dataType)
@@ -60,13 +65,17 @@ def summarize(df: DataFrame, sketches: bool = True) -> DataFrame:
                 aggs.append(F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(f"c{i}_q"))
             fields |= {k: as_text(F.get(F.col(f"c{i}_q"), F.lit(j))) if points else _none("string") for j, k in enumerate(("q25", "q50", "q75"))}
         fields |= {"n": F.col("n"), "null_pct": F.when(F.col("n") > 0, 100.0 * (F.col("n") - F.col(f"c{i}_n")) / F.col("n"))}
-        return aggs, F.struct(*[v.alias(k) for k, v in fields.items()])
+        return aggs, fields
 
-    return _batched(df, of)
+    return of
 
 
 def missing_counts(df: DataFrame) -> DataFrame:
     """A row a column: NULL, empty and look-alike cells, kept apart, and the longest text."""
+    return _batched(df, _missing(df))
+
+
+def _missing(df: DataFrame):
 
     def of(i: int, f: T.StructField):
         c = column(df, f.name)
@@ -78,10 +87,9 @@ def missing_counts(df: DataFrame) -> DataFrame:
             F.max(F.char_length(text)).cast("long").alias(f"c{i}_len"),
         ]
         names = (("n_null", "null"), ("n_empty", "empty"), ("n_nullish", "nullish"), ("max_len", "len"))
-        fields = [F.lit(i).alias("position"), F.lit(f.name).alias("column"), F.col("n").alias("n"), *[F.col(f"c{i}_{s}").alias(k) for k, s in names]]
-        return aggs, F.struct(*fields)
+        return aggs, {"position": F.lit(i), "column": F.lit(f.name), "n": F.col("n")} | {k: F.col(f"c{i}_{s}") for k, s in names}
 
-    return _batched(df, of)
+    return of
 
 
 def clamp_distinct(approx: Column, n: Column) -> Column:
@@ -108,16 +116,23 @@ def kinds(df: DataFrame) -> Column:
     return F.array(*[F.lit(kind_of(f.dataType)) for f in df.schema.fields])
 
 
-def profile(df: DataFrame, uncastable: DataFrame | None = None, sketches: bool = True, distinct: DataFrame | None = None) -> DataFrame:
-    """A row a column: summary, missing counts and uncastable cells (position, n_bad), with a suggested view.
+def profile(df: DataFrame, uncastable: DataFrame | T.StructType | None = None, sketches: bool = True, distinct: DataFrame | None = None) -> DataFrame:
+    """A row a column: summary, missing counts and uncastable cells, with a suggested view, from one scan.
 
-    distinct (position, n_distinct) takes the place of the sketch where an exact count is at hand.
+    uncastable is the schema that the cells should have, or counts that are at hand (position, n_bad). distinct (position,
+    n_distinct) takes the place of the sketch where an exact count is at hand.
     """
-    s = summarize(df, sketches).withColumn("kind", F.get(kinds(df), F.col("position")))
-    m = missing_counts(df).drop("column", "n")
-    out = s.join(m, "position")  # a row a column on both sides
-    bad = uncastable.select("position", F.col("n_bad").alias("n_uncastable")) if uncastable is not None else None
-    out = out.join(bad, "position", "left") if bad is not None else out.withColumn("n_uncastable", F.lit(0).cast("long"))
+    summary, missing = _summary(df, sketches), _missing(df)
+    wanted = {f.name: f.dataType for f in uncastable.fields} if isinstance(uncastable, T.StructType) else {}
+
+    def of(i: int, f: T.StructField):
+        (a, first), (b, second) = summary(i, f), missing(i, f)
+        bad = [F.count_if(is_bad(column(df, f.name), wanted[f.name])).alias(f"c{i}_bad")] if f.name in wanted else []
+        return a + b + bad, first | second | {"n_uncastable": F.col(f"c{i}_bad") if bad else F.lit(0).cast("long")}
+
+    out = _batched(df, of).withColumn("kind", F.get(kinds(df), F.col("position")))
+    if isinstance(uncastable, DataFrame):
+        out = out.drop("n_uncastable").join(uncastable.select("position", F.col("n_bad").alias("n_uncastable")), "position", "left")  # a row a column
     if distinct is not None:
         out = out.drop("approx_distinct").join(distinct.select("position", F.col("n_distinct").alias("approx_distinct")), "position", "left")
     elif not sketches:
@@ -174,9 +189,9 @@ def serial_dates(df: DataFrame) -> DataFrame:
         lo, hi = F.col(f"c{i}_lo"), F.col(f"c{i}_hi")
         # more than one value there are exactly when the smallest is not the largest
         looks = F.coalesce(F.lit(number) & (lo >= SERIAL_LOW) & (hi <= SERIAL_HIGH) & (lo < hi), F.lit(False))
-        return aggs, F.struct(
-            F.lit(i).alias("position"), F.lit(f.name).alias("column"), looks.alias("looks_like_dates"),
-            F.when(looks, from_serial(lo)).alias("first"), F.when(looks, from_serial(hi)).alias("last"),
-        )
+        return aggs, {
+            "position": F.lit(i), "column": F.lit(f.name), "looks_like_dates": looks,
+            "first": F.when(looks, from_serial(lo)), "last": F.when(looks, from_serial(hi)),
+        }
 
     return _batched(df, of)

@@ -231,7 +231,7 @@ SELECT m.position, m."column", CASE WHEN m.position = 0 THEN 'number' ELSE 'text
 FROM ({_MISSING}) m JOIN ({_UNCASTABLE}) u ON m.position = u.position"""), "profile")
 def profile_query(spark, sf_dir):
     df = dirty_orders(spark, sf_dir)
-    out = _profile(df, quality.uncastable_cells(df, DIRTY_SCHEMA))
+    out = _profile(df, DIRTY_SCHEMA)
     return out.select(
         "position", "column", "kind", "n", "n_null", "n_empty", "n_nullish", "max_len", "n_uncastable", "approx_distinct",
         F.round("missing_fraction", 9).alias("missing_fraction"),
