@@ -11,7 +11,8 @@ while their ends lie in different groups. Buckets that then still hold members o
 id, are compared in blocks by signature. A block gives back a forest that connects the groups which agree enough, and the
 members that agree with a member of another group. Those of connected groups meet once more, in pieces of bounded size
 with their full sets, where all pairs of different groups are compared exactly and a forest of links is given back. So no
-group is ever written out as pairs, and no link that would join two groups is left out.
+group is ever written out as pairs, and no link that would join two groups is left out. Each piece meets each other one of
+its bucket or family, so for a family of n texts that are nearly alike, and not linked, rows sent grow with n squared over BLOCK.
 
 Confirming sends each text to its partner's place, in portions of PORTION members, so a text with a third of all rows as
 its copies is spread over many tasks. Groups grow together by alternating large-star and small-star steps on the
