@@ -2,7 +2,7 @@
 
 A rolling hash over a text's bytes picks places that depend on nothing but the sixteen bytes before them; each is moved
 to the next start of a word, and the text is cut there. Equal passages of different documents so give equal chunks, and
-a Python worker encodes each chunk once, as long as it stays in a store of bounded size; the store outlives tasks. Where two chunks meet, a window of the
+a task encodes each chunk once, as long as it stays in a store of bounded size. Where two chunks meet, a window of the
 last word of one and the first word of the other is encoded in one piece and compared with what the two chunks gave; a
 window that disagrees is widened word by word until its ends agree, and its ids replace theirs.
 
@@ -33,8 +33,8 @@ RANKS = "byte_bpe_50k.tiktoken"
 SPECIAL = {"<|endoftext|>": 50256}
 #: A chunk ends where this many low bits of the rolling hash are 0: about every 1,024 bytes.
 MASK = np.uint32((1 << 10) - 1)
-#: Characters whose chunks' ids a worker keeps in each of two generations: about a byte and a half a character.
-KEPT_CHARS = 12_000_000
+#: Characters whose chunks' ids a task keeps in each of two generations: about a byte and a half a character.
+KEPT_CHARS = 2_000_000
 
 
 @cache
@@ -157,14 +157,8 @@ class Encoder:
         return joined([text[a:b] for a, b in zip(edges, edges[1:])], self.chunks.ids, self.encode)
 
 
-@cache
-def worker_encoder() -> Encoder:
-    """The encoder of this Python worker, with the chunks that earlier tasks left in it."""
-    return Encoder()
-
-
 def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encode = worker_encoder()
+    encode = Encoder()
     for batch in batches:
         yield _with(batch, "ids", _lists([encode(t or "") for t in batch.column("text").to_pylist()]))
 
@@ -176,7 +170,7 @@ def _lists(ids: list[list[int]]) -> pa.ListArray:
 
 def _both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """ids in place of text, and decoded: one pass through Python for the way there and back."""
-    encode, tk = worker_encoder(), encoder()
+    encode, tk = Encoder(), encoder()
     for batch in batches:
         ids = [encode(t or "") for t in batch.column("text").to_pylist()]
         keep = [n for n in batch.schema.names if n != "text"]
