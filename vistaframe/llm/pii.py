@@ -227,8 +227,8 @@ def _form(v: str) -> int:
 
 def _inner(text: str, start: int, end: int, kinds: re.Pattern = INNER) -> int:
     """Where the first valid value begins that stands inside a match but not at its start; end without one."""
-    pos = start + 1
-    while (m := kinds.search(text, pos)) and m.start() < end:
+    pos, last = start + 1, min(len(text), end + AHEAD)  # what begins before the end is over by then
+    while (m := kinds.search(text, pos, last)) and m.start() < end:
         if m.lastgroup == "card":
             if span := _card_span(text, *m.span()):
                 return min(span[0], end)
