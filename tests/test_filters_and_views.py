@@ -99,7 +99,7 @@ def test_numbering_breaks_ties_by_all_columns_even_maps(spark):
 @pytest.mark.parametrize("sql", [
     "", "  ", "-- only a comment", "/* a */", "DROP TABLE t", "insert into t values (1)", "SELECT 1; SELECT 2", "EXPLAIN SELECT 1", "/* x */ create view v as select 1",
     "SET a = 1", "(delete from t)", "SELECT reflect('java.lang.System', 'getProperty', 'user.name')", "SELECT x FROM (SELECT `java_method`('java.util.UUID', 'randomUUID') AS x)",
-    "SELECT 1 WHERE EXISTS (SELECT try_reflect('java.util.UUID', 'randomUUID'))", 'SELECT "a\\" ; drop table t --"',
+    "SELECT 1 WHERE EXISTS (SELECT try_reflect('java.util.UUID', 'randomUUID'))", 'SELECT "a" ; drop table t --"', "SELECT 'a\\\\' ; drop table t --'",
 ])
 def test_what_is_no_query_is_refused(spark, sql):
     with pytest.raises(SQLRejected):
@@ -115,6 +115,7 @@ def test_what_does_not_parse_as_a_subquery_fails(spark, sql):
 @pytest.mark.parametrize("sql,n", [
     ("SELECT 1 AS x", 1), ("SELECT 1 AS x;", 1), ("WITH a AS (SELECT 1 AS x) SELECT * FROM a -- end; here", 1), ("VALUES (1), (2)", 2),
     ("SELECT ';' AS x /* ; */", 1), ("SELECT 'drop table' AS x", 1),
+    ('SELECT "a\\" ; drop table t --"', 1), ("SELECT 'CallMethodViaReflection' AS x", 1),
 ])
 def test_queries_run(spark, sql, n):
     assert sqlbox.read_only_sql(spark, sql).count() == n
