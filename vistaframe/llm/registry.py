@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from . import (
-    fingerprint,
     bpe,
+    decontaminate,
+    fim,
+    fingerprint,
+    importance,
     langid,
     minhash,
     mixing,
@@ -15,7 +18,7 @@ from . import (
     toxicity,
 )
 
-_MODULES = (minhash, secrets, topk, toxicity, mixing, tokencount, bpe, pii, langid, fingerprint)
+_MODULES = (minhash, secrets, topk, toxicity, mixing, tokencount, bpe, pii, langid, fingerprint, decontaminate, importance, fim)
 
 
 def queries() -> dict:
