@@ -87,6 +87,7 @@ class Dialect:
     header: bool = True
     skip: int = 0
     comment: str | None = None
+    escape: str = '"'
 
 
 @dataclass(frozen=True)

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.model import SourceSpec, UnsupportedSource, column, kind_of
 from . import text
+from .blocks import Blocks, Elements
 from .detect import PARQUET, detect, extension
 from .shared import head, members, qualified
 
@@ -46,11 +47,18 @@ def read_folder_parquet(spark: SparkSession, path: str, merge_schema: bool = Tru
     return df.select("*", F.col("_metadata.file_path").alias("filename"))
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """One object a line, or one array; an array file cannot be split."""
-    array = extension(path)[0] not in ("ndjson", "jsonl") and not members(spark, path)[1:] and head(spark, members(spark, path)[0].path, 64).lstrip()[:1] == b"["
-    reader = spark.read.option("multiLine", array)
-    return (reader.schema(schema) if schema else reader).json(path)
+def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """One object a line, or one array of objects, whose elements are found and parsed by many tasks."""
+    files = members(spark, path)
+    first = b"" if extension(path)[0] in ("ndjson", "jsonl") or files[1:] else head(spark, files[0].path, 64).removeprefix(b"\xef\xbb\xbf").lstrip()
+    reader = spark.read.schema(schema) if schema else spark.read
+    if first[:1] != b"[":
+        return reader.json(path)
+    if first[1:].lstrip()[:1] != b"{":  # no objects: a document for one parser
+        return reader.option("multiLine", True).json(path)
+    found = Blocks(spark, [path], Elements()).records().select("value")
+    jvm = spark._jvm.org.apache.spark.sql
+    return DataFrame(reader._jreader.json(getattr(found._jdf, "as")(jvm.Encoders.STRING())), spark)
 
 
 #: Log-based tables of up to this many files send the files' keys to every task.

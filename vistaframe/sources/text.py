@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.casts import DATE, NUMBER, TIMESTAMP, cast_strict
-from ..functions.model import Dialect, column
+from ..functions.model import Dialect, UnsupportedSource, column
 from ..operators.quality import good_rows
+from .blocks import SENT, Blocks, quoted_lines
 from .detect import TEXT, extension
-from .shared import fresh_path, members
+from .shared import members
 
 DELIMITERS = (",", ";", "\t", "|")
 SAMPLE_ROWS = 20_480
@@ -76,6 +77,11 @@ def _preamble(text: DataFrame, d: Dialect, n_fields: int, least: float = 0.9) ->
     first = rows.where("fits and not blank").agg(F.min("line_no")).first()[0]
     if not first:
         return 0
+    above = rows.where((F.col("line_no") < first) & ~F.col("blank")).limit(2).collect()
+    if len(above) == 1:  # one line of another number of fields: a header, unless what is below it is one
+        heads = [_looks_like_header(_split(text.where(F.col("line_no") == n).first().value, d)) for n in (above[0].line_no, first)]
+        if heads == [True, False]:
+            return 0
     behind = rows.where((F.col("line_no") >= first) & ~F.col("blank")).agg(F.count_if("fits").alias("k"), F.count("*").alias("n")).first()
     return int(first) if behind.k > 1 and behind.k >= least * behind.n else 0
 
@@ -87,18 +93,26 @@ def _split(value: str, d: Dialect) -> list[str]:
 
 
 def _has_header(text: DataFrame, d: Dialect) -> bool:
+    first = text.orderBy("line_no").first()
+    return bool(first) and _looks_like_header(_split(first.value, d), 1)
+
+
+def _looks_like_header(names: list[str], least: int = 2) -> bool:
+    """Distinct names, none of them blank, a number or a date."""
     import re
 
-    first = text.orderBy("line_no").first()
-    names = _split(first.value, d) if first else []
     plain = [n for n in names if n.strip()]
-    return bool(plain) and len(set(names)) == len(names) == len(plain) and not any(re.match(p, n) for n in names for p in (NUMBER, DATE, TIMESTAMP))
+    return len(names) >= least and len(set(names)) == len(names) == len(plain) and not any(re.match(p, n) for n in names for p in (NUMBER, DATE, TIMESTAMP))
+
+
+def blocks_of(spark: SparkSession, path: str | list[str], d: Dialect) -> Blocks:
+    return quoted_lines(spark, [path] if isinstance(path, str) else path, d.delimiter, d.quote, d.escape, d.comment, d.skip)
 
 
 def field_count_report(spark: SparkSession, path: str, d: Dialect | None = None) -> DataFrame:
-    """One row: n_lines, modal_fields, n_ragged (lines with another number of fields) and max_fields."""
+    """One row: n_lines, modal_fields, n_ragged (rows with another number of fields) and max_fields; a header is a row."""
     d = d or infer_dialect(spark, path)
-    return ragged(lines(spark, path).where(F.col("line_no") >= d.skip), d)
+    return ragged(blocks_of(spark, path, d).records(), d)
 
 
 def ragged(text: DataFrame, d: Dialect) -> DataFrame:
@@ -111,25 +125,21 @@ def ragged(text: DataFrame, d: Dialect) -> DataFrame:
     )
 
 
-def has_multi_line(text: DataFrame, quote: str = '"') -> bool:
-    """Whether a quoted field holds a line break: some line then has an odd number of quotes."""
-    odd = F.char_length("value") - F.char_length(F.replace(F.col("value"), F.lit(quote), F.lit("")))
-    return not text.where(odd % 2 == 1).limit(1).isEmpty()
-
-
 def _options(d: Dialect, **more) -> dict:
-    out = {"sep": d.delimiter, "quote": d.quote, "escape": '"', "nullValue": NO_TEXT, "encoding": "UTF-8", "mode": "PERMISSIVE"}
+    out = {"sep": d.delimiter, "quote": d.quote, "escape": d.escape, "nullValue": NO_TEXT, "encoding": "UTF-8", "mode": "PERMISSIVE"}
     if d.comment:
         out["comment"] = d.comment
     return out | more
 
 
-def header_names(spark: SparkSession, path: str | list[str], d: Dialect, width: int | None = None) -> list[str]:
-    kept = lines(spark, path).where(F.col("line_no") >= d.skip)
-    if d.comment:
-        kept = kept.where(~F.col("value").startswith(d.comment))
-    first = kept.limit(1).first()
-    fields = _split(first.value, d) if first else []
+def header_names(blocks: Blocks, d: Dialect, width: int | None = None, f: int | None = None) -> list[str]:
+    """Names by the header of the first file, or of file f; columns beyond it are numbered."""
+    heads = blocks.heads() if f is None else blocks.heads().where(F.col("f") == f)
+    first = heads.orderBy("filename").first()
+    text = first.head if first else None
+    if text and blocks.scan.step(text.encode(), 0)[0]:  # a name holds a line break
+        text = blocks.records().where(F.col("f") == first.f).orderBy("line_no").first().value
+    fields = _split(text.removeprefix("\ufeff").removesuffix("\r"), d) if text else []
     names = [n if n else f"column{i}" for i, n in enumerate(fields)] if d.header else [f"column{i}" for i in range(len(fields))]
     seen: dict[str, int] = {}
     for i, n in enumerate(names):  # a repeated name gets a number, so that every column can be named
@@ -142,31 +152,25 @@ def header_names(spark: SparkSession, path: str | list[str], d: Dialect, width:
 def read_all_text(spark: SparkSession, path: str | list[str], d: Dialect | None = None, null_padding: bool = False) -> DataFrame:
     """Every column as text: nothing cast, nothing lost. `,,` is NULL and `,"",` is the empty text.
 
-    null_padding makes as many columns as the widest line has; without it the header's width holds. Behind skipped lines
-    a line break inside quotes is read as a plain newline.
+    null_padding makes as many columns as the widest row has; without it the header's width holds. Skipped lines and the
+    header go from every file. Files with quoted line breaks are read by as many tasks as other files.
     """
     d = d or infer_dialect(spark, path if isinstance(path, str) else path[0])
-    text = lines(spark, path)
-    width = field_counts(text.where(F.col("line_no") >= d.skip), d.delimiter, d.quote).agg(F.max("n_fields")).first()[0] if null_padding else None
-    names = header_names(spark, path if isinstance(path, str) else path[0], d, width)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    blocks = blocks_of(spark, path, d)
+    width = field_counts(blocks.records(), d.delimiter, d.quote).agg(F.max("n_fields")).first()[0] if null_padding else None
+    names = header_names(blocks, d, width)
     if not names:
         return spark.createDataFrame([], T.StructType([T.StructField("column0", T.StringType())]))
-    if d.skip:
-        kept = text.where((F.col("line_no") >= d.skip + d.header) & (F.trim("value") != ""))
-        if not has_multi_line(kept, d.quote):  # lines are parsed one by one, wherever they are
-            return kept.select(F.from_csv("value", schema.simpleString()[7:-1].replace(":", " ") if _plain(names) else _ddl(schema), _options(d)).alias("r")).select("r.*")
-        # quoted line breaks: the lines behind the preamble and header become a file, which one parser reads as a whole;
-        # such a file cannot be split anyway
-        cut = fresh_path(spark, "behind-preamble")
-        text.where(F.col("line_no") >= d.skip + d.header).coalesce(1).select("value").write.text(cut)
-        return spark.read.schema(schema).options(**_options(d, header=False, enforceSchema=True, multiLine=True)).csv(cut)
-    reader = spark.read.schema(schema).options(**_options(d, header=d.header, enforceSchema=True))
-    return reader.option("multiLine", has_multi_line(text, d.quote)).csv(path)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    if d.skip or blocks.broken() or blocks.scan.separator != b"\n":
+        return _parsed(blocks.records(d.header), schema, d)
+    return spark.read.schema(schema).options(**_options(d, header=d.header, enforceSchema=True)).csv(path)
 
 
-def _plain(names: list[str]) -> bool:
-    return all(n.isidentifier() for n in names)
+def _parsed(records: DataFrame, schema: T.StructType, d: Dialect, *more: str) -> DataFrame:
+    """Records as rows of the schema, and other columns of theirs."""
+    plain = replace(d, comment=None)  # comments are gone, and a record may begin like one inside quotes
+    return records.select(F.from_csv("value", _ddl(schema), _options(plain, multiLine=True)).alias("__r"), *more).select("__r.*", *more)
 
 
 def _ddl(schema: T.StructType) -> str:
@@ -174,12 +178,11 @@ def _ddl(schema: T.StructType) -> str:
 
 
 def preamble_report(spark: SparkSession, path: str, d: Dialect) -> DataFrame:
-    """n_lines, n_skipped, n_rows: rows left behind skipped lines and the header; skipped_all if none is."""
-    text = lines(spark, path)
-    out = text.agg(
-        F.count("*").alias("n_lines"), F.count_if(F.col("line_no") < d.skip).alias("n_skipped"),
-        F.count_if((F.col("line_no") >= d.skip + d.header) & (F.trim("value") != "")).alias("n_rows"),
-    )
+    """n_lines, n_skipped, n_rows: rows left behind skipped lines and the header of each file; skipped_all if none is."""
+    blocks = blocks_of(spark, path, d)
+    files = blocks.info().groupBy("f").agg(F.sum("n").alias("n"))
+    lines_of = files.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_lines"), F.coalesce(F.sum(F.least("n", F.lit(d.skip))), F.lit(0)).alias("n_skipped"))
+    out = lines_of.join(blocks.records(d.header).agg(F.count("*").alias("n_rows")))  # two frames of one row each
     return out.withColumn("skipped_all", (F.col("n_rows") == 0) & (F.col("n_lines") > 1 + int(d.header)))
 
 
@@ -226,17 +229,29 @@ def read_csv(
 
 
 def read_folder_csv(spark: SparkSession, path: str, d: Dialect | None = None, typed: bool = True) -> DataFrame:
-    """All members as one table by column name, with filename; members with the same header are read in one go."""
+    """All members as one table by column name, with filename; skipped lines and the header go from every member.
+
+    Members with the same header are read in one go. All of them are surveyed once.
+    """
     names = [m.path for m in members(spark, path) if extension(m.path)[0] in TEXT]
     d = d or infer_dialect(spark, names[0])
-    heads = spark.read.text(names).select("value", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("i"))
-    first = heads.groupBy("f").agg(F.min_by("value", "i").alias("head"))
-    groups = first.groupBy("head").agg(F.sort_array(F.collect_list("f")).alias("files")).orderBy("head").collect()  # file names
+    blocks = blocks_of(spark, names, d)
+    in_lines = not d.skip and not blocks.broken() and blocks.scan.separator == b"\n"
+    groups = blocks.heads().groupBy(F.col("head") if d.header else F.lit("")).agg(
+        F.sort_array(F.collect_list(F.struct("filename", "f"))).alias("files")).orderBy("files").collect()  # file names
     out = None
     for g in groups:
-        text = read_all_text(spark, list(g.files), d)
-        part = text.select("*", F.col("_metadata.file_path").alias("filename"))
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in header_names(blocks, d, f=g.files[0].f)])
+        if in_lines:
+            reader = spark.read.schema(schema).options(**_options(d, header=d.header, enforceSchema=True))
+            part = reader.csv([x.filename for x in g.files]).select("*", F.col("_metadata.file_path").alias("filename"))
+        else:
+            own = blocks.names() if len(groups) == 1 else spark.createDataFrame([(x.f, x.filename) for x in g.files], "f bigint, filename string")
+            records = blocks.records(d.header)
+            part = _parsed(records.join(F.broadcast(own) if len(names) <= SENT else own, "f"), schema, d, "filename")
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise UnsupportedSource(f"No file of {path} has a row.")
     if not typed:
         return out
     schema = inferred_schema(out.drop("filename"))
