@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import json
+import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.model import Dialect
 from ..operators.overview import overview as overview_of
-from ..sources import sinks, snapshots, tables, text
-from ..sources.shared import fresh_path, members, write_text
+from ..sources import sinks, snapshots, tables, text, vectors
+from ..sources.shared import fresh_path, members, moved, write_text
 from .catalog_tables import _dirty
 from .dirty import ANY_BAD_SQL, BAD_SQL, DIRTY_SCHEMA, dirty_orders, table
 
@@ -118,6 +122,52 @@ def scan_log_asof(spark, sf_dir):
     return tables.open_source(spark, _log_table(spark, sf_dir), version=0)[1]
 
 
+def _order_files(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, list[str], T.StructType]:
+    """Some of orders' columns as a few data files of a table, their paths in it, and the schema."""
+    path, df = fresh_path(spark, name), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    df.withColumn("third", F.col("o_orderkey") % 3).write.partitionBy("third").parquet(f"{path}/data")
+    return path, [m.path[m.path.index("data/third="):] for m in members(spark, f"{path}/data")], df.schema
+
+
+def _actions(files: list[str], **more) -> list[dict]:
+    return [{"add": {"path": f.replace("=", "%3D"), "partitionValues": {}, "size": 1, "modificationTime": 0, "dataChange": True} | {k: v[f] for k, v in more.items() if f in v}} for f in files]
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 5 <> 0 OR o_orderkey % 3 = 1")
+def scan_log_vectors(spark, sf_dir):
+    """A table whose second version marks rows of two thirds of its files as deleted, by vectors that Spark's tasks write."""
+    path, files, schema = _order_files(spark, sf_dir, "log-vectors")
+    place = [F.regexp_extract("_metadata.file_path", "third=.*$", 0).alias("file"), F.col("_metadata.row_index").alias("row")]
+    gone = spark.read.parquet(f"{path}/data").select("o_orderkey", "third", *place).where("o_orderkey % 5 = 0 and third <> 1")
+
+    def encode(rows):  # the rows of one file
+        data = vectors.encoded(np.sort(rows["row"].to_numpy()))
+        return pd.DataFrame({"file": [rows["file"][0]], "text": [vectors.as_text(data)], "size": [len(data)], "n": [len(rows)]})
+
+    marks = gone.groupBy("file").applyInPandas(encode, "file string, text string, size int, n long").collect()  # a row a file
+    of = {f"data/{r.file}": {"storageType": "i", "pathOrInlineDv": r.text, "sizeInBytes": r.size, "cardinality": r.n} for r in marks}
+    meta = {"metaData": {"id": "t", "format": {"provider": "parquet"}, "schemaString": schema.json(), "partitionColumns": [], "configuration": {}}}
+    removed = [{"remove": {"path": f.replace("=", "%3D"), "dataChange": True}} for f in of]
+    for v, rows in enumerate(([meta, *_actions(files)], [*removed, *_actions(list(of), deletionVector=of)])):
+        write_text(spark, f"{path}/_delta_log/{v:020d}.json", "\n".join(map(json.dumps, rows)) + "\n")
+    return tables.read_log_table(spark, path)
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0")
+def scan_log_sidecars(spark, sf_dir):
+    """A table known from a checkpoint with sidecars, and one version behind it that removes a third."""
+    path, files, schema = _order_files(spark, sf_dir, "log-sidecars")
+    meta = {"metaData": {"id": "t", "format": {"provider": "parquet"}, "schemaString": schema.json(), "partitionColumns": [], "configuration": {}}}
+    log = f"{path}/_delta_log"
+    adds = spark.createDataFrame([(json.dumps(x),) for x in _actions(files)], "value string")
+    adds.select(F.from_json("value", "add struct<path: string, partitionValues: map<string, string>, size: long>").alias("x")).select("x.*").write.parquet(f"{log}/_sidecars")
+    beside = [{"sidecar": {"path": m.path.rsplit("/", 1)[-1], "sizeInBytes": m.length}} for m in members(spark, f"{log}/_sidecars")]
+    write_text(spark, f"{log}/{4:020d}.checkpoint.{uuid.uuid4()}.json", "\n".join(map(json.dumps, [meta, *beside])) + "\n")
+    gone = [{"remove": {"path": f.replace("=", "%3D"), "dataChange": True}} for f in files if "third=0" in f]
+    write_text(spark, f"{log}/{5:020d}.json", "\n".join(map(json.dumps, gone)) + "\n")
+    return tables.read_log_table(spark, path)
+
+
 @query(_dirty("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, status, custkey_raw, orderdate_raw, price_raw FROM dirty_orders"))
 def scan_all_text(spark, sf_dir):
     return text.read_all_text(spark, _csv(dirty_orders(spark, sf_dir), "all-text"), COMMA)
@@ -157,28 +207,105 @@ def ragged_padded(spark, sf_dir):
 def preamble_skip(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     rows = c.select(F.concat_ws(",", F.col("c_custkey").cast("string"), F.col("c_name"), F.col("c_mktsegment")).alias("value"))
-    return text.read_all_text(spark, _one_file(spark, "preamble", [*[f"generated file, line {i}" for i in range(3)], "k,name,segment"], rows), Dialect(skip=3))
+    return text.read_all_text(spark, _headed(spark, "preamble", [*[f"generated file, line {i}" for i in range(3)], "k,name,segment"], rows), Dialect(skip=3))
 
 
-def _one_file(spark: SparkSession, name: str, first: list[str], rows: DataFrame) -> str:
-    """A text file as other programs write it: lines of its own above the rows. One file is one task's work."""
-    path = f"{fresh_path(spark, name)}/one"
+def _headed(spark: SparkSession, name: str, first: list[str], rows: DataFrame, files: int = 4) -> str:
+    """Text files as other programs write them: each has lines of its own above its rows."""
+    path = fresh_path(spark, name)
     head = F.array(*[F.lit(x) for x in first]).cast("array<string>")
-    numbered = rows.coalesce(1).withColumn("i", F.monotonically_increasing_id())
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    numbered = rows.repartition(files, "value").withColumn("i", place)
     numbered.select(F.explode(F.when(F.col("i") == 0, F.concat(head, F.array("value"))).otherwise(F.array("value"))).alias("value")).write.text(path)
     return path
 
 
-@query("""SELECT CAST(c_custkey AS VARCHAR) AS k, CASE WHEN c_custkey % 7 = 0 THEN 'first, line' || chr(10) || 'second' ELSE c_name END AS name FROM customer""")
+_QUOTED = "CASE WHEN c_custkey % 7 = 0 THEN 'first, line' || chr(10) || 'second' WHEN c_custkey % 11 = 0 THEN 'a \"mark\" ' || chr(10) || chr(10) ELSE c_name END"
+
+
+def _quoted(c: DataFrame, n: int = 2) -> DataFrame:
+    """Lines of a key and n quoted names with delimiters, quotes and line breaks in some of them."""
+    k = F.col("c_custkey")
+    name = F.when(k % 7 == 0, F.lit("first, line\nsecond")).when(k % 11 == 0, F.lit('a ""mark"" \n\n')).otherwise(F.col("c_name"))
+    quoted = F.concat(F.lit('"'), name, F.lit('"'))
+    return c.select(F.concat_ws(",", k.cast("string"), *[quoted] * (n - 1)).alias("value"))
+
+
+@query(f"SELECT CAST(c_custkey AS VARCHAR) AS k, {_QUOTED} AS name FROM customer")
 def preamble_quoted(spark, sf_dir):
     """A preamble, and quoted fields with delimiters and line breaks; the dialect is inferred, not given."""
-    c = table(spark, sf_dir, "customer")
-    name = F.when(F.col("c_custkey") % 7 == 0, F.lit("first, line\nsecond")).otherwise(F.col("c_name"))
-    rows = c.select(F.concat(F.col("c_custkey").cast("string"), F.lit(",\""), name, F.lit('"')).alias("value"))
-    path = _one_file(spark, "preamble-quoted", ["Report of customers", "", "k,name"], rows)
+    path = _headed(spark, "preamble-quoted", ["Report of customers", "", "k,name"], _quoted(table(spark, sf_dir, "customer")))
     return text.read_all_text(spark, path, text.infer_dialect(spark, path))
 
 
+@query(f"SELECT c_custkey AS k, {_QUOTED} AS name, {_QUOTED} AS again FROM customer")
+def scan_csv_multiline(spark, sf_dir):
+    """Typed rows of text whose quoted fields hold line breaks, read in blocks."""
+    path = _headed(spark, "multi-line", ["k,name,again"], _quoted(table(spark, sf_dir, "customer"), 3))
+    return text.read_csv(spark, path, COMMA)
+
+
+@query("""SELECT CAST(line_no AS BIGINT) AS line_no, n FROM (SELECT 1 + 2 * k AS line_no, count(*) AS n FROM
+  (SELECT unnest(range(count(*))) AS k FROM customer) GROUP BY 1)""")
+def record_lines(spark, sf_dir):
+    """Numbers of the lines where records begin, in one file: every record but the header has a line break of its own."""
+    rows = table(spark, sf_dir, "customer").select(F.concat(F.lit('"'), F.col("c_custkey").cast("string"), F.lit('\n",x')).alias("value"))
+    path = _headed(spark, "record-lines", ["k,x"], rows, files=1)
+    return text.blocks_of(spark, path, COMMA).records(header=True).groupBy("line_no").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT {_CUSTOMER}, CASE WHEN c_nationkey >= 10 THEN 'x' || c_custkey END AS extra, CASE WHEN c_nationkey < 10 THEN 'a' ELSE 'b' END AS folder FROM customer")
+def scan_folder_preambles(spark, sf_dir):
+    """Members with lines above their headers and different columns; all of those lines go, in every member."""
+    path, c = fresh_path(spark, "folder-preambles"), _customer(spark, sf_dir)
+    fields = [F.col(x).cast("string") for x in c.columns]
+    for folder, where, more in (("a", "c_nationkey < 10", []), ("b", "c_nationkey >= 10", [F.concat(F.lit("x"), F.col("c_custkey").cast("string"))])):
+        rows = c.where(where).select(F.concat_ws(",", *fields, *more).alias("value"))
+        written = _headed(spark, "members", ["Report, made today", 'of "customers"', ",".join([*c.columns, *["extra"] * len(more)])], rows)
+        moved(spark, written, f"{path}/{folder}")
+    out = text.read_folder_csv(spark, path, Dialect(skip=2))
+    return out.select(*c.columns, "extra", F.regexp_extract("filename", "/([ab])/[^/]*$", 1).alias("folder"))
+
+
+@query("SELECT c_custkey AS a, c_name AS b, c_mktsegment AS c FROM customer UNION ALL SELECT c_custkey, c_name, NULL FROM customer")
+def ragged_headers(spark, sf_dir):
+    """A header with fewer fields than its rows, and one with more: both are headers, and no line is a preamble."""
+    c, out = table(spark, sf_dir, "customer"), None
+    s = [F.col("c_custkey").cast("string"), F.col("c_name"), F.col("c_mktsegment")]
+    for name, line in (("wide", F.concat(F.concat_ws(",", *s), F.lit(","))), ("narrow", F.concat_ws(",", *s[:2]))):
+        path = _headed(spark, f"ragged-header-{name}", ["a,b,c"], c.select(line.alias("value")), files=1)
+        found = text.infer_dialect(spark, path)
+        part = text.read_all_text(spark, path, found).select(F.col("a").cast("long").alias("a"), "b", "c").where(F.lit((found.skip, found.header) == (0, True)))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def scan_json_array(spark, sf_dir):
+    """Arrays of objects, one a file, with brackets and quotes inside their texts."""
+    df = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", F.lit('} "], [{\\').alias("odd"))
+    objects = df.select(F.to_json(F.struct("*")).alias("value"), (F.col("event_id") % 3).alias("part"))
+    n = objects.repartition(3, "part")
+
+    def bracketed(batches):  # one array a file
+        mark = "["
+        for rows in batches:
+            for k in range(len(rows)):
+                rows.iat[k, 0] = mark + rows.iat[k, 0]
+                mark = ","
+            yield rows
+        yield pd.DataFrame({"value": ["[]" if mark == "[" else "]"]})
+
+    rows = n.select("value").mapInPandas(bracketed, "value string")
+    path = fresh_path(spark, "json-array")
+    rows.write.text(path)
+    out = None
+    for m in members(spark, path):
+        part = tables.read_json(spark, m.path, df.schema).where("odd is not null")
+        out = part if out is None else out.unionByName(part)
+    return out.drop("odd")
+
+
 @query("""SELECT * FROM (VALUES ('comma', ',', '"', TRUE, 0), ('semicolon', ';', chr(39), FALSE, 0), ('preamble', '|', '"', TRUE, 2)) t(file, delimiter, quote, header, skip)
 WHERE (SELECT count(*) FROM customer) > 2""")
 def infer_dialect(spark, sf_dir):
@@ -192,7 +319,7 @@ def infer_dialect(spark, sf_dir):
         ("preamble", ["A report, made today", "of all customers", "key|name|segment"], F.concat_ws("|", *s)),
     ):
         rows = c.select(line.alias("value"))
-        path = _one_file(spark, f"dialect-{name}", first, rows)
+        path = _headed(spark, f"dialect-{name}", first, rows)
         d = text.infer_dialect(spark, path)
         out.append((name, d.delimiter, d.quote, d.header, d.skip))
     return spark.createDataFrame(out, "file string, delimiter string, quote string, header boolean, skip int")

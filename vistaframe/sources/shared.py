@@ -95,6 +95,16 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         stream.close()
 
 
+def moved(spark: SparkSession, path: str, to: str) -> str:
+    """A file or folder under another name, in the same file system; the folders above it are made."""
+    fs, p = _fs(spark, path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(to)
+    fs.mkdirs(target.getParent())
+    if not fs.rename(p, target):
+        raise OSError(f"{path} could not be moved to {to}.")
+    return to
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     fs.delete(p, True)

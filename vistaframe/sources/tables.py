@@ -15,6 +15,7 @@ from . import text
 from .blocks import Blocks, Elements
 from .detect import PARQUET, detect, extension
 from .shared import head, members, qualified
+from .vectors import deleted_rows
 
 
 def describe(df: DataFrame) -> DataFrame:
@@ -63,19 +64,20 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 #: Log-based tables of up to this many files send the files' keys to every task.
 BROADCAST_FILES = 200_000
-_ACTION = "struct<path: string, partitionValues: map<string, string>, deletionVector: struct<storageType: string>>"
+_VECTOR = "struct<storageType: string, pathOrInlineDv: string, offset: int, sizeInBytes: int, cardinality: bigint>"
+_ACTION = f"struct<path: string, partitionValues: map<string, string>, deletionVector: {_VECTOR}>"
 _LOG = f"add {_ACTION}, remove struct<path: string>, metaData struct<schemaString: string, partitionColumns: array<string>, configuration: map<string, string>>"
 
 
 def _log_files(spark: SparkSession, log: str) -> tuple[set[int], dict[int, list[str]]]:
-    """Versions that have a JSON file, and the Parquet files of every checkpoint whose parts are all there, from one listing."""
+    """Versions that have a JSON file, and the files of every checkpoint whose parts are all there, from one listing."""
     versions, parts = set(), {}
     for name in (m.path.rsplit("/", 1)[-1] for m in members(spark, log)):
         if m := re.fullmatch(r"(\d{20})\.json", name):
             versions.add(int(m[1]))
-        elif m := re.fullmatch(r"(\d{20})\.checkpoint(?:\.(\d{10})\.(\d{10})|\.[0-9a-f-]{36})?\.parquet", name):
-            parts.setdefault((int(m[1]), int(m[3] or 1)), []).append(f"{log}/{name}")
-    return versions, {v: sorted(names) for (v, n), names in parts.items() if len(names) == n}
+        elif m := re.fullmatch(r"(\d{20})\.checkpoint(?:\.(\d{10})\.(\d{10})\.parquet|\.([0-9a-f-]{36})\.(?:parquet|json)|\.parquet)", name):
+            parts.setdefault((int(m[1]), int(m[3] or 1), m[4] or ""), []).append(f"{log}/{name}")
+    return versions, {v: sorted(names) for (v, n, _), names in sorted(parts.items()) if len(names) == n}
 
 
 def _log(spark: SparkSession, path: str, version: int | None) -> DataFrame:
@@ -97,31 +99,45 @@ def _log(spark: SparkSession, path: str, version: int | None) -> DataFrame:
     actions = spark.read.schema(_LOG).option("pathGlobFilter", "*.json").json(log).select("*", number.alias("n")).where("n <> ''")
     actions = actions.select("*", F.col("n").cast("long").alias("v")).drop("n").where(F.col("v").between(-1 if start is None else start + 1, top))
     if start is not None:
-        old = spark.read.parquet(*checkpoints[start])
-        if "sidecar" in old.columns and not old.where("sidecar is not null").isEmpty():
-            raise UnsupportedSource(f"The checkpoint of version {start} of {path} keeps its files in sidecars, which are not read here.")
-        wanted = T.StructType.fromDDL(_LOG)
-        plain = [_narrow(old, f) if f.name in old.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted.fields]
-        actions = old.select(*plain, F.lit(start).cast("long").alias("v")).unionByName(actions)
+        if checkpoints[start][0].endswith(".json"):
+            old = spark.read.schema(f"{_LOG}, sidecar struct<path: string>").json(checkpoints[start])
+        else:
+            old = spark.read.parquet(*checkpoints[start])
+        kept = [_actions(old)]
+        if "sidecar" in old.columns:  # file names, which Spark's readers need on the driver
+            beside = [r.path for r in old.where("sidecar is not null").select("sidecar.path").collect()]
+            if beside:
+                kept.append(_actions(spark.read.parquet(*[p if "://" in p or p.startswith("/") else f"{log}/_sidecars/{p}" for p in beside])))
+        for part in kept:
+            actions = part.withColumn("v", F.lit(start).cast("long")).unionByName(actions)
     return actions
 
 
-def _narrow(df: DataFrame, f: T.StructField):
-    """A checkpoint's action, cut to the fields that matter."""
-    has = set(df.schema[f.name].dataType.names)
+def _actions(df: DataFrame) -> DataFrame:
+    """A checkpoint's actions, cut to the fields that matter."""
+    wanted = T.StructType.fromDDL(_LOG)
+    return df.select(*[_narrow(df, f.name, df.schema[f.name].dataType, f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted.fields])
+
+
+def _narrow(df: DataFrame, name: str, has: T.DataType, wanted: T.DataType) -> Column:
+    if not isinstance(wanted, T.StructType):
+        return F.col(name).cast(wanted)
     parts = [
-        (F.col(f"{f.name}.{x.name}").cast(x.dataType) if x.name in has and not isinstance(x.dataType, T.StructType) else
-         F.when(F.col(f"{f.name}.{x.name}").isNotNull(), F.struct(F.lit("u").alias("storageType"))) if x.name in has else F.lit(None).cast(x.dataType)).alias(x.name)
-        for x in f.dataType.fields
+        (_narrow(df, f"{name}.{x.name}", has[x.name].dataType, x.dataType) if x.name in has.names else F.lit(None).cast(x.dataType)).alias(x.name) for x in wanted.fields
     ]
-    return F.when(F.col(f.name).isNotNull(), F.struct(*parts)).alias(f.name)
+    return F.when(F.col(name).isNotNull(), F.struct(*parts))
+
+
+#: Up to this many deleted rows, which the log counts, are sent to every task; beyond it they are joined by a shuffle.
+BROADCAST_DELETED = 1_000_000
 
 
 def read_log_table(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """The live rows of a log-based table, now or as of a version; files that the log removed are not read.
+    """The live rows of a log-based table, now or as of a version; files that the log removed are not read, and rows that
+    a deletion vector marks are left out.
 
-    All files are one scan. Keys come from the folders' names where these say what the log says, so filters on keys prune
-    files; else from the log, joined by file.
+    All files are one scan, those with vectors another. Keys come from the folders' names where these say what the log
+    says, so filters on keys prune files; else from the log, joined by file.
     """
     actions = _log(spark, path, version)
     meta = actions.where("metaData is not null").agg(F.max_by("metaData", "v").alias("m")).first().m
@@ -129,30 +145,54 @@ def read_log_table(spark: SparkSession, path: str, version: int | None = None) -
         raise UnsupportedSource(f"{path} maps its columns by id; this reader would misname them.")
     files = actions.where("add is not null or remove is not null").select(
         F.coalesce("add.path", "remove.path").alias("path"), F.col("add").isNotNull().alias("live"), F.col("add.partitionValues").alias("keys"),
-        F.col("add.deletionVector").isNotNull().alias("vector"), (F.col("v") * 2 + F.col("add").isNotNull().cast("int")).alias("at"),
+        F.col("add.deletionVector").alias("vector"), (F.col("v") * 2 + F.col("add").isNotNull().cast("int")).alias("at"),
     )
-    last = files.groupBy("path").agg(*[F.max_by(c, "at").alias(c) for c in ("live", "keys", "vector")]).where("live")
+    last = files.groupBy("path").agg(F.max_by(F.struct("live", "keys", "vector"), "at").alias("x")).select("path", "x.*").where("live")
     live = last.collect()  # file names, which Spark's readers need on the driver
-    if any(r.vector for r in live):
-        raise UnsupportedSource(f"{path} marks deleted rows in vectors; reading past them would bring the rows back.")
     schema = T.StructType.fromJson(json.loads(meta.schemaString)) if meta and meta.schemaString else None
     by_key = list(meta.partitionColumns or []) if meta else []
     root = qualified(spark, path)
-    names = [p if "://" in p or p.startswith("/") else f"{root}/{p}" for p in (unquote(r.path) for r in live)]
-    if not names:
+    if not live:
         return spark.createDataFrame([], schema or T.StructType())
+    whole, cut = ([r for r in live if (r.vector is not None) == has] for has in (False, True))
+    out = _scan(spark, root, whole, schema, by_key) if whole else None
+    if cut:
+        rows = _scan(spark, root, cut, schema, by_key, numbered=True)
+        gone = deleted_rows(spark, [(_plain_name(_full(root, r.path)), r.vector) for r in cut], root)
+        gone = gone.select(F.col("name").alias("__name"), F.col("row").alias("__row"))
+        known = sum(r.vector.cardinality if r.vector.cardinality is not None else BROADCAST_DELETED + 1 for r in cut)
+        kept = rows.join(F.broadcast(gone) if known <= BROADCAST_DELETED else gone, ["__name", "__row"], "left_anti").drop("__name", "__row")
+        out = kept if out is None else out.unionByName(kept)
+    return out
+
+
+def _full(root: str, path: str) -> str:
+    p = unquote(path)
+    return p if "://" in p or p.startswith("/") else f"{root}/{p}"
+
+
+def _plain_name(name: str) -> str:
+    return re.sub("^([A-Za-z][A-Za-z0-9+.-]*):/+", r"\1:/", name)
+
+
+def _scan(spark: SparkSession, root: str, live: list, schema: T.StructType | None, by_key: list[str], numbered: bool = False) -> DataFrame:
+    """Rows of live files with their keys; numbered: with __name and __row, the file and the row's number in it."""
+    names = [_full(root, r.path) for r in live]
     reader = spark.read.schema(schema) if schema else spark.read.option("mergeSchema", "true")
+    from_file = _file_name(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))).alias("__name")
+    more = [from_file, F.col("_metadata.row_index").alias("__row")] if numbered else []
     if not by_key:
-        return reader.parquet(*names)
+        return reader.parquet(*names).select("*", *more)
     if all(_folder_keys(r.path, by_key) == {k: (r["keys"] or {}).get(k) for k in by_key} for r in live):
-        return reader.option("basePath", root).parquet(*names).select(*schema.names)
+        return reader.option("basePath", root).parquet(*names).select(*[F.col("`" + n.replace("`", "``") + "`") for n in schema.names], *more)
     keys = spark.createDataFrame([(n, r["keys"] or {}) for n, r in zip(names, live)], "__name string, __keys map<string, string>")
     keys = keys.withColumn("__name", _file_name(F.col("__name")))
     df = spark.read.schema(T.StructType([f for f in schema.fields if f.name not in by_key])).parquet(*names)
-    df = df.withColumn("__name", _file_name(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))))
+    df = df.select("*", *(more or [from_file]))
     small = len(names) <= BROADCAST_FILES
     joined = df.join(F.broadcast(keys) if small else keys, "__name")
-    return joined.select(*[F.col("__keys")[f.name].cast(f.dataType).alias(f.name) if f.name in by_key else column(joined, f.name) for f in schema.fields])
+    own = [F.col("__keys")[f.name].cast(f.dataType).alias(f.name) if f.name in by_key else column(joined, f.name) for f in schema.fields]
+    return joined.select(*own, *[m for m in ("__name", "__row") if numbered])
 
 
 def _file_name(name: Column) -> Column:
