@@ -30,22 +30,22 @@ def selected_values(filters: tuple[Filter, ...], col: str) -> list:
 def top_values(df: DataFrame, col: str, limit: int = 200, spec: QuerySpec = QuerySpec(), search: str | None = None) -> DataFrame:
     """label, value, n, frac and selected of the most frequent values; frac is of all rows that the panel sees."""
     column(df, col)
-    chosen = selected_values(spec.filters, col)
     rows = faceted(df, spec, col)
     if search:
         rows = rows.where(contains(as_text(column(rows, col)), search))
     counts = rows.groupBy(column(rows, col).alias("value")).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))  # one number from the same shuffle; a window would take all values to one task
-    v = F.col("value")
+    out = labelled(counts.join(F.broadcast(total)), F.col("total"), col, spec)  # one row
+    return out.orderBy(F.col("n").desc(), "label").limit(limit)
+
+
+def labelled(counts: DataFrame, total, col: str, spec: QuerySpec) -> DataFrame:
+    """label, value, n, frac and selected, from value and n."""
+    chosen, v = selected_values(spec.filters, col), F.col("value")
     present = [x for x in chosen if x is not None]
     flag = v.isin(present) if present else F.lit(False)
     flag = F.coalesce(flag, F.lit(False)) | (v.isNull() if None in chosen else F.lit(False))
-    return (
-        counts.join(F.broadcast(total))  # one row
-        .select(label_of(v).alias("label"), v, "n", (F.col("n").cast("double") / F.col("total")).alias("frac"), flag.alias("selected"))
-        .orderBy(F.col("n").desc(), "label")
-        .limit(limit)
-    )
+    return counts.select(label_of(v).alias("label"), v, "n", (F.col("n").cast("double") / (total if isinstance(total, Column) else F.lit(total))).alias("frac"), flag.alias("selected"))
 
 
 def distinct_stats(df: DataFrame, col: str, spec: QuerySpec = QuerySpec(), exact: bool | None = False, shown: DataFrame | None = None) -> DataFrame:

@@ -10,13 +10,14 @@ from pyspark.sql import types as T
 
 from ..functions.casts import is_bad
 from ..functions.model import as_text, column, kind_of
+from . import partials
+from .partials import NULLISH
 
 BATCH = 50
 EXACT_DISTINCT_MAX = 100_000
+SUMMARY = ("position", "column", "type", "min", "max", "avg", "std", "approx_distinct", "q25", "q50", "q75", "n", "null_pct")
 HISTOGRAM_ABOVE = 50
 SERIAL_LOW, SERIAL_HIGH = 25_000, 50_000
-# Texts that look like missing data, compared in lower case and trimmed.
-NULLISH = ("", "na", "n/a", "null", "none", "nil", "-", "--", "—", "?", "#n/a", "#na", "nan", "not available", "unknown", ".")
 
 
 def _batched(df: DataFrame, of_column) -> DataFrame:
@@ -41,7 +42,10 @@ def summarize(df: DataFrame, sketches: bool = True) -> DataFrame:
     """A row a column: type, min, max, approx_distinct, avg, std, quartiles (as text), n, null_pct.
 
     Average and deviation are of numbers, quartiles of numbers and times. sketches=False leaves approximate fields out.
+    With them, tasks sum up Arrow batches column by column (operators.partials): an aggregate of so many buffers is slower.
     """
+    if sketches and partials.fits(df):
+        return partials.summary(df).select(*SUMMARY)
     return _batched(df, _summary(df, sketches))
 
 
@@ -130,7 +134,8 @@ def profile(df: DataFrame, uncastable: DataFrame | T.StructType | None = None, s
         bad = [F.count_if(is_bad(column(df, f.name), wanted[f.name])).alias(f"c{i}_bad")] if f.name in wanted else []
         return a + b + bad, first | second | {"n_uncastable": F.col(f"c{i}_bad") if bad else F.lit(0).cast("long")}
 
-    out = _batched(df, of).withColumn("kind", F.get(kinds(df), F.col("position")))
+    by_parts = sketches and not wanted and partials.fits(df)
+    out = (partials.summary(df).withColumn("n_uncastable", F.lit(0).cast("long")) if by_parts else _batched(df, of)).withColumn("kind", F.get(kinds(df), F.col("position")))
     if isinstance(uncastable, DataFrame):
         out = out.drop("n_uncastable").join(uncastable.select("position", F.col("n_bad").alias("n_uncastable")), "position", "left")  # a row a column
     if distinct is not None:

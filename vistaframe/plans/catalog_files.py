@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.model import Dialect
+from ..operators import partials
 from ..operators.overview import overview as overview_of
 from ..sources import sinks, snapshots, tables, text, vectors
 from ..sources.shared import fresh_path, members, moved, write_text
@@ -356,6 +357,29 @@ def source_token(spark, sf_dir):
     return spark.createDataFrame([row], "n_members int, bytes long, same_again boolean, changed boolean")
 
 
+_MEMBER_FIELDS = "CAST(min({0}) AS VARCHAR) AS min, CAST(max({0}) AS VARCHAR) AS max, round(avg({0}), 6) AS avg, round(stddev_samp({0}), 6) AS std"
+
+
+@query(f"""WITH twice AS (SELECT o_orderkey, o_custkey FROM orders UNION ALL SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 4 = 0)
+SELECT step, "column", n, min, max, avg, std, n_scanned FROM (
+  SELECT 'first' AS step, 'o_orderkey' AS "column", count(*) AS n, {_MEMBER_FIELDS.format("o_orderkey")}, 6 AS n_scanned FROM orders
+  UNION ALL SELECT 'first', 'o_custkey', count(*), {_MEMBER_FIELDS.format("o_custkey")}, 6 FROM orders
+  UNION ALL SELECT 'grown', 'o_orderkey', count(*), {_MEMBER_FIELDS.format("o_orderkey")}, 1 FROM twice
+  UNION ALL SELECT 'grown', 'o_custkey', count(*), {_MEMBER_FIELDS.format("o_custkey")}, 1 FROM twice)""")
+def profile_members(spark, sf_dir):
+    """A profile of six members, and again when a seventh has come: that one alone is scanned."""
+    path, df = fresh_path(spark, "profiled"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    df.repartition(6, "o_orderkey").write.parquet(path)
+    folder, out = fresh_path(spark, "profiles"), None
+    for step in ("first", "grown"):
+        if step == "grown":
+            df.where("o_orderkey % 4 = 0").coalesce(1).write.mode("append").parquet(path)
+        store = partials.MemberProfiles(spark, folder)
+        found = store.summary(path).select(F.lit(step).alias("step"), "column", "n", "min", "max", F.round("avg", 6).alias("avg"), F.round("std", 6).alias("std"), F.lit(store.scanned).alias("n_scanned"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 # --- sinks ---------------------------------------------------------------------------------------------------------
 
 

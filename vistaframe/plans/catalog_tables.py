@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.model import Filter, QuerySpec, Sort
 from ..functions.filters import where
-from ..operators import joins, panels, profile, quality, view
+from ..operators import heavy, joins, panels, profile, quality, view
 from ..sources import snapshots
 from ..sources.shared import stored
 from ..sources.tables import describe
@@ -294,6 +294,21 @@ def topn_search(spark, sf_dir):
     return panels.top_values(table(spark, sf_dir, "part"), "p_name", search="an")
 
 
+_MIXED = "CASE WHEN l_orderkey % 3 = 0 THEN 'flag ' || l_returnflag ELSE 'order ' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) END"
+
+
+@query(f"WITH mixed AS (SELECT {_MIXED} AS v FROM lineitem)\n" + _top_sql("mixed", "v").replace("LIMIT 200", "LIMIT 3"))
+def topn_heavy(spark, sf_dir):
+    """The three frequent values of a column that is mostly distinct, counted in two passes with few counters."""
+    return heavy.heavy_values(table(spark, sf_dir, "lineitem").select(F.expr(_MIXED.replace("VARCHAR", "STRING")).alias("v")), "v", limit=3, counters=1000)
+
+
+@query(_top_sql("events", "event_id").replace("LIMIT 200", "LIMIT 50"))
+def topn_all_distinct(spark, sf_dir):
+    """A column whose values are all distinct: counters cannot tell the first ones, so all values are counted."""
+    return heavy.heavy_values(table(spark, sf_dir, "events"), "event_id", limit=50, counters=1000)
+
+
 @query(_dirty(_top_sql("dirty_orders", "status", "custkey_raw <> 'N/A'", "coalesce(status IN ('F'), FALSE) OR status IS NULL")))
 def facet_topn(spark, sf_dir):
     spec = QuerySpec((Filter("status", "in", ("F", None)), Filter("custkey_raw", "!=", ("N/A",))))
