@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.model import as_text, column, kind_of
+from ..sources.shared import exists, members, stored
 
 # Texts that look like missing data, compared in lower case and trimmed.
 NULLISH = ("", "na", "n/a", "null", "none", "nil", "-", "--", "—", "?", "#n/a", "#na", "nan", "not available", "unknown", ".")
@@ -364,9 +365,9 @@ class MemberProfiles:
         self.spark, self.folder, self.scanned = spark, folder.rstrip("/"), 0
 
     def _kept(self) -> DataFrame | None:
-        from ..sources.shared import exists
-
-        return self.spark.read.parquet(self.folder) if exists(self.spark, self.folder) else None
+        """All scans; each is a folder of its own, named one by one, as Spark takes two listings of one folder for the same."""
+        scans = sorted({m.path.rsplit("/", 2)[0] + "/" + m.path.rsplit("/", 2)[1] for m in members(self.spark, self.folder)}) if exists(self.spark, self.folder) else []
+        return self.spark.read.parquet(*scans) if scans else None
 
     def summary(self, path: str, read=None) -> DataFrame:
         """A row a column of the source at path; read(names) makes the frame of some members (Parquet files, if none is given)."""
@@ -374,14 +375,15 @@ class MemberProfiles:
         m = "_metadata"
         key = F.concat_ws("|", f"{m}.file_path", F.unix_micros(f"{m}.file_modification_time").cast("string"), F.col(f"{m}.file_size").cast("string"))
         listed = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        there = listed.where(~F.element_at(F.split("path", "/"), -1).rlike("^[_.]")).select(F.col("path").alias("file"), key.alias("member"))
+        there = stored(listed.where(~F.element_at(F.split("path", "/"), -1).rlike("^[_.]")).select(F.col("path").alias("file"), key.alias("member")), "members")
         kept = self._kept()
         new = there if kept is None else there.join(kept.select("member").distinct(), "member", "left_anti")
         names = [r.file for r in new.select("file").collect()]  # file names, which Spark's readers need on the driver
         self.scanned = len(names)
         if names:
-            parts(read(names), key).withColumn("scan", F.lit(uuid.uuid4().hex)).write.mode("append").parquet(self.folder)
-            kept = self.spark.read.parquet(self.folder)
+            scan = uuid.uuid4().hex
+            parts(read(names), key).withColumn("scan", F.lit(scan)).write.parquet(f"{self.folder}/{scan}")
+            kept = self._kept()
         # what is here now; a member that two sessions scanned counts once, with all parts of its first scan
         own = kept.join(there.select("member"), "member", "left_semi")
         once = own.groupBy("member").agg(F.min("scan").alias("scan"))
