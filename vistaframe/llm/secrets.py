@@ -6,10 +6,13 @@ from its characters, and three tests say how well it fits uniform random symbols
 counts, runs about the middle of the alphabet, and lag-one serial correlation. Their squared deviates sum to one p-value,
 large for random-looking tokens. The values that the patterns find go through the same battery, and their p-values are given.
 
-Ordinary words and plain numbers go through the same tests as decoys. For each encoding and length band the share of
-decoys above a p-value, counted over the whole corpus, gives the rate of false finds there; the lowest p-value at which
-that rate stays within ALPHA is the band's threshold. A band's decoys are those of its length and of shorter ones: the
-longer a decoy, the less it looks random, so this can only raise the rate. Without decoys a band finds nothing.
+Decoys go through the same tests: ordinary words and plain numbers that are tokens, and the words of every text written
+without gaps, in pieces of the bands' lengths, for base32 in capitals. For each encoding and length band the share of
+decoys above a p-value, counted over the whole corpus, gives the rate of false finds there among all tested values, those
+of the patterns included; the lowest p-value at which that rate stays within ALPHA is the band's threshold. An
+encoding that has no decoys in a band takes those of the next wider one there, under that one's tests; where none has any,
+those of shorter bands count (the longer a decoy, the less it looks random, so this can only raise the rate). Without any
+decoys a band finds nothing.
 
 Defined results: a null text counts as empty; an empty text or table has no spans; repeated rows give repeated results;
 offsets are code points, end exclusive; tokens may be of any length; columns beside doc_id and text are ignored.
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -30,7 +34,7 @@ from .common import documents, small_batches, stored
 
 KINDS = ("assign", "access", "hex", "random")
 ALPHA = 0.05
-BINS = 20
+BINS = 100
 LAST_BAND = 12
 SHORTEST = 12
 
@@ -114,6 +118,23 @@ SCAN = T.StructType([
 ])
 
 
+#: Ordinary words, the lengths of pieces that are made of them by turns, one a band, and characters that are tested at a time.
+WORD = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{2,11}(?![A-Za-z0-9+/_=-])")
+LENGTHS = (12, 17, 23, 33, 46, 65, 91)
+TESTED_CHARS = 200_000
+
+
+def written_on(text: str) -> tuple[list[str], list[str]]:
+    """The words of a text without gaps, in pieces of LENGTHS: for base32, in capitals, and for base64."""
+    letters, out, at, k = "".join(WORD.findall(text)), ([], []), 0, 0
+    while at + (size := LENGTHS[k // 2 % len(LENGTHS)]) <= len(letters):
+        piece = letters[at : at + size]
+        out[k % 2].append(piece if k % 2 else piece.upper())
+        at += size
+        k += 1
+    return out
+
+
 def band(token: str) -> int:
     """Length bands, two for each doubling of the length."""
     return min(LAST_BAND, int(2 * math.log2(len(token))))
@@ -167,6 +188,19 @@ def scan(texts: pd.Series) -> pd.DataFrame:
                     decoys[row][at] = decoys[row].get(at, 0) + 1
                 else:
                     tested[row].append(dict(zip(("start", "end", "encoding", "band", "bin", "p"), (a, b, *at, p))))
+    pieces, size = ([], []), 0
+    for row, text in enumerate(texts):
+        for held, new in zip(pieces, written_on(text or "")):
+            held += new
+            size += sum(map(len, new))
+        if size and (size > TESTED_CHARS or row == len(base) - 1):
+            for encoding, held in zip((1, 2), pieces):
+                for at in range(0, len(held), TESTED_CHARS // LENGTHS[-1]):
+                    some = held[at : at + TESTED_CHARS // LENGTHS[-1]]
+                    bins = np.minimum(BINS - 1, (battery(some, encoding) * BINS).astype(int)).tolist()
+                    for key, n in Counter(zip([encoding] * len(some), map(band, some), bins)).items():
+                        decoys[row][key] = decoys[row].get(key, 0) + n
+            pieces, size = ([], []), 0
     lists = [[dict(zip(("encoding", "band", "bin", "n"), (*k, n))) for k, n in d.items()] for d in decoys]
     return pd.DataFrame({"base": base, "tested": tested, "decoys": lists})
 
@@ -174,14 +208,25 @@ def scan(texts: pd.Series) -> pd.DataFrame:
 def thresholds(scanned: DataFrame, alpha: float = ALPHA) -> dict[tuple[int, int], int]:
     """(encoding, band) -> the lowest bin of p-values whose false-discovery rate is within alpha; bands without one are missing."""
     t = scanned.select(F.explode("s.tested").alias("x")).select("x.encoding", "x.band", "x.bin", F.lit(1).alias("tokens"), F.lit(0).alias("plain"))
+    bin_of = F.least(F.lit(BINS - 1), F.floor(F.col("x.p") * BINS)).cast("int").alias("bin")
+    b = scanned.select(F.explode("s.base").alias("x")).where("x.p is not null").select("x.encoding", "x.band", bin_of, F.lit(1).alias("tokens"), F.lit(0).alias("plain"))
     d = scanned.select(F.explode("s.decoys").alias("x")).select("x.encoding", "x.band", "x.bin", F.lit(0).alias("tokens"), F.col("x.n").alias("plain"))
-    counts = t.unionByName(d).groupBy("encoding", "band", "bin").agg(F.sum("tokens").alias("tokens"), F.sum("plain").alias("plain"))
+    counts = t.unionByName(b).unionByName(d).groupBy("encoding", "band", "bin").agg(F.sum("tokens").alias("tokens"), F.sum("plain").alias("plain"))
     # at most 3 encodings x LAST_BAND bands x BINS bins come to the driver
     n = np.zeros((2, len(ENCODINGS), LAST_BAND + 1, BINS))
     for r in counts.collect():
         n[:, r.encoding, r.band, r.bin] = r.tokens, r.plain
+    return chosen(n, alpha)
+
+
+def chosen(n: np.ndarray, alpha: float = ALPHA) -> dict[tuple[int, int], int]:
+    """The thresholds by counts of tokens and of decoys, each by encoding, band and bin."""
     above = n[:, :, :, ::-1].cumsum(3)[:, :, :, ::-1]
-    decoys = above[1].cumsum(1)  # of this length and shorter ones
+    own, shorter = above[1], above[1].cumsum(1)
+    for pool in (own, shorter):
+        for e in reversed(range(len(ENCODINGS) - 1)):
+            pool[e] = np.where(pool[e][:, :1] == 0, pool[e + 1], pool[e])
+    decoys = np.where(own[:, :, :1] > 0, own, shorter)
     false_share = (decoys + 1) / (decoys[:, :, :1] + 1)
     rate = false_share * above[0][:, :, :1] / np.maximum(above[0], 1)
     good = (rate <= alpha) & (above[0] > 0) & (np.arange(BINS) >= 1)
