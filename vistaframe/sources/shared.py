@@ -95,6 +95,27 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         stream.close()
 
 
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """A small file that appears whole under its name, or, if that is taken, not at all."""
+    fs, p = _fs(spark, path)
+    # written beside the folder: who lists it must not meet files that are about to go
+    fs.mkdirs(p.getParent())
+    hidden = spark._jvm.org.apache.hadoop.fs.Path(f"{p.getParent().toString()}.new", uuid.uuid4().hex)
+    write_text(spark, hidden.toString(), text)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    none = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+    try:
+        files.rename(fs.makeQualified(hidden), fs.makeQualified(p), none)
+        return True
+    except Exception:
+        if not fs.exists(p):
+            raise
+        return False
+    finally:
+        fs.delete(hidden, False)
+
+
 def moved(spark: SparkSession, path: str, to: str) -> str:
     """A file or folder under another name, in the same file system; the folders above it are made."""
     fs, p = _fs(spark, path)

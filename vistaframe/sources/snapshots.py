@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import datetime
+import decimal
 import json
 import re
 from collections.abc import Callable
@@ -14,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions.model import Filter, QuerySpec, Sort
 from ..operators.view import select
-from .shared import delete, exists, members, qualified, stored
+from .shared import delete, exists, members, put_if_absent, qualified, stored
 from .tables import source_members, source_token, tokens
 
 MANIFEST = "name string, path string, source string, token string, columns array<string>, bytes long, last_used timestamp, spec string"
@@ -49,36 +50,75 @@ def _now() -> datetime.datetime:
 
 
 class Manifest:
-    """Snapshots by name, as a small Parquet table in a folder. Each change writes a new one; the newest whole one counts,
-    in this session and in every later one."""
+    """Snapshots by name, as a folder of numbered commits that any number of sessions may write.
+
+    A commit is one row in a small file, put in place under the next free number, or not at all: who comes second looks
+    for the next number again, so no session loses another's rows. Of one name the highest commit counts. Every
+    CHECKPOINT commits the rows up to there become one table, and readers begin behind it.
+    """
+
+    CHECKPOINT = 100
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder, self.table = spark, folder.rstrip("/"), None
-        found = {m[0] for x in members(spark, self.folder) if (m := re.search(r"/(manifest-\d+)/", x.path))} if exists(spark, self.folder) else set()
-        whole = [n for n in found if exists(spark, f"{self.folder}/{n.strip('/')}/_SUCCESS")]
-        if whole:
-            self.table = spark.read.schema(MANIFEST).parquet(f"{self.folder}/{max(whole).strip('/')}")
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _commits(self) -> tuple[dict[int, str], dict[int, str]]:
+        """Files of commits, and folders of whole checkpoints, by number."""
+        found = [m.path for m in members(self.spark, self.folder)] if exists(self.spark, self.folder) else []
+        one = {int(m[1]): p for p in found if (m := re.search(r"/commit-(\d{12})\.json$", p))}
+        parts = {int(m[1]): m[0].strip("/") for p in found if (m := re.search(r"/checkpoint-(\d{12})/", p))}
+        return one, {n: f"{self.folder}/{f}" for n, f in parts.items() if exists(self.spark, f"{self.folder}/{f}/_SUCCESS")}
+
+    def _latest(self, one: dict[int, str], whole: dict[int, str], upto: int) -> DataFrame:
+        start = max((n for n in whole if n <= upto), default=0)
+        old = self.spark.read.schema(MANIFEST).parquet(whole[start]).withColumn("at", F.lit(start)) if start else None
+        names = [p for n, p in sorted(one.items()) if start < n <= upto]
+        new = self.spark.read.schema(f"{MANIFEST}, at int").json(names) if names else None
+        rows = new if old is None else old if new is None else old.unionByName(new)
+        if rows is None:
+            return self.spark.createDataFrame([], MANIFEST)
+        fields = [f.name for f in rows.schema.fields if f.name != "at"]
+        return rows.groupBy("name").agg(F.max_by(F.struct(*fields), "at").alias("r")).select("r.*")
 
     def rows(self) -> DataFrame:
-        return self.table if self.table is not None else self.spark.createDataFrame([], MANIFEST)
+        one, whole = self._commits()
+        return self._latest(one, whole, max([0, *one, *whole]))
 
     def put(self, row: tuple) -> None:
-        new = self.spark.createDataFrame([row], MANIFEST)
-        path = f"{self.folder}/manifest-{_now():%Y%m%d%H%M%S%f}"
-        self.rows().where(F.col("name") != row[0]).unionByName(new).coalesce(1).write.parquet(path)
-        self.table = self.spark.read.schema(MANIFEST).parquet(path)
+        fields = [f.split()[0] for f in MANIFEST.split(", ")]
+        while True:
+            one, whole = self._commits()
+            n = max([0, *one, *whole]) + 1
+            text = json.dumps(dict(zip(fields, row)) | {"at": n}, default=str)
+            if put_if_absent(self.spark, f"{self.folder}/commit-{n:012d}.json", text + "\n"):
+                break
+        if n % self.CHECKPOINT == 0:  # one writer has this number
+            one, whole = self._commits()
+            self._latest(one, whole, n).coalesce(1).write.parquet(f"{self.folder}/checkpoint-{n:012d}")
 
     def find(self, name: str):
         return self.rows().where(F.col("name") == name).first()
 
 
+#: Types of filter values that JSON has no form for: the way out and back.
+_TYPED = {
+    "datetime": (datetime.datetime, lambda v: v.isoformat(), datetime.datetime.fromisoformat), "date": (datetime.date, lambda v: v.isoformat(), datetime.date.fromisoformat),
+    "decimal": (decimal.Decimal, str, decimal.Decimal),
+}
+
+
 def _written(spec: QuerySpec) -> str:
-    return json.dumps(dataclasses.asdict(spec), default=str)
+    def typed(v):
+        name, write = next((k, w) for k, (t, w, _) in _TYPED.items() if isinstance(v, t))
+        return {"type": name, "text": write(v)}
+
+    return json.dumps(dataclasses.asdict(spec), default=typed)
 
 
 def _read(text: str | None) -> QuerySpec:
     found = json.loads(text or "{}")
-    filters = tuple(Filter(f["col"], f["op"], tuple(f["values"])) for f in found.get("filters", ()))
+    value = lambda v: _TYPED[v["type"]][2](v["text"]) if isinstance(v, dict) else v
+    filters = tuple(Filter(f["col"], f["op"], tuple(map(value, f["values"]))) for f in found.get("filters", ()))
     return QuerySpec(filters, tuple(Sort(**s) for s in found.get("sort", ())))
 
 
