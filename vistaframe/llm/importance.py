@@ -23,6 +23,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from itertools import starmap
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +50,8 @@ def _split():
     return pre_tokenizers.Split(Regex(PATTERN), behavior="removed", invert=True)
 
 
-def offsets(data: bytes) -> Iterator[tuple[str, tuple[int, int]]]:
-    """Words of a lower-cased text in UTF-8 with the bytes where they begin and end; long texts in pieces that end between words."""
+def _pieces(data: bytes) -> Iterator[tuple[int, list]]:
+    """Words with offsets of a lower-cased text in UTF-8, and where the offsets begin; long texts in pieces that end between words."""
     from tokenizers import PreTokenizedString
 
     at = 0
@@ -60,11 +61,18 @@ def offsets(data: bytes) -> Iterator[tuple[str, tuple[int, int]]]:
             end += 1
         piece = PreTokenizedString(data[at:end].decode("utf-8", "surrogatepass"))
         _split().pre_tokenize(piece)
-        for word, (a, b), _ in piece.get_splits("original", "byte"):
-            yield word, (at + a, at + b)
+        yield at, piece.get_splits("original", "byte")
         at = end
 
 
+def offsets(data: bytes) -> list[tuple[int, int]]:
+    """The bytes where each word begins and ends."""
+    out: list[tuple[int, int]] = []
+    for at, words in _pieces(data):
+        out += [w[1] for w in words] if not at else [(at + w[1][0], at + w[1][1]) for w in words]
+    return out
+
+
 class Buckets:
     """Buckets of a text's runs of words, with counts."""
 
@@ -82,11 +90,11 @@ class Buckets:
     def __call__(self, text: str | None) -> tuple[int, Counter]:
         """Number of words, and how many runs each bucket has."""
         data = (text or "").encode("utf-8", "surrogatepass").translate(LOWER)
-        places = [p for _, p in offsets(data)]
+        places = offsets(data)
         runs: Counter = Counter()
         for n in range(self.orders[0], self.orders[1] + 1):
             if n == 1:
-                runs.update([data[a:b] for a, b in places])
+                runs.update(map(data.__getitem__, starmap(slice, places)))
             else:  # words of a run are joined by one space, whatever stands between them
                 runs.update(b" ".join(data[a:b] for a, b in places[k : k + n]) for k in range(len(places) - n + 1))
         out: Counter = Counter()
