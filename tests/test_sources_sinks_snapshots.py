@@ -340,6 +340,25 @@ def test_quotes_and_preambles_are_inferred(spark, tmp_path):
     assert said.notes[0].startswith("2 lines") and said.first_values[:2] == ["0", "1"]
 
 
+def test_escapes_comments_and_ragged_headers_are_inferred(spark, tmp_path):
+    p = put(tmp_path / "e.csv", ["k,name,n", *[f'{k},"say \\"x, y\\" to {k}",{k}' for k in range(30)]])
+    d = text.infer_dialect(spark, p)
+    assert d == Dialect(escape="\\") and {r.name for r in text.read_all_text(spark, p, d).collect()} == {f'say "x, y" to {k}' for k in range(30)}
+    q = put(tmp_path / "d.csv", ["k,name", *[f'{k},"say ""x, y"" to {k}"' for k in range(30)]])
+    assert text.infer_dialect(spark, q) == Dialect()
+    c = put(tmp_path / "c.csv", ["k;name", "1;a", "# a remark, made late", "2;b", "#another", *[f"{k};x" for k in range(3, 40)]])
+    d = text.infer_dialect(spark, c)
+    assert d == Dialect(delimiter=";", comment="#") and text.read_csv(spark, c, d).count() == 39
+    h = put(tmp_path / "h.csv", ["#tags;name", *[f"#t{k};x{k}" for k in range(30)]])  # marks that are data
+    assert text.infer_dialect(spark, h).comment is None
+    for rows in (["a,b,c", *[f"{k},x,y," for k in range(9)]], ["a,b,c", *[f"{k},x" for k in range(9)]]):
+        r = put(tmp_path / "r.csv", rows)
+        assert text.infer_dialect(spark, r) == Dialect() and text.read_all_text(spark, r).columns == ["a", "b", "c"] and text.read_all_text(spark, r).count() == 9
+        (tmp_path / ".r.csv.crc").unlink(missing_ok=True)
+    t = put(tmp_path / "t.csv", ["A report, made today", "k,name,n", *[f"{k},x,1" for k in range(9)]])
+    assert text.infer_dialect(spark, t) == Dialect(skip=1)
+
+
 def test_snapshots_outlive_their_session(spark, tmp_path):
     src, folder = f"{tmp_path}/src", f"{tmp_path}/m"
     spark.range(1000).repartition(7).write.parquet(src)

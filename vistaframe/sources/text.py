@@ -54,20 +54,42 @@ def infer_quote(text: DataFrame) -> str:
     return "'" if n.single > n.double else '"'
 
 
+#: Characters that may begin a comment line.
+COMMENTS = ("#",)
+
+
+def infer_escape(text: DataFrame, quote: str) -> str:
+    """A backslash, if more lines have one before a quote than have a doubled quote inside a field; else the quote."""
+    marks = "".join("\\" + d if d == "|" else d for d in DELIMITERS)
+    doubled = rf"(?<![{marks}]){quote}{quote}(?![{marks}]|$)"
+    n = text.agg(F.count_if(F.col("value").contains("\\" + quote)).alias("back"), F.count_if(F.col("value").rlike(f"^.+{doubled}")).alias("twice")).first()
+    return "\\" if n.back > n.twice else quote
+
+
 def infer_dialect(spark: SparkSession, path: str, sample: int = SAMPLE_ROWS) -> Dialect:
-    """Quote, delimiter, lines to skip and header, from the first lines.
+    """Quote, escape, delimiter, lines to skip, comments and header, from the first lines (of a folder: of its first file).
 
     The delimiter is the one whose most frequent field count above one covers most lines. Lines before the first one with
-    that many fields are a preamble, if nearly all lines from there on have that many; the first line behind it is a
-    header if it looks like one.
+    that many fields are a preamble, if nearly all lines from there on have that many; a single line of another number is
+    a header if it looks like one and the next does not. Marked lines behind these that do not fit are comments. The
+    first line that is left is a header if it looks like one.
     """
-    text = lines(spark, path).limit(sample)
-    quote = infer_quote(text)
+    first = next((m.path for m in members(spark, path) if m.length), path)
+    lines_of = lines(spark, first).limit(sample)
+    quote = infer_quote(lines_of)
+    escape = infer_escape(lines_of, quote)
+    text = lines_of if escape == quote else lines_of.withColumn("value", F.regexp_replace("value", r"\\.", ""))  # escaped marks are no marks
     counts = [r for r in dialect_fields(text, quote=quote).collect() if r.n_fields > 1]
     best = max(counts, key=lambda r: (r.n, r.n_fields, -DELIMITERS.index(r.delimiter)), default=None)
-    d = Dialect(delimiter=best.delimiter if best else ",", quote=quote)
+    d = Dialect(delimiter=best.delimiter if best else ",", quote=quote, escape=escape)
     d = replace(d, skip=_preamble(text, d, best.n_fields) if best else 0)
-    return replace(d, header=_has_header(text.where(F.col("line_no") >= d.skip), d))
+    behind = text.where(F.col("line_no") >= d.skip)
+    if best:
+        fits = field_count(F.col("value"), d.delimiter, d.quote).cast("int") == best.n_fields
+        marked = {c: behind.where(F.col("value").startswith(c) & ~fits) for c in COMMENTS}
+        d = replace(d, comment=next((c for c, rows in marked.items() if not rows.limit(1).isEmpty()), None))
+        behind = behind.where(~F.col("value").startswith(d.comment)) if d.comment else behind
+    return replace(d, header=_has_header(behind, d))
 
 
 def _preamble(text: DataFrame, d: Dialect, n_fields: int, least: float = 0.9) -> int:
