@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions.model import Dialect
 from ..operators import partials
 from ..operators.overview import overview as overview_of
-from ..sources import sinks, snapshots, tables, text, vectors
+from ..sources import estimates, sinks, snapshots, tables, text, vectors
 from ..sources.shared import fresh_path, members, moved, write_text
 from .catalog_tables import _dirty
 from .dirty import ANY_BAD_SQL, BAD_SQL, DIRTY_SCHEMA, dirty_orders, table
@@ -345,6 +345,17 @@ def estimate_rows(spark, sf_dir):
     return whole.join(some).select("exact", near, "confidence", "confidence_of_some")  # two frames of one row each
 
 
+@query("SELECT count(*) AS exact, TRUE AS covered, TRUE AS narrow, 'high' AS confidence FROM lineitem")
+def row_interval(spark, sf_dir):
+    """Whether the interval from 80 blocks of 512 bytes holds the number of lines written, and is no wider than a fifth of it."""
+    path, lines = fresh_path(spark, "interval"), table(spark, sf_dir, "lineitem")
+    lines.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag").repartition(6).write.csv(path)
+    found = estimates.row_interval(spark, path, blocks=80, size=512)
+    exact = F.col("exact")
+    return found.join(spark.read.text(path).agg(F.count("*").alias("exact"))).select(  # two frames of one row each
+        "exact", exact.between(F.col("low"), F.col("high")).alias("covered"), (F.col("high") - F.col("low") <= exact / 5).alias("narrow"), "confidence")
+
+
 @query("SELECT 4 AS n_members, sum(length(c_name) + 1) AS bytes, TRUE AS same_again, TRUE AS changed FROM customer")
 def source_token(spark, sf_dir):
     """Members and bytes of a source, whether its token stays while it does, and changes when a member comes to it."""

@@ -5,11 +5,12 @@ from __future__ import annotations
 import datetime
 from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.model import Filter, QuerySpec, Sort
+from ..functions.model import Filter, QuerySpec, Sort, column
 from ..functions.filters import where
-from ..operators import heavy, joins, panels, profile, quality, view
+from ..operators import heavy, joins, keys, panels, profile, quality, view
 from ..sources import snapshots
 from ..sources.shared import stored
 from ..sources.tables import describe
@@ -471,6 +472,31 @@ def join_candidates(spark, sf_dir):
     return joins.join_candidates(_left(spark, sf_dir), _right(spark, sf_dir))
 
 
+_KEYS = (("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"))
+
+
+@query("\nUNION ALL ".join(
+    f"""SELECT '{l}' AS left_table, '{r}' AS right_table, '{lc}' AS left_column, '{rc}' AS right_column, count(*) AS n_keys,
+CAST(count(r.k) AS DOUBLE) / count(*) AS frac, CAST(count(r.k) AS DOUBLE) / (SELECT count(DISTINCT {rc}) FROM {r}) AS covered, TRUE AS within
+FROM (SELECT DISTINCT {lc} AS k FROM {l} WHERE {lc} IS NOT NULL) l LEFT JOIN (SELECT DISTINCT {rc} AS k FROM {r}) r ON l.k = r.k"""
+    for l, lc, r, rc in _KEYS
+))
+def key_pairs(spark, sf_dir):
+    """The first of the likely keys of three pairs of tables, its exact shares, and whether the estimate is within its error of them."""
+    out = []
+    for l, _, r, _ in _KEYS:
+        left, right = table(spark, sf_dir, l), table(spark, sf_dir, r)
+        best = keys.key_pairs(left, right, probe=1).where("rank = 1")
+        n = best.select("right_column").first().right_column
+        exact = right.agg(F.countDistinct(column(right, n)).alias("n_exact"))  # one row
+        within = F.abs(F.col("contained") - F.col("frac")) <= F.col("error") + 1e-9
+        out.append(best.join(F.broadcast(exact)).select(
+            F.lit(l).alias("left_table"), F.lit(r).alias("right_table"), "left_column", "right_column", "n_keys", "frac",
+            (F.col("frac") * F.col("n_keys") / F.col("n_exact")).alias("covered"), within.alias("within"),
+        ))
+    return reduce(DataFrame.unionByName, out)
+
+
 def _merge(how: str) -> None:
     def run(spark, sf_dir):
         return joins.merge(_left(spark, sf_dir), _right(spark, sf_dir), ["custkey"], how)

@@ -85,6 +85,18 @@ def head(spark: SparkSession, path: str, n: int = 8) -> bytes:
     return bytes(out)
 
 
+def read_range(spark: SparkSession, path: str, start: int, n: int) -> bytes:
+    """n bytes of a file from start, fewer at its end; for small samples, as they pass through the driver."""
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        stream.seek(start)
+        n = min(n, fs.getFileStatus(p).getLen() - start)
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, n)) if n > 0 else b""
+    finally:
+        stream.close()
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file of metadata."""
     fs, p = _fs(spark, path)
