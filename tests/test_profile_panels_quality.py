@@ -127,6 +127,17 @@ def test_distinct_and_keys(shop):
     assert panels.key_ratio(shop, "v").first().ratio == pytest.approx(5 / 6)
 
 
+def test_few_values_are_counted_exactly(spark, monkeypatch):
+    df = spark.range(20_000).selectExpr("id % 3000 as few", "id as many", "cast(null as string) as none")
+    monkeypatch.setattr(profile, "EXACT_DISTINCT_MAX", 10_000)
+    got = {r.column: r.approx_distinct for r in profile.profile(df, exact_few=True).collect()}
+    sketched = {r.column: r.approx_distinct for r in profile.profile(df).collect()}
+    assert got == {"few": 3000, "many": sketched["many"], "none": 0}
+    monkeypatch.setattr(profile, "EXACT_DISTINCT_MAX", 0)
+    assert {r.column: r.approx_distinct for r in profile.profile(df, exact_few=True).collect()} == sketched
+    assert [tuple(r) for r in profile.distinct_exact(df, [0]).collect()] == [(0, "few", 3000)]
+
+
 def test_histograms(spark, shop):
     df = spark.range(101).select((F.col("id") * 1.0).alias("v"), F.expr("if(id % 10 = 0, NULL, id)").alias("w"))
     h = panels.histogram(df, "v", 10).collect()

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.casts import is_bad
 from ..functions.model import as_text, column, kind_of
+from ..sources.shared import stored
 from . import partials
 from .partials import NULLISH
 
@@ -120,9 +121,11 @@ def kinds(df: DataFrame) -> Column:
     return F.array(*[F.lit(kind_of(f.dataType)) for f in df.schema.fields])
 
 
-def profile(df: DataFrame, uncastable: DataFrame | T.StructType | None = None, sketches: bool = True, distinct: DataFrame | None = None) -> DataFrame:
+def profile(df: DataFrame, uncastable: DataFrame | T.StructType | None = None, sketches: bool = True, distinct: DataFrame | None = None, exact_few: bool = False) -> DataFrame:
     """A row a column: summary, missing counts and uncastable cells, with a suggested view, from one scan.
 
+    exact_few counts the distinct values exactly where the sketch says that they are few, by a second scan of these columns.
+
     uncastable is the schema that the cells should have, or counts that are at hand (position, n_bad). distinct (position,
     n_distinct) takes the place of the sketch where an exact count is at hand.
     """
@@ -140,6 +143,11 @@ def profile(df: DataFrame, uncastable: DataFrame | T.StructType | None = None, s
         out = out.drop("n_uncastable").join(uncastable.select("position", F.col("n_bad").alias("n_uncastable")), "position", "left")  # a row a column
     if distinct is not None:
         out = out.drop("approx_distinct").join(distinct.select("position", F.col("n_distinct").alias("approx_distinct")), "position", "left")
+    elif sketches and exact_few:
+        out = stored(out, "profile")
+        few = [r.position for r in out.select("position", "approx_distinct").collect() if wants_exact(r.approx_distinct or 0)]  # a number a column
+        counted = distinct_exact(df, few).select("position", "n_distinct")
+        out = out.join(counted, "position", "left").withColumn("approx_distinct", F.coalesce("n_distinct", "approx_distinct")).drop("n_distinct")
     elif not sketches:
         out = out.withColumn("approx_distinct", F.lit(0).cast("long"))
     by_share = F.bround(F.col("null_pct") / 100.0 * F.col("n")).cast("long")
@@ -153,20 +161,22 @@ def profile(df: DataFrame, uncastable: DataFrame | T.StructType | None = None, s
     )
 
 
-def distinct_exact(df: DataFrame) -> DataFrame:
-    """position, column, n_distinct: melted to (position, value hash), so many columns make one plain two-step aggregate.
+def distinct_exact(df: DataFrame, only: list[int] | None = None) -> DataFrame:
+    """position, column, n_distinct of all columns or of those in `only`: melted to (position, value hash), so many columns make one plain two-step aggregate.
 
     Values are told apart by two 64-bit hashes of their text, so a row costs as much for long values as for short ones.
     """
+    fields = [(i, f) for i, f in enumerate(df.schema.fields) if only is None or i in only]
+    if not fields:
+        return df.sparkSession.createDataFrame([], "position int, column string, n_distinct long")
     cells = F.array(*[
         F.struct(F.lit(i).alias("position"), F.xxhash64(as_text(column(df, f.name))).alias("a"), F.xxhash64(F.lit(7), as_text(column(df, f.name))).alias("b"),
                  column(df, f.name).isNotNull().alias("there"))
-        for i, f in enumerate(df.schema.fields)
+        for i, f in fields
     ])
     values = df.select(F.inline(cells)).where("there").groupBy("position", "a", "b").agg(F.count("*"))
     counts = values.groupBy("position").agg(F.count("*").alias("n_distinct"))
-    names = F.array(*[F.lit(c) for c in df.columns])
-    every = df.sparkSession.range(len(df.columns)).select(F.col("id").cast("int").alias("position"), F.get(names, F.col("id").cast("int")).alias("column"))
+    every = df.sparkSession.createDataFrame([(i, f.name) for i, f in fields], "position int, column string")
     return every.join(counts, "position", "left").select("position", "column", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"))
 
 
