@@ -137,3 +137,17 @@ def test_same_rows_as_duckdb(spark, tmp_path, blocks_of_bytes):
     want = duckdb.sql(f"select * from read_csv('{p}', header=true, all_varchar=true, quote='\"', escape='\"', delim=',', new_line='\\n')").fetchall()
     key = lambda r: int(r[0])
     assert sorted((tuple(r) for r in text.read_all_text(spark, p, Dialect()).collect()), key=key) == sorted(want, key=key)
+
+
+@pytest.mark.parametrize("size", [40, 1 << 20])
+def test_first_lines_are_numbered_over_blocks(spark, tmp_path, blocks_of_bytes, size):
+    """Lines keep their numbers, whatever blocks they lie in, and the sample is the file's beginning."""
+    rows = [f"{k}|name {k}|x" for k in range(30)]
+    p = put(tmp_path / "p.csv", "\n".join(["A report, made today,", "of all customers, by name", "", "key|name|segment", *rows, *["a;b"] * 300]) + "\n")
+    blocks_of_bytes(size)
+    first = text.first_lines(spark, p, 34)
+    assert [(r.line_no, r.value) for r in first.where("line_no < 5").orderBy("line_no").collect()][3:] == [(3, "key|name|segment"), (4, rows[0])]
+    assert first.count() == 34 and text.first_lines(spark, p, 1000).count() == 334
+    assert text.infer_dialect(spark, p, 34) == Dialect(delimiter="|", skip=3)
+    empty = put(tmp_path / "empty.csv", "")
+    assert text.first_lines(spark, empty, 5).collect() == [] and text.infer_dialect(spark, empty) == Dialect(header=False)

@@ -13,7 +13,7 @@ from ..functions.model import Dialect, UnsupportedSource, column
 from ..operators.quality import good_rows
 from .blocks import SENT, Blocks, quoted_lines
 from .detect import TEXT, extension
-from .shared import members
+from .shared import members, stored
 
 DELIMITERS = (",", ";", "\t", "|")
 SAMPLE_ROWS = 20_480
@@ -28,6 +28,25 @@ def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return text.select(F.regexp_replace("value", "^﻿|\r$", "").alias("value"), F.monotonically_increasing_id().alias("line_no"))
 
 
+def first_lines(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """value, line_no of a file's first n lines, numbered from 0 and written once.
+
+    A limit takes the rows of whichever blocks are done first, so the blocks that hold these lines are looked up before.
+    """
+    m = "_metadata"
+    block = spark.read.text(path).select(F.col(f"{m}.file_block_start").alias("b"), F.col(f"{m}.file_block_length").alias("l"))
+    end = max((r.b + r.l for r in block.take(n)), default=0)  # two numbers a line, block by block from the first
+    text = spark.read.text(path).select(F.regexp_replace("value", "^﻿|\r$", "").alias("value"), F.monotonically_increasing_id().alias("id"), F.col(f"{m}.file_block_start").alias("b"))
+    place = text.select("value", F.shiftright("id", 33).alias("p"), F.col("id").bitwiseAND((1 << 33) - 1).alias("i"), "b")
+    rows = stored(place.where((F.col("b") < end) & (F.col("i") < n)).drop("b"), "first-lines")
+    before, upto = [], 0
+    for r in rows.groupBy("p").agg(F.count("*").alias("n")).orderBy("p").collect():  # two numbers a block
+        before += [F.lit(r.p), F.lit(upto).cast("long")]
+        upto += r.n
+    number = F.col("i") + F.create_map(*before)[F.col("p")] if before else F.col("i")
+    return rows.select("value", number.alias("line_no")).where(F.col("line_no") < n)
+
+
 def field_count(value: Column, delimiter: str, quote: str = '"') -> Column:
     """Fields of a line: delimiters outside quoted spans, and one."""
     q = "\\" + quote
@@ -75,7 +94,7 @@ def infer_dialect(spark: SparkSession, path: str, sample: int = SAMPLE_ROWS) ->
     first line that is left is a header if it looks like one.
     """
     first = next((m.path for m in members(spark, path) if m.length), path)
-    lines_of = lines(spark, first).limit(sample)
+    lines_of = first_lines(spark, first, sample)
     quote = infer_quote(lines_of)
     escape = infer_escape(lines_of, quote)
     text = lines_of if escape == quote else lines_of.withColumn("value", F.regexp_replace("value", r"\\.", ""))  # escaped marks are no marks
