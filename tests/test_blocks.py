@@ -151,3 +151,14 @@ def test_first_lines_are_numbered_over_blocks(spark, tmp_path, blocks_of_bytes,
     assert text.infer_dialect(spark, p, 34) == Dialect(delimiter="|", skip=3)
     empty = put(tmp_path / "empty.csv", "")
     assert text.first_lines(spark, empty, 5).collect() == [] and text.infer_dialect(spark, empty) == Dialect(header=False)
+
+
+def test_inferred_preambles_above_quoted_line_breaks(spark, tmp_path, blocks_of_bytes):
+    """The preamble and the header lie in different blocks."""
+    name = lambda k: "first, line\nsecond" if k % 7 == 0 else 'a "mark" \n\n' if k % 11 == 0 else f"name {k}"
+    body = "".join('{},"{}"\n'.format(k, name(k).replace('"', '""')) for k in range(40))
+    p = put(tmp_path / "q.csv", f"Report of customers, all of them, by key and name\n\nmade today or not long before {'.' * 80}\nk,name\n{body}")
+    blocks_of_bytes(120)
+    d = text.infer_dialect(spark, p)
+    assert d == Dialect(skip=3) and text.read_all_text(spark, p, d).columns == ["k", "name"]
+    assert {int(r.k): r.name for r in text.read_all_text(spark, p, d).collect()} == {k: name(k) for k in range(40)}
