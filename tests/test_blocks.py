@@ -162,3 +162,11 @@ def test_inferred_preambles_above_quoted_line_breaks(spark, tmp_path, blocks_of_
     d = text.infer_dialect(spark, p)
     assert d == Dialect(skip=3) and text.read_all_text(spark, p, d).columns == ["k", "name"]
     assert {int(r.k): r.name for r in text.read_all_text(spark, p, d).collect()} == {k: name(k) for k in range(40)}
+
+
+def test_inferred_dialect_is_of_the_first_lines(spark, tmp_path, blocks_of_bytes):
+    """Later blocks of another form do not count, in a folder as in a file."""
+    for f in "ab":
+        put(tmp_path / f"{f}.csv", "\n".join(["A report, made today", f"of all customers {'.' * 90}", "key|name|segment", *[f"{k}|name {k}|x" for k in range(20)], *["'1';'2; 3'"] * 200]) + "\n")
+    blocks_of_bytes(100)
+    assert text.infer_dialect(spark, str(tmp_path), 23) == Dialect(delimiter="|", skip=2)
