@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from vistaframe.functions.casts import cast_strict, is_bad
 from vistaframe.functions.model import Filter, QuerySpec, UnknownColumn
 from vistaframe.operators import panels, profile, quality
+from vistaframe.plans import catalog_tables
 from vistaframe.plans.dirty import DIRTY_SCHEMA, dirty_orders
 
 
@@ -138,6 +139,19 @@ def test_few_values_are_counted_exactly(spark, monkeypatch):
     assert [tuple(r) for r in profile.distinct_exact(df, [0]).collect()] == [(0, "few", 3000)]
 
 
+def test_many_values_are_counted_exactly(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(profile, "EXACT_DISTINCT_MAX", 10_000)
+    df = spark.range(50_000).selectExpr("id % 3000 as few", "id as many", "cast(id % 40000 as string) as text", "cast(null as string) as none")
+    got = {r.column: r.approx_distinct for r in profile.profile(df, exact_few=True, exact_many=True).collect()}
+    assert got == {"few": 3000, "many": 50_000, "text": 40_000, "none": 0}
+    sketched = {r.column: r.approx_distinct for r in profile.profile(df).collect()}
+    assert {r.column: r.approx_distinct for r in profile.profile(df, exact_many=True).collect()} == got | {"few": sketched["few"]}
+    orders = spark.range(30_000).selectExpr("id as o_orderkey", "id % 20000 as o_custkey")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    rows = catalog_tables.profile_exact_few(spark, str(tmp_path)).collect()
+    assert [(r.approx_distinct, r.view) for r in sorted(rows, key=lambda r: r.position)] == [(30_000, "hist"), (20_000, "hist")]
+
+
 def test_histograms(spark, shop):
     df = spark.range(101).select((F.col("id") * 1.0).alias("v"), F.expr("if(id % 10 = 0, NULL, id)").alias("w"))
     h = panels.histogram(df, "v", 10).collect()

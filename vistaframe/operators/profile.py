@@ -121,10 +121,11 @@ def kinds(df: DataFrame) -> Column:
     return F.array(*[F.lit(kind_of(f.dataType)) for f in df.schema.fields])
 
 
-def profile(df: DataFrame, uncastable: DataFrame | T.StructType | None = None, sketches: bool = True, distinct: DataFrame | None = None, exact_few: bool = False) -> DataFrame:
+def profile(df: DataFrame, uncastable: DataFrame | T.StructType | None = None, sketches: bool = True, distinct: DataFrame | None = None, exact_few: bool = False, exact_many: bool = False) -> DataFrame:
     """A row a column: summary, missing counts and uncastable cells, with a suggested view, from one scan.
 
-    exact_few counts the distinct values exactly where the sketch says that they are few, by a second scan of these columns.
+    exact_few counts the distinct values exactly where the sketch says that they are few, by a second scan of these columns;
+    exact_many also where they are many, by another scan of those, which shuffles their values.
 
     uncastable is the schema that the cells should have, or counts that are at hand (position, n_bad). distinct (position,
     n_distinct) takes the place of the sketch where an exact count is at hand.
@@ -143,10 +144,13 @@ def profile(df: DataFrame, uncastable: DataFrame | T.StructType | None = None, s
         out = out.drop("n_uncastable").join(uncastable.select("position", F.col("n_bad").alias("n_uncastable")), "position", "left")  # a row a column
     if distinct is not None:
         out = out.drop("approx_distinct").join(distinct.select("position", F.col("n_distinct").alias("approx_distinct")), "position", "left")
-    elif sketches and exact_few:
+    elif sketches and (exact_few or exact_many):
         out = stored(out, "profile")
-        few = [r.position for r in out.select("position", "approx_distinct").collect() if wants_exact(r.approx_distinct or 0)]  # a number a column
-        counted = distinct_exact(df, few).select("position", "n_distinct")
+        by_size: dict[bool, list[int]] = {True: [], False: []}
+        for r in out.select("position", "approx_distinct").collect():  # a number a column
+            by_size[wants_exact(r.approx_distinct or 0)].append(r.position)
+        chosen = [by_size[few] for few, on in ((True, exact_few), (False, exact_many)) if on]
+        counted = reduce(DataFrame.unionByName, [distinct_exact(df, some) for some in chosen]).select("position", "n_distinct")
         out = out.join(counted, "position", "left").withColumn("approx_distinct", F.coalesce("n_distinct", "approx_distinct")).drop("n_distinct")
     elif not sketches:
         out = out.withColumn("approx_distinct", F.lit(0).cast("long"))
