@@ -170,3 +170,20 @@ def test_inferred_dialect_is_of_the_first_lines(spark, tmp_path, blocks_of_bytes
         put(tmp_path / f"{f}.csv", "\n".join(["A report, made today", f"of all customers {'.' * 90}", "key|name|segment", *[f"{k}|name {k}|x" for k in range(20)], *["'1';'2; 3'"] * 200]) + "\n")
     blocks_of_bytes(100)
     assert text.infer_dialect(spark, str(tmp_path), 23) == Dialect(delimiter="|", skip=2)
+
+
+def test_arrays_of_a_folder_are_read_in_one_go(spark, tmp_path, blocks_of_bytes):
+    """Arrays, empty ones and files of lines beside each other."""
+    (tmp_path / "f").mkdir()
+    rows = [{"id": k, "s": '} "], [{\\' * (k % 3)} for k in range(60)]
+    for i in range(3):
+        put(tmp_path / "f" / f"{i}.json", "[" + "\n,".join(json.dumps(r) for r in rows[i * 15 : i * 15 + 15]) + "]\n")
+    put(tmp_path / "f" / "3.json", "[]\n")
+    put(tmp_path / "f" / "4.json", "".join(json.dumps(r) + "\n" for r in rows[45:]))
+    blocks_of_bytes(150)
+    for schema in ("id long, s string", None):
+        got = tables.read_json(spark, str(tmp_path / "f"), schema)
+        assert sorted((r.id, r.s) for r in got.collect()) == [(r["id"], r["s"]) for r in rows]
+    (tmp_path / "e").mkdir()
+    put(tmp_path / "e" / "0.json", "[]\n")
+    assert tables.read_json(spark, str(tmp_path / "e"), "id long").count() == 0

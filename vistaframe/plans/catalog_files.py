@@ -7,6 +7,8 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +35,8 @@ def query(sql: str | None = None, name: str | None = None):
     return keep
 
 
+#: Bytes of the table that one array of scan_json_array holds, so that arrays grow in number, not in length.
+ARRAY = 8 << 20
 _EVENTS = "event_id, user_id, event_type, value"
 _CUSTOMER = "c_custkey, c_name, c_nationkey, c_mktsegment"
 COMMA = Dialect()
@@ -285,26 +289,23 @@ def ragged_headers(spark, sf_dir):
 def scan_json_array(spark, sf_dir):
     """Arrays of objects, one a file, with brackets and quotes inside their texts."""
     df = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", F.lit('} "], [{\\').alias("odd"))
-    objects = df.select(F.to_json(F.struct("*")).alias("value"), (F.col("event_id") % 3).alias("part"))
-    n = objects.repartition(3, "part")
+    size = sum(m.length for m in members(spark, f"{sf_dir}/events.parquet"))
+    objects = df.select(F.to_json(F.struct("*")).alias("value"), "event_id").repartition(max(3, size // ARRAY), "event_id")
 
     def bracketed(batches):  # one array a file
         mark = "["
-        for rows in batches:
-            for k in range(len(rows)):
-                rows.iat[k, 0] = mark + rows.iat[k, 0]
-                mark = ","
-            yield rows
-        yield pd.DataFrame({"value": ["[]" if mark == "[" else "]"]})
-
-    rows = n.select("value").mapInPandas(bracketed, "value string")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            marks = pa.array([mark] + [","] * (batch.num_rows - 1))
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(marks, batch.column("value").cast(pa.string()), "")], ["value"])
+            mark = ","
+        yield pa.RecordBatch.from_pydict({"value": ["[]" if mark == "[" else "]"]})
+
+    rows = objects.select("value").mapInArrow(bracketed, "value string")
     path = fresh_path(spark, "json-array")
     rows.write.text(path)
-    out = None
-    for m in members(spark, path):
-        part = tables.read_json(spark, m.path, df.schema).where("odd is not null")
-        out = part if out is None else out.unionByName(part)
-    return out.drop("odd")
+    return tables.read_json(spark, path, df.schema).where("odd is not null").drop("odd")
 
 
 @query("""SELECT * FROM (VALUES ('comma', ',', '"', TRUE, 0), ('semicolon', ';', chr(39), FALSE, 0), ('preamble', '|', '"', TRUE, 2)) t(file, delimiter, quote, header, skip)

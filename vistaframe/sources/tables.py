@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,17 +50,32 @@ def read_folder_parquet(spark: SparkSession, path: str, merge_schema: bool = Tru
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """One object a line, or one array of objects, whose elements are found and parsed by many tasks."""
-    files = members(spark, path)
-    first = b"" if extension(path)[0] in ("ndjson", "jsonl") or files[1:] else head(spark, files[0].path, 64).removeprefix(b"\xef\xbb\xbf").lstrip()
+    """One object a line, or one array of objects a file, whose elements are found and parsed by many tasks.
+
+    The arrays of a folder are read in one go; its files are looked at one by one if the first that is not empty holds an array.
+    """
+    files = [m.path for m in members(spark, path) if m.length]
     reader = spark.read.schema(schema) if schema else spark.read
-    if first[:1] != b"[":
+    if not files or extension(path)[0] in ("ndjson", "jsonl") or not _json_head(spark, files[0]).startswith(b"["):
         return reader.json(path)
-    if first[1:].lstrip()[:1] != b"{":  # no objects: a document for one parser
-        return reader.option("multiLine", True).json(path)
-    found = Blocks(spark, [path], Elements()).records().select("value")
-    jvm = spark._jvm.org.apache.spark.sql
-    return DataFrame(reader._jreader.json(getattr(found._jdf, "as")(jvm.Encoders.STRING())), spark)
+    heads = {f: _json_head(spark, f) for f in files}
+    lines = [f for f, h in heads.items() if not h.startswith(b"[")]
+    arrays = [f for f, h in heads.items() if h.startswith(b"[") and h[1:].lstrip()[:1] == b"{"]
+    documents = [f for f, h in heads.items() if h.startswith(b"[") and h[1:].lstrip()[:1] not in (b"{", b"]")]  # no objects: a document for one parser
+    parts = []
+    if arrays:
+        found = Blocks(spark, arrays, Elements()).records().select("value")
+        jvm = spark._jvm.org.apache.spark.sql
+        parts.append(DataFrame(reader._jreader.json(getattr(found._jdf, "as")(jvm.Encoders.STRING())), spark))
+    if lines:
+        parts.append(reader.json(lines))
+    if documents or not parts:  # empty arrays count as documents where nothing else is there
+        parts.append(reader.option("multiLine", True).json(documents or files))
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+
+
+def _json_head(spark: SparkSession, file: str) -> bytes:
+    return head(spark, file, 64).removeprefix(b"\xef\xbb\xbf").lstrip()
 
 
 #: Log-based tables of up to this many files send the files' keys to every task.
