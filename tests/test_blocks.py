@@ -1,10 +1,13 @@
 import csv
 import io
 import json
+import os
 import random
 
 import duckdb
 import pytest
+from pyspark.sql import DataFrameReader
+from pyspark.sql import functions as F
 
 from vistaframe.functions.model import Dialect
 from vistaframe.sources import tables, text
@@ -172,6 +175,26 @@ def test_inferred_dialect_is_of_the_first_lines(spark, tmp_path, blocks_of_bytes
     assert text.infer_dialect(spark, str(tmp_path), 23) == Dialect(delimiter="|", skip=2)
 
 
+def test_first_lines_whatever_order_blocks_are_read_in(spark, tmp_path, blocks_of_bytes, monkeypatch):
+    """Blocks read last to first, and several by one task: a preamble is still what stands above the header."""
+    p = put(tmp_path / "r.csv", "\n".join(["Report of customers", "", "k,name", *[f'{k},"name {k}"' for k in range(60)]]) + "\n")
+    blocks_of_bytes(100)
+    read = DataFrameReader.text
+    size = os.path.getsize(p)
+
+    def backwards(self, path):
+        b, n = (F.col(f"_metadata.file_block_{x}") for x in ("start", "length"))
+        whole = read(self, path).select("value", F.struct(b.alias("file_block_start"), n.alias("file_block_length")).alias("_metadata"))
+        late = F.col("_metadata.file_block_start") > size // 2
+        return whole.where(late).union(whole.where(~late)).coalesce(3)
+
+    want = read(spark.read, p).collect()
+    monkeypatch.setattr(DataFrameReader, "text", backwards)
+    for n in (3, 40, 1000):
+        assert [r.value for r in text.first_lines(spark, p, n).orderBy("line_no").collect()] == [r.value for r in want][:n]
+    assert text.infer_dialect(spark, p) == Dialect(skip=2)
+
+
 def test_arrays_of_a_folder_are_read_in_one_go(spark, tmp_path, blocks_of_bytes):
     """Arrays, empty ones and files of lines beside each other."""
     (tmp_path / "f").mkdir()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,20 +31,21 @@ def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def first_lines(spark: SparkSession, path: str, n: int) -> DataFrame:
     """value, line_no of a file's first n lines, numbered from 0 and written once.
 
-    A limit takes the rows of whichever blocks are done first, so the blocks that hold these lines are looked up before.
+    A limit takes the rows of whichever blocks are done first, so lines are numbered in their block, and blocks by where
+    they begin in the file. Nothing rests on the order in which blocks are read, or on how many of them a task reads.
     """
     m = "_metadata"
     block = spark.read.text(path).select(F.col(f"{m}.file_block_start").alias("b"), F.col(f"{m}.file_block_length").alias("l"))
-    end = max((r.b + r.l for r in block.take(n)), default=0)  # two numbers a line, block by block from the first
+    end = max((r.b + r.l for r in block.take(n)), default=0)  # whichever blocks these are of: n lines, or all, begin before it
     text = spark.read.text(path).select(F.regexp_replace("value", "^﻿|\r$", "").alias("value"), F.monotonically_increasing_id().alias("id"), F.col(f"{m}.file_block_start").alias("b"))
-    place = text.select("value", F.shiftright("id", 33).alias("p"), F.col("id").bitwiseAND((1 << 33) - 1).alias("i"), "b")
-    rows = stored(place.where((F.col("b") < end) & (F.col("i") < n)).drop("b"), "first-lines")
+    place = F.row_number().over(Window.partitionBy("b").orderBy("id"))
+    rows = stored(text.where(F.col("b") < end).withColumn("i", place).where(F.col("i") <= n).drop("id"), "first-lines")
     before, upto = [], 0
-    for r in rows.groupBy("p").agg(F.count("*").alias("n")).orderBy("p").collect():  # two numbers a block
-        before += [F.lit(r.p), F.lit(upto).cast("long")]
+    for r in rows.groupBy("b").agg(F.count("*").alias("n")).orderBy("b").collect():  # two numbers a block
+        before.append((r.b, upto))
         upto += r.n
-    number = F.col("i") + F.create_map(*before)[F.col("p")] if before else F.col("i")
-    return rows.select("value", number.alias("line_no")).where(F.col("line_no") < n)
+    starts = spark.createDataFrame(before, "b long, upto long")
+    return rows.join(F.broadcast(starts), "b").select("value", (F.col("upto") + F.col("i") - 1).alias("line_no")).where(F.col("line_no") < n)
 
 
 def field_count(value: Column, delimiter: str, quote: str = '"') -> Column:
