@@ -10,6 +10,7 @@ from pyspark.sql import DataFrameReader
 from pyspark.sql import functions as F
 
 from vistaframe.functions.model import Dialect
+from vistaframe.plans import catalog_files
 from vistaframe.sources import tables, text
 from vistaframe.sources.blocks import Blocks, Elements, QuotedLines
 
@@ -195,6 +196,21 @@ def test_first_lines_whatever_order_blocks_are_read_in(spark, tmp_path, blocks_o
     assert text.infer_dialect(spark, p) == Dialect(skip=2)
 
 
+def test_dialects_of_the_registered_files_whatever_block_is_read_first(spark, sf_dir, blocks_of_bytes, monkeypatch):
+    """The three files of infer_dialect, in small blocks of which the first is read last."""
+    read = DataFrameReader.text
+
+    def first_last(self, path):
+        b, n = (F.col(f"_metadata.file_block_{x}") for x in ("start", "length"))
+        whole = read(self, path).select("value", F.struct(b.alias("file_block_start"), n.alias("file_block_length")).alias("_metadata"))
+        return whole.where("_metadata.file_block_start > 0").union(whole.where("_metadata.file_block_start = 0"))
+
+    blocks_of_bytes(400)
+    monkeypatch.setattr(DataFrameReader, "text", first_last)
+    got = [tuple(r) for r in catalog_files.infer_dialect(spark, sf_dir).collect()]
+    assert got == [("comma", ",", '"', True, 0), ("semicolon", ";", "'", False, 0), ("preamble", "|", '"', True, 2)]
+
+
 def test_arrays_of_a_folder_are_read_in_one_go(spark, tmp_path, blocks_of_bytes):
     """Arrays, empty ones and files of lines beside each other."""
     (tmp_path / "f").mkdir()
