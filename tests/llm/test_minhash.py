@@ -91,6 +91,59 @@ def test_ids_of_several_texts_are_one_document(spark, rows):
     assert got(spark, rows) == got(spark, rows[::-1]) == brute(rows)
 
 
+@pytest.fixture
+def forty(spark):
+    """Forty partitions a shuffle, however few the rows."""
+    was = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in was}
+    for k, v in was.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def tasks_of(spark, name, work):
+    """What work() returns, and the number of tasks that it ran."""
+    spark.sparkContext.setJobGroup(name, name)
+    out = work()
+    seen = spark.sparkContext.statusTracker()
+    stages = {s for j in seen.getJobIdsForGroup(name) for s in seen.getJobInfo(j).stageIds}
+    spark.sparkContext.setJobGroup("others", "others")
+    return out, sum(i.numCompletedTasks for i in map(seen.getStageInfo, stages) if i)
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_components_of_any_links(forty, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(minhash, "BROADCAST_PAIRS", 0)
+    rng = random.Random(3)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(20)]
+    links += [(2000, 2000 + i) for i in range(1, 50)] + [(3000 + i, 3001) for i in range(5)] + [(7, 7), (4000, 4000), (4001, 4002), (4002, 4001)]
+    root = {}
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    edges = minhash.stored(forty.createDataFrame(links, "a long, b long"), "edges")
+    got = [tuple(r) for r in minhash.components(edges).collect()]
+    assert sorted(got) == sorted((x, find(x)) for x in root if find(x) != x)
+
+
+def test_components_shuffle_little(forty):
+    """A step shuffles the smallest neighbours alone: two shuffles of forty tasks, and one to look whether it was the last."""
+    rng = random.Random(5)
+    names = rng.sample(range(10**6), 200)
+    links = list(zip(names, names[1:]))  # one chain, in no order
+    edges = minhash.stored(forty.createDataFrame(links, "a long, b long"), "edges")
+    got, tasks = tasks_of(forty, "components", lambda: minhash.components(edges).collect())
+    assert {r.root for r in got} == {min(names)} and len(got) == 199
+    assert tasks < 1300, tasks
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**63, 3000).astype(np.uint64)

@@ -113,29 +113,39 @@ def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).mean(1) if len(x) else [], dtype=float)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root for every node of edges (a, b): root is the smallest node reachable."""
-    def oriented(df, u, v):
-        return df.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct()
+def starred(edges: DataFrame) -> DataFrame:
+    """node, root for every node of a stored table of edges (a, b) but the roots; a node may have several equal rows.
+
+    A step sends each edge once through a large-star and a small-star step, so that edges never grow in number. It looks
+    up the smallest neighbours, which are broadcast if they are few: only they are shuffled then, not the edges.
+    """
+    state = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    few = state.count() <= BROADCAST_PAIRS // 2
+
+    def found(least: DataFrame) -> DataFrame:
+        return F.broadcast(least) if few else least
 
-    state = stored(oriented(edges, "a", "b"), "components")
     while True:
-        ends = state.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
-            state.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+        ends = state.select(F.col("u").alias("x"), F.col("v").alias("up"), F.lit(False).alias("down"), F.col("v").alias("y")).unionByName(
+            state.select(F.col("v").alias("x"), F.lit(None).cast("long").alias("up"), F.lit(True).alias("down"), F.col("u").alias("y"))
         )
-        ways = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-        if ways.where("up > 1 or (up > 0 and down > 0)").isEmpty():  # stars: each node has one way, to a root
+        ways = ends.groupBy("x").agg(F.min("up").alias("lo"), F.max("up").alias("hi"), F.max("down").alias("down"))
+        if ways.where("lo < hi or (lo is not null and down)").isEmpty():  # stars: each node has one way, to a root
             break
-        both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = oriented(both.join(least, "u").where("v > u").select(F.col("v").alias("x"), "m"), "x", "m")
+        least = ends.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("v"), F.least("x", "m").alias("m"))
+        large = state.join(found(least), "v").select("u", F.col("m").alias("v"))
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("x"), "m").unionByName(down.select(F.col("u").alias("x"), "m"))
-        last, state = state, stored(oriented(small, "x", "m"), "components")
+        small = large.join(found(down), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        last, state = state, stored(small if few else small.distinct(), "components")
         dropped(last)
     return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """node, root for every node of a stored table of edges (a, b) but the roots: root is the smallest node reachable."""
+    return starred(edges).groupBy("node").agg(F.min("root").alias("root"))
+
+
 def _confirm(words: int, percent: int):
     def of(table: pa.Table) -> pa.Table:
         sets = shingles(table.column("text").to_pylist(), words)
@@ -264,25 +274,35 @@ class Groups:
 
     def __init__(self, docs: DataFrame, words: int, percent: int) -> None:
         self.docs, self.words, self.percent = docs, words, percent
-        self.links: DataFrame | None = None
+        self.stars: DataFrame | None = None
         self.roots = docs.sparkSession.createDataFrame([], "node long, root long")
 
     def link(self, good: DataFrame) -> None:
-        self.links = stored(good if self.links is None else self.links.unionByName(good), "links")
-        self.roots = components(self.links)
+        good = stored(good, "links")
+        if good.isEmpty():
+            return
+        if self.stars is not None:
+            good = good.unionByName(self.stars.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        self.stars = starred(good)
+        self.roots = self.stars.groupBy("node").agg(F.min("root").alias("root"))
+
+    def ends(self, pairs: DataFrame) -> DataFrame:
+        """pairs between different groups, with the groups' roots ra and rb."""
+        if self.stars is None:
+            return pairs.withColumns({"ra": F.col("a"), "rb": F.col("b")})
+        r = self.roots
+        return (
+            pairs.join(r.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
+            .join(r.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+            .withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")})
+            .where("ra <> rb")
+        )
 
     def grow(self, pairs: DataFrame) -> None:
-        """Confirm pairs (a, b, est, size) in rounds, best first; pairs within one group need no confirming."""
+        """Confirm stored pairs (a, b, est, size) in rounds, best first; pairs within one group need no confirming."""
         left, most = pairs, 1
         while True:
-            r = self.roots
-            ends = (
-                left.join(r.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
-                .join(r.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-                .select("a", "b", "est", "size", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
-                .where("ra <> rb")
-                .withColumn("_of", F.greatest("ra", "rb"))
-            )
+            ends = self.ends(left).withColumn("_of", F.greatest("ra", "rb"))
             # the best pairs of each group's larger end; all of them from the third round on
             from_here = ends
             if most is not None:
@@ -304,11 +324,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     signed = stored(docs.mapInArrow(_sign(words), SIGNED), "signed")
     linked = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = stored(linked.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes")
-    unique = stored(
-        linked.join(classes.select("set_key", "node"), "set_key").where("doc_id = node").select("node", "n_shingles", "bands", "sig").dropDuplicates(["node", "sig"]),
-        "unique",
-    )
+    # rows with one key have one set, and so equal numbers, bands and signatures
+    same = [F.any_value(c).alias(c) for c in ("n_shingles", "bands", "sig")]
+    classes = stored(linked.groupBy("set_key").agg(F.min("doc_id").alias("node"), *same), "classes")
+    unique = classes.select("node", "n_shingles", "bands", "sig")
     each = unique.select("node", F.explode("bands").alias("band"))
     leaders = each.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = stored(each.join(leaders, "band"), "buckets")
@@ -321,23 +340,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         .where(F.col("est") >= least)
         .groupBy("a", "b").agg(F.max("est").alias("est"), F.sum("size").alias("size"))  # an id may have several signatures
     )
-    # ids that stand for several texts: their classes are linked, and rows without words go with them
-    named = linked.select("doc_id", "set_key").join(classes.select("set_key", "node"), "set_key").select("doc_id", "node")
-    blank = signed.where("n_shingles = 0 and doc_id is not null").select("doc_id")
-    both = named.unionByName(blank.withColumn("node", F.lit(None).cast("long")))
-    ids = both.groupBy("doc_id").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count_if(F.col("node").isNull()).alias("blank"), F.count("*").alias("n"))
-    ids = stored(ids.where("n > 1"), "repeated")
-    if not ids.isEmpty():  # a text that comes often under one id is compared once
-        docs = docs.dropDuplicates(["doc_id", "text"])
-    groups = Groups(docs, words, percent)
-    several = stored(ids.where("least < most or (blank > 0 and least is not null)").select("doc_id", "least"), "several")
-    if not several.isEmpty():
+    groups, several = Groups(docs, words, percent), None
+    again = signed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if not again.isEmpty():
+        # ids that stand for several texts: their classes are linked, and rows without words go with them
+        named = linked.select("doc_id", "set_key").join(classes.select("set_key", "node"), "set_key").select("doc_id", "node")
+        blank = signed.where("n_shingles = 0 and doc_id is not null").select("doc_id")
+        both = named.unionByName(blank.withColumn("node", F.lit(None).cast("long")))
+        ids = both.groupBy("doc_id").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count_if(F.col("node").isNull()).alias("blank"))
+        several = stored(ids.where("least < most or (blank > 0 and least is not null)").select("doc_id", "least"), "several")
+        groups.docs = docs = docs.dropDuplicates(["doc_id", "text"])  # a text that comes often under one id is compared once
         groups.link(named.join(several, "doc_id").select(F.col("least").alias("a"), F.col("node").alias("b")).where("a <> b").distinct())
-    groups.grow(agreeing)
+    groups.grow(stored(agreeing, "agreeing"))
     groups.link(across(buckets, groups.roots, unique, docs, words, percent))
     rows = signed.select("doc_id", "set_key", "n_shingles")
     worded = rows.where("n_shingles > 0 and doc_id is not null").join(classes.select("set_key", "node"), "set_key", "left")
-    others = rows.where("n_shingles = 0 or doc_id is null").join(several.withColumnRenamed("least", "node"), "doc_id", "left")
+    others = rows.where("n_shingles = 0 or doc_id is null")
+    others = others.withColumn("node", F.lit(None).cast("long")) if several is None else others.join(several.withColumnRenamed("least", "node"), "doc_id", "left")
     return (
         worded.unionByName(others)
         .join(groups.roots, "node", "left")
