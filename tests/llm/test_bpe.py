@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -62,3 +63,15 @@ def test_edges(spark):
 def test_cuts_are_places_in_the_text(n):
     text = ("é wörd " * 1000)[:n]
     assert all(0 < c < len(text) and text[c] == " " for c in bpe.cuts(text))
+
+
+def test_texts_are_encoded_in_small_runs():
+    texts = [None, "", *["some words, " * n for n in (5_000, 20_000, 1, 90_000, 30_000, 1, 10)], None] + ["é word " * 9_000] * 12
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": pa.array(texts, pa.string())})
+    out = list(bpe._both(iter([batch, batch.slice(0, 0), batch.slice(3, 2)])))
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [r["doc_id"] for r in rows] == [*range(len(texts)), 3, 4]
+    for r in rows:
+        assert r["ids"] == ids(texts[r["doc_id"]] or "") and r["decoded"] == (texts[r["doc_id"]] or "")
+    sizes = [[len(r["decoded"].encode()) for r in b.to_pylist()] for b in out]
+    assert all(sum(x[1:]) <= bpe.TAKEN for x in sizes) and max(map(len, sizes)) > 1

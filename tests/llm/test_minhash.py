@@ -153,3 +153,18 @@ def test_signatures_estimate_similarity():
         true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
         est = (minhash.signature(np.unique(a)) == minhash.signature(np.unique(b))).mean()
         assert abs(est - true) < 0.12
+
+
+def test_no_task_holds_two_python_processes(spark, sf_dir, monkeypatch):
+    plans, stored = {}, minhash.stored
+
+    def seen(df, name):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        plans[name] = max(plans.get(name, 0), len(re.findall(r"(?:ArrowEvalPython|BatchEvalPython|MapInArrow|MapInPandas|FlatMapGroupsInArrow) ", plan)))
+        return stored(df, name)
+
+    monkeypatch.setattr(minhash, "stored", seen)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert minhash.near_duplicates(docs, 5).where("not kept").count() > 0
+    # each table is stored before the next, so that one node a plan is one node a task
+    assert plans["signed"] == plans["agreeing"] == plans["links"] == 1 and max(plans.values()) == 1, plans

@@ -23,6 +23,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +36,8 @@ SPECIAL = {"<|endoftext|>": 50256}
 MASK = np.uint32((1 << 10) - 1)
 #: Characters whose chunks' ids a task keeps in each of two generations: about a byte and a half a character.
 KEPT_CHARS = 2_000_000
+#: Bytes of texts that are encoded at a time: an id takes some forty bytes while it is a Python integer.
+TAKEN = 500_000
 
 
 @cache
@@ -157,9 +160,18 @@ class Encoder:
         return joined([text[a:b] for a, b in zip(edges, edges[1:])], self.chunks.ids, self.encode)
 
 
+def _taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in runs of about TAKEN bytes of text, one row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        edges = [0, *(np.flatnonzero(np.diff(ends // TAKEN)) + 1).tolist(), len(ends)]
+        for a, b in zip(edges, edges[1:]):
+            yield batch.slice(a, b - a)
+
+
 def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     encode = Encoder()
-    for batch in batches:
+    for batch in _taken(batches):
         yield _with(batch, "ids", _lists([encode(t or "") for t in batch.column("text").to_pylist()]))
 
 
@@ -171,7 +183,7 @@ def _lists(ids: list[list[int]]) -> pa.ListArray:
 def _both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """ids in place of text, and decoded: one pass through Python for the way there and back."""
     encode, tk = Encoder(), encoder()
-    for batch in batches:
+    for batch in _taken(batches):
         ids = [encode(t or "") for t in batch.column("text").to_pylist()]
         keep = [n for n in batch.schema.names if n != "text"]
         decoded = pa.array([tk.decode_bytes(x).decode("utf-8", "replace") for x in ids], pa.string())

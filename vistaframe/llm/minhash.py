@@ -29,11 +29,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import documents, dropped, small_batches, stored
 from .shingles import mix, shingles
@@ -106,11 +104,19 @@ def _sign(words: int):
     return of
 
 
-@F.pandas_udf(T.DoubleType())
-def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of coordinates on which two signatures agree (by their low 8 bits)."""
-    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, K) for s in (a, b))
-    return pd.Series((x == y).mean(1) if len(x) else [], dtype=float)
+def _agreeing(least: float):
+    """Pairs whose signatures sa and sb agree enough, with est: share of coordinates on which they do (by their low 8 bits).
+
+    A filter on a UDF's result would be pushed below it, so that a task ran the UDF twice, in two Python processes at once.
+    """
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, K) for c in ("sa", "sb"))
+            est = (x == y).mean(1)
+            pairs = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(est), batch.column("size")], ["a", "b", "est", "size"])
+            yield pairs.filter(pa.array(est >= least))
+
+    return of
 
 
 def starred(edges: DataFrame) -> DataFrame:
@@ -336,8 +342,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     agreeing = (
         stars.join(unique.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
         .join(unique.select(F.col("node").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("size")), "b")
-        .select("a", "b", agreement("sa", "sb").alias("est"), "size")
-        .where(F.col("est") >= least)
+        .select("a", "b", "sa", "sb", "size")
+        .mapInArrow(_agreeing(least), "a long, b long, est double, size long")
         .groupBy("a", "b").agg(F.max("est").alias("est"), F.sum("size").alias("size"))  # an id may have several signatures
     )
     groups, several = Groups(docs, words, percent), None
